@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 #: Raw text bytes per shard. A single longer text makes a shard of its own.
 SHARD_BYTES = 6_000_000
+#: A document's place within its shard takes so many bits, so that shard and place make one long.
+ORD_BITS = 20
+SHARD_BITS = 20
 
 PACK_SCHEMA = "shard long, doc_ids array<long>, sizes binary, body binary"
 
@@ -53,7 +56,7 @@ def pack_batches(batches: Iterator[pa.RecordBatch], extra=None, shard_bytes: int
     """One row per shard of whole documents, text compressed; extra(texts) adds columns (name -> Arrow array of one row)."""
     from pyspark import TaskContext
 
-    base, seq = TaskContext.get().partitionId() << 32, 0
+    base, seq = TaskContext.get().partitionId() << SHARD_BITS, 0
     ids: list = []
     texts: list[bytes] = []
     held = 0
@@ -70,7 +73,7 @@ def pack_batches(batches: Iterator[pa.RecordBatch], extra=None, shard_bytes: int
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             text = text or b""
-            if texts and held + len(text) > shard_bytes:
+            if texts and (held + len(text) > shard_bytes or len(texts) == 1 << ORD_BITS):
                 yield flush()
                 ids, texts, held, seq = [], [], 0, seq + 1
             ids.append(doc_id)
