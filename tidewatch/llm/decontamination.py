@@ -10,9 +10,9 @@ and never the texts.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from tidewatch.llm import common
 #: Free places between two documents of a shard: at least a phrase's length plus its slop.
 GAP = 1024
 #: Benchmark words that one search takes at a time; a longer benchmark is searched in blocks.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 300_000
 
 INDEX_SCHEMA = "shard long, term binary, places binary"
 
@@ -37,29 +37,37 @@ def fold_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
-def _index_batches(vocabulary: dict[bytes, int] | None):
+def _coded(places: np.ndarray) -> bytes:
+    """A sorted list as 32-bit steps, which compress well."""
+    return np.diff(places, prepend=0).astype(np.uint32).tobytes()
+
+
+def _index_packs(vocabulary: dict[bytes, int] | None):
     """Postings of each shard; with a vocabulary only of its terms. A row with a null term lists the shard's documents."""
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack in common.pack_batches(batches):
-            row = pack.to_pylist()[0]
-            words = [fold_words(t) for t in common.unpack(row["sizes"], row["body"])]
-            counts = np.fromiter(map(len, words), np.int64, len(words))
-            bases = np.cumsum(counts + GAP) - (counts + GAP)
-            terms = dict(vocabulary) if vocabulary is not None else defaultdict(lambda: len(terms))
-            find = (lambda w: terms.get(w, -1)) if vocabulary is not None else terms.__getitem__
-            ids = np.fromiter((find(w) for ws in words for w in ws), np.int64, int(counts.sum()))
-            places = np.arange(len(ids)) + np.repeat(bases - (np.cumsum(counts) - counts), counts)
-            order = np.argsort(ids, kind="stable")
-            order = order[np.searchsorted(ids[order], 0) :]
-            ids, places = ids[order], places[order]
-            names = list(terms)
-            edges = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
-            # The documents come as one list: id present, id, base, number of words.
-            docs = np.array([[d is not None for d in row["doc_ids"]], [d or 0 for d in row["doc_ids"]], bases, counts], np.int64)
-            out_terms = [None, *(names[i] for i in ids[edges].tolist())]
-            out_places = [docs.tobytes(), *(p.astype(np.int64).tobytes() for p in np.split(places, edges[1:]) if len(edges))]
-            yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(out_terms), pa.int64()), pa.array(out_terms, pa.binary()), pa.array(out_places, pa.binary())], ["shard", "term", "places"])
+    def index(packs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in packs:
+            for row in pack.to_pylist():
+                words = [fold_words(t) for t in common.unpack(row["sizes"], row["body"])]
+                counts = np.fromiter(map(len, words), np.int64, len(words))
+                bases = np.cumsum(counts + GAP) - (counts + GAP)
+                flat = chain.from_iterable(words)
+                if vocabulary is None:
+                    terms = defaultdict(lambda: len(terms))
+                    ids = np.fromiter(map(terms.__getitem__, flat), np.int64, int(counts.sum()))
+                else:
+                    terms = vocabulary
+                    ids = np.fromiter(map(terms.get, flat, repeat(-1)), np.int64, int(counts.sum()))
+                kept = np.flatnonzero(ids >= 0)
+                order = kept[np.argsort(ids[kept], kind="stable")]
+                places = order + np.repeat(bases - (np.cumsum(counts) - counts), counts)[order]
+                ids, names = ids[order], list(terms)
+                edges = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
+                # The documents come as one list: id present, id, base, number of words.
+                docs = np.array([[d is not None for d in row["doc_ids"]], [d or 0 for d in row["doc_ids"]], bases, counts], np.int64)
+                out_terms = [None, *(names[i] for i in ids[edges].tolist())]
+                out_places = [docs.tobytes(), *(_coded(p) for p in np.split(places, edges[1:]) if len(edges))]
+                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(out_terms), pa.int64()), pa.array(out_terms, pa.binary()), pa.array(out_places, pa.binary())], ["shard", "term", "places"])
 
     return index
 
@@ -67,8 +75,12 @@ def _index_batches(vocabulary: dict[bytes, int] | None):
 def build_index(docs: DataFrame, vocabulary: list[bytes] | None = None) -> DataFrame:
     """A stored positional index of docs (doc_id, text): shard, term, places."""
     common.bounded_batches(docs.sparkSession)
-    terms = None if vocabulary is None else {t: i for i, t in enumerate(vocabulary)}
-    return common.stored(common.texts_of(docs).mapInArrow(_index_batches(terms), INDEX_SCHEMA), "postings")
+    index = _index_packs(None if vocabulary is None else {t: i for i, t in enumerate(vocabulary)})
+    return common.stored(common.texts_of(docs).mapInArrow(lambda it: index(common.pack_batches(it)), INDEX_SCHEMA), "postings")
+
+
+def _index_of_packs(packs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
+    return common.stored(packs.mapInArrow(_index_packs({t: i for i, t in enumerate(vocabulary)}), INDEX_SCHEMA), "postings")
 
 
 def _close(lists: list[np.ndarray], offsets: list[int], slop: int) -> np.ndarray:
@@ -89,8 +101,9 @@ def _close(lists: list[np.ndarray], offsets: list[int], slop: int) -> np.ndarray
 
 class _Postings:
     def __init__(self, table: pa.Table):
-        self.lists = {t: np.frombuffer(p, np.int64) for t, p in zip(table["term"].to_pylist(), table["places"].to_pylist(), strict=True)}
-        self.present, self.ids, self.bases, self.counts = self.lists.pop(None).reshape(4, -1)
+        raw = dict(zip(table["term"].to_pylist(), table["places"].to_pylist(), strict=True))
+        self.present, self.ids, self.bases, self.counts = np.frombuffer(raw.pop(None), np.int64).reshape(4, -1)
+        self.lists = {t: np.cumsum(np.frombuffer(p, np.uint32), dtype=np.int64) for t, p in raw.items()}
 
     def starts(self, words: tuple[bytes, ...], slop: int) -> np.ndarray:
         lists = [self.lists.get(w) for w in words]
@@ -135,7 +148,7 @@ def _windows(items: list[tuple[object, bytes]], size: int) -> tuple[dict[tuple[b
     return dict(found), sorted({w for k in found for w in k})
 
 
-def _hits(windows, size: int, index: DataFrame) -> DataFrame:
+def _hits(windows: dict[tuple[bytes, ...], set[str]], index: DataFrame) -> DataFrame:
     """Per document: presence and id, words, and which of its words lie in an occurrence of a window, with the items."""
 
     def search(table: pa.Table) -> pa.Table:
@@ -197,18 +210,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     """
     if window >= GAP:
         raise ValueError(f"windows must stay below {GAP} words")
-    found = None
-    packs = common.stored(common.texts_of(docs), "documents") if False else docs
-    for block in _blocks(benchmark):
-        windows, vocabulary = _windows(block, window)
-        part = _hits(windows, window, build_index(packs, vocabulary))
-        found = part if found is None else found.unionByName(part)
+    blocks = _blocks(benchmark)
+    windows, vocabulary = _windows(next(blocks), window)
+    second = next(blocks, None)
+    if second is None:
+        found = _hits(windows, build_index(docs, vocabulary))
+    else:
+        packs = common.packed(docs, "decontamination-packs")
+        found = _hits(windows, _index_of_packs(packs, vocabulary))
+        for block in chain([second], blocks):
+            windows, vocabulary = _windows(block, window)
+            found = found.unionByName(_hits(windows, _index_of_packs(packs, vocabulary)))
     merged = found.groupBy("shard", "ord").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return (
         merged.withColumn("n_hit", F.when(F.size("hits") > 0, _ones("hits")).otherwise(F.lit(0).cast("long")))
         .select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "items")
     )
 
-
-def _unused() -> str:
-    return hashlib.sha256(b"").hexdigest()
