@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidewatch.llm import chat_format
 from tidewatch.llm.decontamination import decontaminate
 from tidewatch.llm.jaccard_join import jaccard_join
+from tidewatch.llm.line_dedup import line_dedup
 from tidewatch.llm.substring_dedup import substring_dedup
 
 
@@ -23,13 +26,25 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20).drop("items")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat_format.digest(chat_format.chat_format(turns.unionByName(extra)))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), words=5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op8_jaccard_join)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op5_line_dedup, op6_chat_format, op8_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat_format": chat_format.oracle()}
