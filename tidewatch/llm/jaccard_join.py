@@ -32,12 +32,14 @@ from tidewatch.llm.components import components
 
 #: Keys that a reducer holds at once, on average.
 BUCKET_KEYS = 4_000_000
-#: Cells of a sketch: shingle counts by the top bits of their hash.
-CELLS = 64
+#: Cells of a sketch (shingle counts by the top bits of their hash), and of a coarser one summed from it.
+CELLS, COARSE = 512, 32
 #: How many keys' worth a key costs that holds too little to tell documents apart.
 WEAK_KEY = 20.0
-#: Rows of a block when members of a group are compared, and words of text that meet in one task.
-BLOCK_FEW, BLOCK_MANY, TASK_WORDS = 512, 4096, 1_000_000
+#: Rows of a block when members of a group are compared.
+BLOCK_FEW, BLOCK_MANY = 512, 4096
+#: Rounds in which each group that is still apart is checked against one more hub.
+HUB_ROUNDS = 3
 
 _DEL, _GUEST = 1, 2
 
@@ -116,9 +118,12 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    edges = np.arange(CELLS + 1, dtype=np.uint64) << np.uint64(58)
-    at = np.r_[np.searchsorted(found, edges[:-1]), len(found)]
-    return np.minimum(np.diff(at), 65535).astype(np.uint16).tobytes()
+    """A count that is cut at 255 only lowers the distance of two sketches, which stays a bound."""
+    return np.minimum(np.bincount((found >> np.uint64(55)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def _cells(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
 
 
 def _stats(words: int):
@@ -223,21 +228,22 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that sizes and sketches allow: the sketches' distance never exceeds the symmetric difference."""
     for batch in batches:
         n, m = (batch[c].to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-        cells = [np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, CELLS).astype(np.int32) for c in ("sketch_a", "sketch_b")]
-        keep = 9 * np.abs(cells[0] - cells[1]).sum(1) <= n + m
-        yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(keep))
+        keep = 9 * np.abs(_cells(batch["sketch_a"]) - _cells(batch["sketch_b"])).sum(1, dtype=np.int64) <= n + m
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def _block(table: pa.Table) -> pa.Table:
     """Pairs of a block's members that are still apart and may link."""
     few = table["few"].to_numpy().astype(bool)
     ref, root, n, probe = (table[c].to_numpy() for c in ("ref", "root", "n", "probe"))
-    cells = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, CELLS).astype(np.int32)
+    cells = _cells(table["sketch"])
+    coarse = cells.reshape(len(cells), COARSE, -1).sum(2, dtype=np.int32)
     out_a, out_b = [], []
     others = np.flatnonzero(~few)
     for i in np.flatnonzero(few).tolist():
         j = others[(root[others] != root[i]) & (probe[others].astype(bool) | bool(probe[i])) & (9 * np.abs(n[others] - n[i]) <= n[others] + n[i])]
-        j = j[9 * np.abs(cells[j] - cells[i]).sum(1) <= n[j] + n[i]]
+        j = j[9 * np.abs(coarse[j] - coarse[i]).sum(1) <= n[j] + n[i]]
+        j = j[9 * np.abs(cells[j] - cells[i]).sum(1, dtype=np.int64) <= n[j] + n[i]]
         out_a.append(np.minimum(ref[j], ref[i]))
         out_b.append(np.maximum(ref[j], ref[i]))
     empty = [np.zeros(0, np.int64)]
@@ -258,37 +264,53 @@ def _texts_of(pack: pa.Table, wanted: pa.Table) -> pa.Table:
 
 
 def _verify(words: int):
-    def linked(hub: pa.Table, others: pa.Table) -> pa.Table:
-        out: list[tuple[int, int]] = []
-        if len(hub) and len(others):
-            codec = pa.Codec("zstd")
-            text = lambda r: codec.decompress(r["body"], decompressed_size=r["length"], asbytes=True) if r["length"] else b""
-            first = hub.slice(0, 1).to_pylist()[0]
-            base = shingle_sets([text(first)], words)[0]
-            for row in others.to_pylist():
-                found = shingle_sets([text(row)], words)[0]
-                common_n = len(np.intersect1d(base, found, assume_unique=True))
-                if 100 * common_n >= 80 * (len(base) + len(found) - common_n):
-                    out.append((first["a"], row["ref"]))
-        columns = list(zip(*out, strict=True)) or [[]] * 2
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
-
-    return linked
-
-
-def _links(pairs: DataFrame, stats: DataFrame, packs: DataFrame, words: int, checked: bool) -> DataFrame:
-    """The pairs (a, b) that link, verified on whole texts. A hub's partners are dealt over tasks by their total length."""
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            rows = batch.to_pylist()
+            bodies = {r[s]: (r[f"body_{s}"], r[f"length_{s}"]) for r in rows for s in "ab"}
+            texts = [codec.decompress(body, decompressed_size=n, asbytes=True) if n else b"" for body, n in bodies.values()]
+            sets = dict(zip(bodies, shingle_sets(texts, words), strict=True))
+            keep = []
+            for r in rows:
+                x, y = sets[r["a"]], sets[r["b"]]
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
+                n = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * n >= 80 * (len(both) - n))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return verify
+
+
+def _links(pairs: DataFrame, stats: DataFrame, packs: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) that link: by sizes and sketches first, what is left by the sets of the whole texts."""
     side = lambda s: stats.select(F.col("ref").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where("9 * abs(n_a - n_b) <= n_a + n_b")
-    schema = "a long, b long, n_a long, n_b long"
-    near = common.stored(near.select("a", "b", "n_a", "n_b") if checked else near.mapInArrow(_near, schema), "near-pairs")
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where("9 * abs(n_a - n_b) <= n_a + n_b")
+    near = common.stored(sized.mapInArrow(_near, "a long, b long"), "near-pairs")
     wanted = near.select(F.col("a").alias("ref")).unionByName(near.select(F.col("b").alias("ref"))).distinct().withColumn("shard", F.shiftright("ref", common.ORD_BITS))
     texts = common.stored(packs.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_texts_of, "ref long, length long, body binary"), "near-texts")
-    dealt = near.groupBy("a").agg((F.lit(1) + F.floor(F.sum(F.col("n_b") + 20) / TASK_WORDS)).cast("int").alias("salts"))
-    others = near.select("a", F.col("b").alias("ref")).join(dealt, "a").withColumn("salt", F.pmod(F.xxhash64("ref"), "salts").cast("int")).drop("salts").join(texts, "ref")
-    fresh = lambda df: df.select(*(F.col(c).alias(c) for c in ("a", "salt", "ref", "length", "body")))
-    hubs = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").withColumn("ref", F.col("a")).join(texts, "ref")
-    return fresh(hubs).groupBy("a", "salt").cogroup(fresh(others).groupBy("a", "salt")).applyInArrow(_verify(words), "a long, b long")
+    body = lambda s: texts.select(F.col("ref").alias(s), F.col("length").alias(f"length_{s}"), F.col("body").alias(f"body_{s}"))
+    return common.stored(near.join(body("a"), "a").join(body("b"), "b").mapInArrow(_verify(words), "a long, b long"), "links")
+
+
+def _with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return members.withColumn("root", F.col("ref"))
+    return members.join(roots.withColumnRenamed("vertex", "ref"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
+
+
+def _met(apart: DataFrame, stats: DataFrame) -> DataFrame:
+    """All pairs that groups leave open: members outside the group's largest component against members of other components, in blocks."""
+    open_groups = apart.groupBy("gid").agg(F.count_if(F.col("root") != F.col("major")).alias("minors"), F.count("*").alias("all"))
+    sizes = open_groups.select("gid", (F.lit(1) + F.floor(F.col("minors") / BLOCK_FEW)).cast("int").alias("few_n"), (F.lit(1) + F.floor(F.col("all") / BLOCK_MANY)).cast("int").alias("many_n"))
+    left = apart.join(sizes, "gid").join(stats, "ref").withColumn("probe", F.col("probe").cast("int"))
+    columns = ["gid", "ref", "root", "probe", "n", "sketch"]
+    place = lambda n: F.pmod(F.xxhash64("ref"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = left.where("root <> major").select(*columns, F.lit(1).alias("few"), place("few_n").alias("i"), each("many_n").alias("j"))
+    many = left.select(*columns, F.lit(0).alias("few"), each("few_n").alias("i"), place("many_n").alias("j"))
+    return few.unionByName(many).groupBy("gid", "i", "j").applyInArrow(_block, "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -328,29 +350,30 @@ def jaccard_join(docs: DataFrame, words: int = 5) -> DataFrame:
     probes = groups.withColumn("probe", F.col("fixed") | (F.sum("units").over(costly) > F.col("allowed"))).groupBy("gid", "ref").agg(F.max("probe").alias("probe"), F.max("size").alias("size"), F.sum("units").alias("units"))
     probes = common.stored(probes, "jaccard-probes")
     score = probes.groupBy("ref").agg(F.sum(F.col("units") * F.col("size")).alias("score"))
-    hubs = probes.join(score, "ref").groupBy("gid").agg(F.max(F.struct("score", F.negative("ref").alias("back"))).alias("x"), F.max("probe").alias("any")).where("any").select("gid", F.negative("x.back").alias("a"))
-    members = common.stored(probes.join(hubs, "gid"), "jaccard-members")
+    asked = probes.groupBy("gid").agg(F.max("probe").alias("any")).where("any").select("gid")
+    members = common.stored(probes.join(asked, "gid").join(score, "ref").select("gid", "ref", "probe", "score"), "jaccard-members")
     stats = classes.select("ref", "n", "sketch")
 
-    pairs = members.where("ref <> a").select("a", F.col("ref").alias("b")).distinct()
-    links = common.stored(_links(pairs, stats, packs, words, False), "jaccard-links")
-    roots = common.stored(components(links, "a", "b"), "jaccard-roots")
-    apart = members.join(roots.withColumnRenamed("vertex", "ref"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
-    apart = apart.join(roots.select(F.col("vertex").alias("a"), F.col("root").alias("hub_root")), "a", "left").withColumn("hub_root", F.coalesce("hub_root", "a"))
-    apart = common.stored(apart.select("gid", "ref", "a", "probe", "root", (F.col("root") != F.col("hub_root")).alias("minor")), "jaccard-apart")
-    # Groups in which two members besides the hub are in different components.
-    open_groups = apart.groupBy("gid").agg(F.count_if("minor").alias("minors"), F.count("*").alias("all")).where("minors > 0 AND all > 2").select(
-        "gid", (F.lit(1) + F.floor(F.col("minors") / BLOCK_FEW)).cast("int").alias("few_n"), (F.lit(1) + F.floor(F.col("all") / BLOCK_MANY)).cast("int").alias("many_n")
-    )
-    left = apart.where("ref <> a").join(open_groups, "gid").join(stats, "ref").withColumn("probe", F.col("probe").cast("int"))
-    columns = ["gid", "ref", "root", "probe", "n", "sketch"]
-    few = left.where("minor").select(*columns, F.lit(1).alias("few"), F.pmod(F.xxhash64("ref"), "few_n").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("many_n") - 1)).alias("j"))
-    many = left.select(*columns, F.lit(0).alias("few"), F.explode(F.sequence(F.lit(0), F.col("few_n") - 1)).alias("i"), F.pmod(F.xxhash64("ref"), "many_n").cast("int").alias("j"))
-    more = few.unionByName(many).groupBy("gid", "i", "j").applyInArrow(_block, "a long, b long").distinct()
-    more = more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    more_links = common.stored(_links(more, stats, packs, words, True), "jaccard-links")
-    if not more_links.isEmpty():
-        roots = components(links.unionByName(more_links), "a", "b")
+    links = roots = checked = None
+    central = F.max_by(F.struct("ref", "root"), F.struct("score", F.negative("ref"))).alias("hub")
+    for round_ in range(HUB_ROUNDS + 1):
+        # What is still apart: per group, the component of most members, and the others.
+        placed = _with_roots(members, roots)
+        largest = placed.groupBy("gid", "root").agg(F.count("*").alias("n")).groupBy("gid").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1").select("gid", "major")
+        apart = common.stored(placed.join(largest, "gid"), "jaccard-apart")
+        if round_ < HUB_ROUNDS:
+            hubs = apart.where("root <> major OR " + str(round_ == 0)).groupBy("gid").agg(central)
+            met = apart.join(hubs, "gid").where("root <> hub.root").select(F.least("ref", "hub.ref").alias("a"), F.greatest("ref", "hub.ref").alias("b"))
+        else:
+            met = _met(apart, stats)
+        pairs = met.distinct()
+        if checked is not None:
+            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+        pairs = common.stored(pairs, "jaccard-pairs")
+        new = _links(pairs, stats, packs, words)
+        links = new if links is None else links.unionByName(new)
+        checked = pairs if checked is None else checked.unionByName(pairs)
+        roots = common.stored(components(links, "a", "b"), "jaccard-roots")
 
     merged = classes.join(roots.withColumnRenamed("vertex", "ref"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
     merged = common.stored(merged.select("class", "root", "least"), "jaccard-merged")

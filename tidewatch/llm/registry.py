@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from tidewatch.llm import chat_format
 from tidewatch.llm.decontamination import decontaminate
 from tidewatch.llm.jaccard_join import jaccard_join
+from tidewatch.llm.language_id import identify
 from tidewatch.llm.line_dedup import line_dedup
+from tidewatch.llm.quality_classifier import classify
 from tidewatch.llm.substring_dedup import substring_dedup
+from tidewatch.llm.topk_search import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), k=5, scale=256, every=50)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20).drop("items")
 
@@ -38,12 +45,20 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.chat_format(turns.unionByName(extra)))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), words=5)
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), least=0.3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op5_line_dedup, op6_chat_format, op8_jaccard_join)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_topk_search, op3_decontamination, op5_line_dedup, op6_chat_format, op7_language_id, op8_jaccard_join, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
