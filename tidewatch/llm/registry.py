@@ -12,6 +12,8 @@ from tidewatch.llm.decontamination import decontaminate
 from tidewatch.llm.jaccard_join import jaccard_join
 from tidewatch.llm.language_id import identify
 from tidewatch.llm.line_dedup import line_dedup
+from tidewatch.llm.pieces import encode_documents
+from tidewatch.llm.pii import pseudonymise
 from tidewatch.llm.quality_classifier import classify
 from tidewatch.llm.substring_dedup import substring_dedup
 from tidewatch.llm.topk_search import top_k
@@ -33,6 +35,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20).drop("items")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -53,12 +59,18 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), words=5)
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the pieces and of the text decoded from them."""
+    done = encode_documents(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_pieces", F.sha2(F.array_join("pieces", ","), 256).alias("pieces_sha256"), F.sha2("text", 256).alias("text_sha256"), "lossless")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), least=0.3)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_topk_search, op3_decontamination, op5_line_dedup, op6_chat_format, op7_language_id, op8_jaccard_join, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_topk_search, op3_decontamination, op4_pii, op5_line_dedup, op6_chat_format, op7_language_id, op8_jaccard_join, op9_sentencepiece, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
