@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import stored
+from tidewatch.llm.common import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,5 +29,6 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if state == last or not state.n:
             break
         last = state
-        edges = stored(_star(_star(edges, True), False), "links")
+        before, edges = edges, stored(_star(_star(edges, True), False), "links")
+        discard(before)
     return edges.select(F.col("a").alias("vertex"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("vertex"), F.col("b").alias("root"))).distinct()

@@ -32,14 +32,14 @@ from tidewatch.llm.components import components
 
 #: Keys that a reducer holds at once, on average.
 BUCKET_KEYS = 4_000_000
-#: Cells of a sketch (shingle counts by the top bits of their hash), and of a coarser one summed from it.
-CELLS, COARSE = 512, 32
+#: Cells of a sketch (shingle counts by the top bits of their hash), of the brief one that groups carry, and of a coarse one; each is summed from the one before.
+CELLS, BRIEF, COARSE = 512, 128, 32
 #: How many keys' worth a key costs that holds too little to tell documents apart.
 WEAK_KEY = 20.0
 #: Rows of a block when members of a group are compared.
 BLOCK_FEW, BLOCK_MANY = 512, 4096
-#: Rounds in which each group that is still apart is checked against one more hub.
-HUB_ROUNDS = 3
+#: Rounds, at most, in which each group that is still apart is checked against one more hub, and the links per pair that a round must find to be followed by another.
+HUB_ROUNDS, HUB_YIELD = 3, 0.05
 
 _DEL, _GUEST = 1, 2
 
@@ -122,17 +122,23 @@ def sketch(found: np.ndarray) -> bytes:
     return np.minimum(np.bincount((found >> np.uint64(55)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
-def _cells(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+def brief(cells: bytes) -> bytes:
+    return np.minimum(np.frombuffer(cells, np.uint8).reshape(BRIEF, -1).sum(1, dtype=np.int64), 255).astype(np.uint8).tobytes()
+
+
+def _cells(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width).astype(np.int16)
 
 
 def _stats(words: int):
     def stats(texts: list[bytes]) -> dict[str, pa.Array]:
         sets = shingle_sets(texts, words)
+        sketches = [sketch(s) for s in sets]
         return {
             "sizes_n": pa.array([[len(s) for s in sets]], pa.list_(pa.int64())),
             "classes": pa.array([[xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]], pa.list_(pa.binary())),
-            "sketches": pa.array([[sketch(s) for s in sets]], pa.list_(pa.binary())),
+            "sketches": pa.array([sketches], pa.list_(pa.binary())),
+            "briefs": pa.array([[brief(s) for s in sketches]], pa.list_(pa.binary())),
         }
 
     return stats
@@ -224,19 +230,23 @@ def _groups(table: pa.Table) -> pa.Table:
     )
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that sizes and sketches allow: the sketches' distance never exceeds the symmetric difference."""
-    for batch in batches:
-        n, m = (batch[c].to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-        keep = 9 * np.abs(_cells(batch["sketch_a"]) - _cells(batch["sketch_b"])).sum(1, dtype=np.int64) <= n + m
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+def _near(width: int):
+    """Pairs that sketches allow: the sketches' distance never exceeds the symmetric difference."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch[c].to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
+            keep = 9 * np.abs(_cells(batch["cells_a"], width) - _cells(batch["cells_b"], width)).sum(1, dtype=np.int64) <= n + m
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return near
 
 
 def _block(table: pa.Table) -> pa.Table:
     """Pairs of a block's members that are still apart and may link."""
     few = table["few"].to_numpy().astype(bool)
     ref, root, n, probe = (table[c].to_numpy() for c in ("ref", "root", "n", "probe"))
-    cells = _cells(table["sketch"])
+    cells = _cells(table["brief"], BRIEF)
     coarse = cells.reshape(len(cells), COARSE, -1).sum(2, dtype=np.int32)
     out_a, out_b = [], []
     others = np.flatnonzero(~few)
@@ -284,14 +294,18 @@ def _verify(words: int):
 
 
 def _links(pairs: DataFrame, stats: DataFrame, packs: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) that link: by sizes and sketches first, what is left by the sets of the whole texts."""
-    side = lambda s: stats.select(F.col("ref").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where("9 * abs(n_a - n_b) <= n_a + n_b")
-    near = common.stored(sized.mapInArrow(_near, "a long, b long"), "near-pairs")
+    """The pairs (a, b) that link: by brief and whole sketches first, what is left by the sets of the whole texts."""
+    near = pairs
+    for column, width in (("brief", BRIEF), ("sketch", CELLS)):
+        side = lambda s: stats.select(F.col("ref").alias(s), F.col("n").alias(f"n_{s}"), F.col(column).alias(f"cells_{s}"))  # noqa: B023, E731
+        near = near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near(width), "a long, b long")
+    near = common.stored(near, "near-pairs")
     wanted = near.select(F.col("a").alias("ref")).unionByName(near.select(F.col("b").alias("ref"))).distinct().withColumn("shard", F.shiftright("ref", common.ORD_BITS))
     texts = common.stored(packs.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_texts_of, "ref long, length long, body binary"), "near-texts")
     body = lambda s: texts.select(F.col("ref").alias(s), F.col("length").alias(f"length_{s}"), F.col("body").alias(f"body_{s}"))
-    return common.stored(near.join(body("a"), "a").join(body("b"), "b").mapInArrow(_verify(words), "a long, b long"), "links")
+    links = common.stored(near.join(body("a"), "a").join(body("b"), "b").mapInArrow(_verify(words), "a long, b long"), "links")
+    common.discard(near, texts)
+    return links
 
 
 def _with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -304,8 +318,8 @@ def _met(apart: DataFrame, stats: DataFrame) -> DataFrame:
     """All pairs that groups leave open: members outside the group's largest component against members of other components, in blocks."""
     open_groups = apart.groupBy("gid").agg(F.count_if(F.col("root") != F.col("major")).alias("minors"), F.count("*").alias("all"))
     sizes = open_groups.select("gid", (F.lit(1) + F.floor(F.col("minors") / BLOCK_FEW)).cast("int").alias("few_n"), (F.lit(1) + F.floor(F.col("all") / BLOCK_MANY)).cast("int").alias("many_n"))
-    left = apart.join(sizes, "gid").join(stats, "ref").withColumn("probe", F.col("probe").cast("int"))
-    columns = ["gid", "ref", "root", "probe", "n", "sketch"]
+    left = apart.join(sizes, "gid").join(stats.select("ref", "brief"), "ref").withColumn("probe", F.col("probe").cast("int"))
+    columns = ["gid", "ref", "root", "probe", "n", "brief"]
     place = lambda n: F.pmod(F.xxhash64("ref"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     few = left.where("root <> major").select(*columns, F.lit(1).alias("few"), place("few_n").alias("i"), each("many_n").alias("j"))
@@ -325,15 +339,15 @@ def jaccard_join(docs: DataFrame, words: int = 5) -> DataFrame:
     """
     spark = docs.sparkSession
     common.bounded_batches(spark)
-    schema = common.PACK_SCHEMA + ", sizes_n array<long>, classes array<binary>, sketches array<binary>"
+    schema = common.PACK_SCHEMA + ", sizes_n array<long>, classes array<binary>, sketches array<binary>, briefs array<binary>"
     stats_of = _stats(words)
     packs_all = common.stored(common.texts_of(docs).mapInArrow(lambda it: common.pack_batches(it, stats_of), schema), "jaccard-packs")
     packs = packs_all.select("shard", "sizes", "body")
     total = packs_all.agg(F.sum(F.aggregate("sizes_n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first().n or 0
-    rows = packs_all.select("shard", F.posexplode(F.arrays_zip("doc_ids", "sizes_n", "classes", "sketches")).alias("ord", "x")).select(
-        (F.shiftleft("shard", common.ORD_BITS) + F.col("ord")).alias("ref"), F.col("x.doc_ids").alias("doc_id"), F.col("x.sizes_n").alias("n"), F.col("x.classes").alias("class"), F.col("x.sketches").alias("sketch")
+    rows = packs_all.select("shard", F.posexplode(F.arrays_zip("doc_ids", "sizes_n", "classes", "sketches", "briefs")).alias("ord", "x")).select(
+        (F.shiftleft("shard", common.ORD_BITS) + F.col("ord")).alias("ref"), F.col("x.doc_ids").alias("doc_id"), F.col("x.sizes_n").alias("n"), F.col("x.classes").alias("class"), F.col("x.sketches").alias("sketch"), F.col("x.briefs").alias("brief")
     )
-    classes = common.stored(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("ref").alias("ref"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "jaccard-classes")
+    classes = common.stored(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("ref").alias("ref"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("brief").alias("brief")), "jaccard-classes")
 
     buckets = max(common.part_count(spark), int(total * 0.6) // BUCKET_KEYS + 1)
     reps = classes.select(F.shiftright("ref", common.ORD_BITS).alias("shard"), "ref")
@@ -347,25 +361,27 @@ def jaccard_join(docs: DataFrame, words: int = 5) -> DataFrame:
 
     groups = common.stored(found.join(classes.select("ref", "n"), "ref").withColumn("allowed", allowed("n", "guest")), "jaccard-groups")
     costly = Window.partitionBy("ref", "guest").orderBy("fixed", F.desc("size"), "gid").rowsBetween(Window.unboundedPreceding, 0)
-    probes = groups.withColumn("probe", F.col("fixed") | (F.sum("units").over(costly) > F.col("allowed"))).groupBy("gid", "ref").agg(F.max("probe").alias("probe"), F.max("size").alias("size"), F.sum("units").alias("units"))
+    probes = groups.withColumn("probe", F.col("fixed") | (F.sum("units").over(costly) > F.col("allowed"))).groupBy("gid", "ref").agg(F.max("probe").alias("probe"), F.max("n").alias("n"), F.max("size").alias("size"), F.sum("units").alias("units"))
     probes = common.stored(probes, "jaccard-probes")
     score = probes.groupBy("ref").agg(F.sum(F.col("units") * F.col("size")).alias("score"))
     asked = probes.groupBy("gid").agg(F.max("probe").alias("any")).where("any").select("gid")
-    members = common.stored(probes.join(asked, "gid").join(score, "ref").select("gid", "ref", "probe", "score"), "jaccard-members")
-    stats = classes.select("ref", "n", "sketch")
+    members = common.stored(probes.join(asked, "gid").join(score, "ref").select("gid", "ref", "probe", "n", "score"), "jaccard-members")
+    common.discard(groups, probes)
+    stats = classes.select("ref", "n", "sketch", "brief")
 
     links = roots = checked = None
-    central = F.max_by(F.struct("ref", "root"), F.struct("score", F.negative("ref"))).alias("hub")
-    for round_ in range(HUB_ROUNDS + 1):
+    central = F.max_by(F.struct("ref", "root", "n"), F.struct("score", F.negative("ref"))).alias("hub")
+    rounds, last = 0, False
+    while True:
         # What is still apart: per group, the component of most members, and the others.
         placed = _with_roots(members, roots)
         largest = placed.groupBy("gid", "root").agg(F.count("*").alias("n")).groupBy("gid").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1").select("gid", "major")
         apart = common.stored(placed.join(largest, "gid"), "jaccard-apart")
-        if round_ < HUB_ROUNDS:
-            hubs = apart.where("root <> major OR " + str(round_ == 0)).groupBy("gid").agg(central)
-            met = apart.join(hubs, "gid").where("root <> hub.root").select(F.least("ref", "hub.ref").alias("a"), F.greatest("ref", "hub.ref").alias("b"))
-        else:
+        if last:
             met = _met(apart, stats)
+        else:
+            hubs = apart.where("root <> major OR " + str(rounds == 0)).groupBy("gid").agg(central)
+            met = apart.join(hubs, "gid").where("root <> hub.root AND 9 * abs(n - hub.n) <= n + hub.n").select(F.least("ref", "hub.ref").alias("a"), F.greatest("ref", "hub.ref").alias("b"))
         pairs = met.distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
@@ -374,6 +390,11 @@ def jaccard_join(docs: DataFrame, words: int = 5) -> DataFrame:
         links = new if links is None else links.unionByName(new)
         checked = pairs if checked is None else checked.unionByName(pairs)
         roots = common.stored(components(links, "a", "b"), "jaccard-roots")
+        common.discard(apart)
+        if last:
+            break
+        rounds += 1
+        last = rounds == HUB_ROUNDS or new.count() < HUB_YIELD * pairs.count()
 
     merged = classes.join(roots.withColumnRenamed("vertex", "ref"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
     merged = common.stored(merged.select("class", "root", "least"), "jaccard-merged")
