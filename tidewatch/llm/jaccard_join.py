@@ -34,6 +34,8 @@ from tidewatch.llm.components import components
 BUCKET_KEYS = 4_000_000
 #: Cells of a sketch (shingle counts by the top bits of their hash), of the brief one that groups carry, and of a coarse one; each is summed from the one before.
 CELLS, BRIEF, COARSE = 512, 128, 32
+#: Sets of fewer shingles are told apart by the brief sketch alone.
+FINE = 1500
 #: How many keys' worth a key costs that holds too little to tell documents apart.
 WEAK_KEY = 20.0
 #: Rows of a block when members of a group are compared.
@@ -243,17 +245,36 @@ def _near(width: int):
 
 
 def _block(table: pa.Table) -> pa.Table:
-    """Pairs of a block's members that are still apart and may link."""
+    """Pairs of a block's members that are still apart and may link. Members stand by size, so each meets only a run of them."""
+    table = table.sort_by("n")
     few = table["few"].to_numpy().astype(bool)
     ref, root, n, probe = (table[c].to_numpy() for c in ("ref", "root", "n", "probe"))
-    cells = _cells(table["brief"], BRIEF)
-    coarse = cells.reshape(len(cells), COARSE, -1).sum(2, dtype=np.int32)
-    out_a, out_b = [], []
+    probe, raw = probe.astype(bool), table["brief"].to_pylist()
+    cells = np.frombuffer(b"".join(x if len(x) == BRIEF else brief(x) for x in raw), np.uint8).reshape(-1, BRIEF).astype(np.int16)
+    fine = np.array([len(x) == CELLS for x in raw])
+    whole = np.zeros((len(raw), CELLS), np.int16) if fine.any() else cells
+    for i in np.flatnonzero(fine).tolist():
+        whole[i] = np.frombuffer(raw[i], np.uint8)
     others = np.flatnonzero(~few)
+    own = {"n": n[others], "root": root[others], "probe": probe[others], "cells": cells[others]}
+    own["coarse"] = own["cells"].reshape(len(others), COARSE, -1).sum(2, dtype=np.int16)
+    out_a, out_b = [], []
+    # 9 |x - y| <= x + y: sizes from four fifths to five fourths.
+    low, high = np.searchsorted(own["n"], -(-4 * n // 5)), np.searchsorted(own["n"], 5 * n // 4, side="right")
     for i in np.flatnonzero(few).tolist():
-        j = others[(root[others] != root[i]) & (probe[others].astype(bool) | bool(probe[i])) & (9 * np.abs(n[others] - n[i]) <= n[others] + n[i])]
-        j = j[9 * np.abs(coarse[j] - coarse[i]).sum(1) <= n[j] + n[i]]
-        j = j[9 * np.abs(cells[j] - cells[i]).sum(1, dtype=np.int64) <= n[j] + n[i]]
+        a, b, x = low[i], high[i], cells[i]
+        if a >= b:
+            continue
+        coarse = x.reshape(COARSE, -1).sum(1, dtype=np.int16)
+        keep = 9 * np.abs(own["coarse"][a:b] - coarse).sum(1, dtype=np.int32) <= own["n"][a:b] + n[i]
+        keep &= own["root"][a:b] != root[i]
+        if not probe[i]:
+            keep &= own["probe"][a:b]
+        j = a + np.flatnonzero(keep)
+        j = j[9 * np.abs(own["cells"][j] - x).sum(1, dtype=np.int32) <= own["n"][j] + n[i]]
+        j = others[j]
+        if fine[i]:
+            j = j[~fine[j] | (9 * np.abs(whole[j] - whole[i]).sum(1, dtype=np.int32) <= n[j] + n[i])]
         out_a.append(np.minimum(ref[j], ref[i]))
         out_b.append(np.maximum(ref[j], ref[i]))
     empty = [np.zeros(0, np.int64)]
@@ -318,7 +339,7 @@ def _met(apart: DataFrame, stats: DataFrame) -> DataFrame:
     """All pairs that groups leave open: members outside the group's largest component against members of other components, in blocks."""
     open_groups = apart.groupBy("gid").agg(F.count_if(F.col("root") != F.col("major")).alias("minors"), F.count("*").alias("all"))
     sizes = open_groups.select("gid", (F.lit(1) + F.floor(F.col("minors") / BLOCK_FEW)).cast("int").alias("few_n"), (F.lit(1) + F.floor(F.col("all") / BLOCK_MANY)).cast("int").alias("many_n"))
-    left = apart.join(sizes, "gid").join(stats.select("ref", "brief"), "ref").withColumn("probe", F.col("probe").cast("int"))
+    left = apart.join(sizes, "gid").join(stats.select("ref", F.when(F.col("n") < FINE, F.col("brief")).otherwise(F.col("sketch")).alias("brief")), "ref").withColumn("probe", F.col("probe").cast("int"))
     columns = ["gid", "ref", "root", "probe", "n", "brief"]
     place = lambda n: F.pmod(F.xxhash64("ref"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
