@@ -103,3 +103,12 @@ def test_supplied_documents(spark):
     d = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     assert got(registry.op8_jaccard_join(spark, d)) == brute(rows)
+
+
+def test_large_groups_are_dealt_out_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jj, "BLOCK_FEW", 2)
+    monkeypatch.setattr(jj, "BLOCK_MANY", 3)
+    monkeypatch.setattr(jj, "HUB_ROUNDS", 1)
+    monkeypatch.setattr(jj, "BUCKET_MEMBERS", 5)
+    rows = cases(5)
+    assert got(jj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)

@@ -40,6 +40,8 @@ FINE = 1500
 WEAK_KEY = 20.0
 #: Rows of a block when members of a group are compared.
 BLOCK_FEW, BLOCK_MANY = 512, 4096
+#: Members of groups that are compared in one task's step, on average.
+BUCKET_MEMBERS = 20_000
 #: Rounds, at most, in which each group that is still apart is checked against one more hub, and the links per pair that a round must find to be followed by another.
 HUB_ROUNDS, HUB_YIELD = 3, 0.05
 
@@ -244,41 +246,78 @@ def _near(width: int):
     return near
 
 
+class _Sketches:
+    """Brief and, of large sets, whole sketches of some members, compared in growing detail."""
+
+    def __init__(self, raw: list[bytes], n: np.ndarray):
+        self.n, self.fine = n, np.fromiter((len(x) == CELLS for x in raw), bool, len(raw))
+        self.row = np.cumsum(self.fine) - 1
+        self.whole = np.frombuffer(b"".join(x for x in raw if len(x) == CELLS), np.uint8).reshape(-1, CELLS)
+        self.brief = np.zeros((len(raw), BRIEF), np.uint8)
+        self.brief[~self.fine] = np.frombuffer(b"".join(x for x in raw if len(x) == BRIEF), np.uint8).reshape(-1, BRIEF)
+        self.brief[self.fine] = np.minimum(self.whole.reshape(len(self.whole), BRIEF, CELLS // BRIEF).sum(2, dtype=np.int32), 255)
+        self.coarse = self.brief.reshape(len(raw), COARSE, BRIEF // COARSE).sum(2, dtype=np.int16)
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs (a, b) may link."""
+        alive = np.arange(len(a))
+        both = self.fine[a] & self.fine[b]
+        for cells, rows in ((self.coarse, None), (self.brief, None), (self.whole, self.row)):
+            x, y = a[alive], b[alive]
+            ask = both[alive] if rows is not None else np.ones(len(alive), bool)
+            x, y = x[ask], y[ask]
+            i, j = (x, y) if rows is None else (rows[x], rows[y])
+            keep = np.ones(len(alive), bool)
+            keep[ask] = 9 * np.abs(cells[i].astype(np.int16) - cells[j]).sum(1, dtype=np.int32) <= self.n[x] + self.n[y]
+            alive = alive[keep]
+        return alive
+
+
+def _pairs_of(ref: np.ndarray, out_a: list[np.ndarray], out_b: list[np.ndarray]) -> pa.Table:
+    a, b = (ref[np.concatenate([np.zeros(0, np.int64), *x])] for x in (out_a, out_b))
+    return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _some_groups(table: pa.Table) -> pa.Table:
+    """Pairs within many groups that are still apart and may link. Members stand by group and size; each meets the next one, the one after, and so on while sizes allow."""
+    order = np.lexsort((table["n"].to_numpy(), table["gid"].to_numpy()))
+    gid, ref, root, n, probe = (table[c].to_numpy()[order] for c in ("gid", "ref", "root", "n", "probe"))
+    probe, raw = probe.astype(bool), table["brief"].to_pylist()
+    cells = _Sketches([raw[i] for i in order.tolist()], n)
+    out_a, out_b = [], []
+    # 9 (y - x) <= x + y: y up to five fourths of x. The run that a member meets ends where its group or this bound does.
+    ends = np.searchsorted(gid, gid, side="right")
+    at, shift = np.arange(len(ref)), 1
+    while len(at):
+        at = at[at + shift < ends[at]]
+        at = at[4 * n[at + shift] <= 5 * n[at]]
+        to = at + shift
+        some = np.flatnonzero((root[at] != root[to]) & (probe[at] | probe[to]))
+        x, y = at[some], to[some]
+        keep = cells.near(x, y)
+        out_a.append(x[keep])
+        out_b.append(y[keep])
+        shift += 1
+    return _pairs_of(ref, out_a, out_b)
+
+
 def _block(table: pa.Table) -> pa.Table:
-    """Pairs of a block's members that are still apart and may link. Members stand by size, so each meets only a run of them."""
+    """The same for one block of a very large group: its few against its many."""
     table = table.sort_by("n")
     few = table["few"].to_numpy().astype(bool)
     ref, root, n, probe = (table[c].to_numpy() for c in ("ref", "root", "n", "probe"))
-    probe, raw = probe.astype(bool), table["brief"].to_pylist()
-    cells = np.frombuffer(b"".join(x if len(x) == BRIEF else brief(x) for x in raw), np.uint8).reshape(-1, BRIEF).astype(np.int16)
-    fine = np.array([len(x) == CELLS for x in raw])
-    whole = np.zeros((len(raw), CELLS), np.int16) if fine.any() else cells
-    for i in np.flatnonzero(fine).tolist():
-        whole[i] = np.frombuffer(raw[i], np.uint8)
-    others = np.flatnonzero(~few)
-    own = {"n": n[others], "root": root[others], "probe": probe[others], "cells": cells[others]}
-    own["coarse"] = own["cells"].reshape(len(others), COARSE, -1).sum(2, dtype=np.int16)
+    probe, others = probe.astype(bool), np.flatnonzero(~few)
+    cells = _Sketches(table["brief"].to_pylist(), n)
     out_a, out_b = [], []
-    # 9 |x - y| <= x + y: sizes from four fifths to five fourths.
-    low, high = np.searchsorted(own["n"], -(-4 * n // 5)), np.searchsorted(own["n"], 5 * n // 4, side="right")
+    low, high = np.searchsorted(n[others], -(-4 * n // 5)), np.searchsorted(n[others], 5 * n // 4, side="right")
     for i in np.flatnonzero(few).tolist():
-        a, b, x = low[i], high[i], cells[i]
-        if a >= b:
-            continue
-        coarse = x.reshape(COARSE, -1).sum(1, dtype=np.int16)
-        keep = 9 * np.abs(own["coarse"][a:b] - coarse).sum(1, dtype=np.int32) <= own["n"][a:b] + n[i]
-        keep &= own["root"][a:b] != root[i]
-        if not probe[i]:
-            keep &= own["probe"][a:b]
-        j = a + np.flatnonzero(keep)
-        j = j[9 * np.abs(own["cells"][j] - x).sum(1, dtype=np.int32) <= own["n"][j] + n[i]]
-        j = others[j]
-        if fine[i]:
-            j = j[~fine[j] | (9 * np.abs(whole[j] - whole[i]).sum(1, dtype=np.int32) <= n[j] + n[i])]
-        out_a.append(np.minimum(ref[j], ref[i]))
-        out_b.append(np.maximum(ref[j], ref[i]))
-    empty = [np.zeros(0, np.int64)]
-    return pa.Table.from_arrays([pa.array(np.concatenate(out_a or empty)), pa.array(np.concatenate(out_b or empty))], ["a", "b"])
+        j = others[low[i] : high[i]]
+        j = j[root[j] != root[i]]
+        j = j if probe[i] else j[probe[j]]
+        j = j[cells.near(np.full(len(j), i), j)]
+        out_a.append(np.full(len(j), i))
+        out_b.append(j)
+    return _pairs_of(ref, out_a, out_b)
 
 
 def _texts_of(pack: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -336,16 +375,25 @@ def _with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _met(apart: DataFrame, stats: DataFrame) -> DataFrame:
-    """All pairs that groups leave open: members outside the group's largest component against members of other components, in blocks."""
+    """All pairs that groups leave open: members outside the group's largest component against members of other components.
+
+    Groups of up to BLOCK_MANY members go to tasks many at a time; a larger one is dealt out in blocks.
+    """
     open_groups = apart.groupBy("gid").agg(F.count_if(F.col("root") != F.col("major")).alias("minors"), F.count("*").alias("all"))
-    sizes = open_groups.select("gid", (F.lit(1) + F.floor(F.col("minors") / BLOCK_FEW)).cast("int").alias("few_n"), (F.lit(1) + F.floor(F.col("all") / BLOCK_MANY)).cast("int").alias("many_n"))
-    left = apart.join(sizes, "gid").join(stats.select("ref", F.when(F.col("n") < FINE, F.col("brief")).otherwise(F.col("sketch")).alias("brief")), "ref").withColumn("probe", F.col("probe").cast("int"))
+    cells = stats.select("ref", F.when(F.col("n") < FINE, F.col("brief")).otherwise(F.col("sketch")).alias("brief"))
+    sizes = open_groups.select("gid", "all", (F.lit(1) + F.floor(F.col("minors") / BLOCK_FEW)).cast("int").alias("few_n"), (F.lit(1) + F.floor(F.col("all") / BLOCK_MANY)).cast("int").alias("many_n"))
+    left = apart.join(sizes, "gid").withColumn("probe", F.col("probe").cast("int"))
+    whole = left.where(F.col("all") <= BLOCK_MANY)
+    buckets = max(common.part_count(apart.sparkSession), apart.count() // BUCKET_MEMBERS + 1)
+    whole = whole.join(cells, "ref").select("gid", "ref", "root", "probe", "n", "brief", F.pmod(F.xxhash64("gid"), F.lit(buckets)).alias("bucket"))
+    within = whole.groupBy("bucket").applyInArrow(_some_groups, "a long, b long")
+    left = left.where(F.col("all") > BLOCK_MANY).join(cells, "ref")
     columns = ["gid", "ref", "root", "probe", "n", "brief"]
     place = lambda n: F.pmod(F.xxhash64("ref"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     few = left.where("root <> major").select(*columns, F.lit(1).alias("few"), place("few_n").alias("i"), each("many_n").alias("j"))
     many = left.select(*columns, F.lit(0).alias("few"), each("few_n").alias("i"), place("many_n").alias("j"))
-    return few.unionByName(many).groupBy("gid", "i", "j").applyInArrow(_block, "a long, b long")
+    return within.unionByName(few.unionByName(many).groupBy("gid", "i", "j").applyInArrow(_block, "a long, b long"))
 
 
 def jaccard_join(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -417,6 +465,7 @@ def jaccard_join(docs: DataFrame, words: int = 5) -> DataFrame:
         rounds += 1
         last = rounds == HUB_ROUNDS or new.count() < HUB_YIELD * pairs.count()
 
+    common.discard(members, checked)
     merged = classes.join(roots.withColumnRenamed("vertex", "ref"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
     merged = common.stored(merged.select("class", "root", "least"), "jaccard-merged")
     named = merged.join(merged.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "component_id")
