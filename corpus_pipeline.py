@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated chunks of lines; n_chars follows the text, and a null text stays null."""
-    done = line_dedup(docs)
+    """Documents without repeated passages of lines; n_chars follows the text, and a null text stays null."""
+    done = line_dedup(docs, whole=True)
     kept = [F.coalesce(F.length("text").cast(dict(docs.dtypes)[c]), F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return done.select(*kept)
 

@@ -70,3 +70,51 @@ def test_supplied_documents(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
     assert got(ld.line_dedup(docs)) == brute(spark, rows)
+
+
+def passages_by_hand(rows):
+    """Lines that a whole run removes, by plain Python, for texts without blank lines and with distinct doc_ids in order."""
+    first, out = {}, {}
+    for d, text, _ in rows:
+        lines, gone = text.split("\n"), set()
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            at = first.setdefault(pair, (d, i))
+            if at[0] != d or at[1] + 2 <= i:
+                gone |= {i, i + 1}
+        out[d] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone))
+    return sorted(((d, *v) for d, v in out.items()), key=str)
+
+
+def planted():
+    rng = random.Random(7)
+    line = lambda: " ".join(str(rng.randint(0, 10**6)) for _ in range(3))
+    passages = {n: [[line() for _ in range(n)] for _ in range(6)] for n in range(2, 13)}
+    rows, lengths = [], {}
+    for copy in range(2):
+        for n, found in passages.items():
+            for p in found:
+                lengths[len(rows)] = n if copy else 0
+                rows.append((len(rows), "\n".join([line() for _ in range(rng.randint(1, 4))] + p + [line() for _ in range(rng.randint(1, 4))]), "x"))
+    return rows, lengths
+
+
+def test_planted_passages_go_whole(spark, monkeypatch):
+    rows, lengths = planted()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    done = ld.line_dedup(df, whole=True)
+    assert {r.doc_id: r.n_removed for r in done.collect()} == lengths
+    assert got(done) == passages_by_hand(rows)
+    want, real = got(done), F.xxhash64
+    monkeypatch.setattr(ld.F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(5)) if isinstance(c[0], str) and c[0] == "body" else real(*c))
+    assert got(ld.line_dedup(df, whole=True)) == want
+
+
+def test_whole_repeats_within_a_text_and_over_blank_lines(spark):
+    rows = [(1, "a\na\na\na\na", "x"), (2, "p\nq\np\nq\np", "x"), (3, "u\n\n\n\nv\nown", "x"), (4, "one\nu\n\n\n\nv\n\ntwo", "x"), (5, "u\nnew", "x"), (6, None, "x"), (None, "p\nq", "x")]
+    out = {r.doc_id: r.text for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, lang string"), whole=True).collect()}
+    assert out == {1: "a\na", 2: "", 3: "u\n\n\n\nv\nown", 4: "one\n\ntwo", 5: "u\nnew", 6: None, None: "p\nq"}
+
+
+def test_chunks_have_two_lines_at_least(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("__text", F.col("text"))
+    assert ld.chunked(docs).where("size(split(text, '\n')) > 1 and exists(__chunks, c -> size(c) < 2)").count() == 0

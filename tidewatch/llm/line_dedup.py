@@ -1,9 +1,11 @@
-"""Line dedup on content-defined chunks, in DataFrame functions only.
+"""Line dedup on content-defined chunks and neighbouring lines, in DataFrame functions only.
 
 Lines are hashed; a rolling hash over each two neighbouring line hashes chooses where chunks end, so an
-inserted or deleted line moves boundaries only nearby. A chunk of at least two lines that occurs again
-anywhere is repeated: its first place (least doc_id, then place) keeps it, the others lose it. Hashes
-only nominate; chunks are removed after their bytes have been compared.
+inserted or deleted line moves boundaries only nearby. No boundary closes a chunk of fewer than two lines.
+A chunk that occurs again anywhere is repeated: its first place (least doc_id, then place) keeps it, the
+others lose it. With `whole`, repeats are followed to their real ends: each two neighbouring non-blank
+lines, with the blank lines between them, are a passage too, so that no repeat of two lines or more depends
+on where chunks end. Hashes only nominate; passages are removed after their bytes have been compared.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import stored
 
-#: A chunk ends where the rolling hash is 0 modulo this, so chunks hold about so many lines.
+#: A chunk may end where the rolling hash is 0 modulo this.
 DIVISOR = 3
 
 
@@ -22,62 +24,108 @@ def _held(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
+def _split(df: DataFrame) -> DataFrame:
+    """Adds `__lines`: the lines of `__text`. A null text has none."""
+    return _held(df, __lines=F.coalesce(F.split("__text", "\n", -1), F.array().cast("array<string>")))
+
+
+def _ended(df: DataFrame) -> DataFrame:
+    """Adds `__ends`: for each chunk of `__lines`, the number of lines up to its end."""
+    df = _held(df, __hashes=F.transform("__lines", lambda x: F.xxhash64(x)))
+    before, last = F.concat(F.array(F.lit(0).cast("long")), "__hashes"), F.size("__hashes") - 1
+    df = _held(df, __rolled=F.zip_with(before, "__hashes", lambda a, b: F.xxhash64(a, b)))
+    df = _held(df, __cut=F.transform("__rolled", lambda x, i: F.when((i > 0) & (i < last - 1) & (F.pmod(x, F.lit(DIVISOR)) == 0), x)))
+    # Of boundaries one line apart, only one whose hash is the least stays; of equal ones the earlier.
+    left, right = (lambda i: F.when(i > 0, F.get("__cut", i - 1))), (lambda i: F.get("__cut", i + 1))
+    stays = lambda x, i: x.isNotNull() & F.coalesce(x < left(i), F.lit(True)) & F.coalesce(x <= right(i), F.lit(True))
+    return _held(df, __ends=F.filter(F.transform("__cut", lambda x, i: F.when(stays(x, i) | (i == last), i + 1)), lambda x: x.isNotNull())).drop("__hashes", "__rolled", "__cut")
+
+
 def chunked(df: DataFrame) -> DataFrame:
     """Adds `__chunks`: the chunks of `__text`, each an array of lines. A null text has none."""
-    df = _held(df, __lines=F.coalesce(F.split("__text", "\n", -1), F.array().cast("array<string>")))
-    df = _held(df, __hashes=F.transform("__lines", lambda x: F.xxhash64(x)))
-    before = F.concat(F.array(F.lit(0).cast("long")), "__hashes")
-    df = _held(df, __cut=F.zip_with(before, "__hashes", lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(DIVISOR)) == 0))
-    last = F.size("__hashes") - 1
-    df = _held(df, __ends=F.filter(F.transform("__hashes", lambda x, i: F.when(F.get("__cut", i) | (i == last), i + 1)), lambda x: x.isNotNull()))
+    df = _ended(_split(df))
     starts = F.concat(F.array(F.lit(0)), "__ends")
     chunks = F.transform("__ends", lambda e, j: F.slice("__lines", F.get(starts, j) + 1, e - F.get(starts, j)))
-    return _held(df, __chunks=chunks).drop("__lines", "__hashes", "__cut", "__ends")
+    return _held(df, __chunks=chunks).drop("__lines", "__ends")
+
+
+def _blank(line: Column) -> Column:
+    return F.trim(line, F.lit("\n\t\r ")) == ""
+
 
+def _body(start: Column, size: Column) -> Column:
+    return F.array_join(F.slice("__lines", start + 1, size), "\n")
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """Remove repeated multi-line chunks; every other column stays as it is.
+
+def _passages(df: DataFrame, whole: bool) -> DataFrame:
+    """One row per passage that may be repeated: its first line's number, its number of lines and its text."""
+    df = _ended(_split(df))
+    starts = F.concat(F.array(F.lit(0)), "__ends")
+    found = F.filter(F.transform("__ends", lambda e, j: F.struct(F.get(starts, j).alias("start"), (e - F.get(starts, j)).alias("size"))), lambda c: c["size"] > 1)
+    if whole:
+        df = _held(df, __full=F.filter(F.transform("__lines", lambda x, i: F.when(~_blank(x), i)), lambda x: x.isNotNull()))
+        pairs = F.filter(F.transform("__full", lambda a, k: F.struct(a.alias("start"), (F.get("__full", k + 1) - a + 1).alias("size"))), lambda c: c["size"].isNotNull())
+        # A chunk with text in its first and its last line consists of such pairs.
+        edged = F.filter(found, lambda c: _blank(F.get("__lines", c["start"])) | _blank(F.get("__lines", c["start"] + c["size"] - 1)))
+        found = F.concat(pairs, edged)
+    df = df.select("__id", "__key", "__lines", F.inline(found))
+    return df.select("__id", "__key", "start", "size", _body(F.col("start"), F.col("size")).alias("body")).where("trim('\n\t\r ' FROM body) <> ''")
+
+
+def _stays() -> Column:
+    """Whether a passage is the first of its kind, or overlaps the first, which would lose lines with it."""
+    first = F.col("first")
+    return first["__id"].eqNullSafe(F.col("__id")) & (first["__key"] == F.col("__key")) & (F.col("start") < first["start"] + F.col("size"))
+
+
+def line_dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """Remove repeated passages of several lines; every other column stays as it is.
 
     Returns one row per input row: its columns, with `text` without the removed lines, then n_lines and
     n_removed (long; input columns of these names are replaced). A null text has no lines and stays null;
-    an empty text has one empty line. Chunks of one line, or of blank lines only, are never removed. Of
-    equal chunks, the one of the least doc_id (null first), then of the least text hash, then the earliest
-    stays. Rows equal in doc_id and text count as one place and share their result. An empty table gives
-    an empty result.
+    an empty text has one empty line. Passages are the chunks; with `whole`, also each two neighbouring
+    non-blank lines with the blank lines between them, so that every repeat of at least two non-blank lines
+    goes from its first line to its last. Chunks of one line, or of blank lines only, are never removed. Of
+    equal passages, the one of the least doc_id (null first), then of the least text hash, then the earliest
+    stays, and so does one that overlaps it. Rows equal in doc_id and text count as one place and share
+    their result. An empty table gives an empty result.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     key = [F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("__key")]
     keyed = docs.select(*names, *key)
-    rows = chunked(docs.select(*key, F.col("text").cast("string").alias("__text"))).select("__id", "__key", F.posexplode("__chunks").alias("chunk", "lines"))
-    hashed = rows.where("size(lines) > 1").select("__id", "__key", "chunk", F.array_join("lines", "\n").alias("body")).where("trim('\n\t\r ' FROM body) <> ''").select("__id", "__key", "chunk", F.xxhash64("body").alias("hash"))
-    places = stored(hashed, "line-places")
-    place = F.struct("__id", "__key", "chunk")
+    places = stored(_passages(docs.select(*key, F.col("text").cast("string").alias("__text")), whole).select("__id", "__key", "start", "size", F.xxhash64("body").alias("hash")), "line-places")
+    place = F.struct("__id", "__key", "start")
     again = places.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first")
-    named = places.join(again, "hash").select("__id", "__key", F.struct("chunk", "hash", (place == F.col("first")).alias("first")).alias("c"))
+    named = places.join(again, "hash").select("__id", "__key", F.struct("start", "size", "hash", _stays().alias("stays")).alias("c"))
     nominated = named.groupBy("__id", "__key").agg(F.sort_array(F.collect_set("c")).alias("__named")).withColumnRenamed("__id", "__n_id").withColumnRenamed("__key", "__n_key")
     joined = stored(keyed.join(nominated, F.col("__id").eqNullSafe(F.col("__n_id")) & (F.col("__key") == F.col("__n_key")), "left").drop("__n_id", "__n_key"), "line-nominated")
 
     # Bytes are compared by grouping: texts that share a hash but differ fall into different groups.
-    shown = chunked(joined.where("__named IS NOT NULL").select("__named", F.col("text").cast("string").alias("__text"))).select(F.explode("__named").alias("c"), "__chunks").select(F.col("c.hash").alias("hash"), F.array_join(F.get("__chunks", F.col("c.chunk")), "\n").alias("body"))
+    shown = _shown(joined).select("hash", "body")
     clashes = stored(shown.distinct().groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line-clashes")
     if not clashes.isEmpty():
         joined = _without_clashes(joined, clashes, names)
-    gone = F.transform(F.filter(F.coalesce("__named", F.array().cast("array<struct<chunk:int,hash:bigint,first:boolean>>")), lambda c: ~c["first"]), lambda c: c["chunk"])
-    final = _held(chunked(joined.withColumn("__text", F.col("text").cast("string"))), __gone=gone)
-    kept = F.flatten(F.filter("__chunks", lambda c, i: ~F.array_contains("__gone", i)))
-    lines = F.aggregate("__chunks", F.lit(0).cast("long"), lambda n, c: n + F.size(c))
-    final = _held(final, __kept=F.when(F.col("text").isNotNull(), F.array_join(kept, "\n")), __n_lines=lines, __n_kept=F.size(kept).cast("long"))
+    lost = F.filter(F.coalesce("__named", F.array().cast("array<struct<start:int,size:int,hash:bigint,stays:boolean>>")), lambda c: ~c["stays"])
+    final = _held(_split(joined.withColumn("__text", F.col("text").cast("string"))), __gone=F.flatten(F.transform(lost, lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1))))
+    every = F.when(F.size("__lines") > 0, F.sequence(F.lit(0), F.size("__lines") - 1)).otherwise(F.array().cast("array<int>"))
+    final = _held(final, __stay=F.array_except(every, "__gone"))
+    kept = F.transform("__stay", lambda i: F.get("__lines", i))
+    final = _held(final, __kept=F.when(F.col("text").isNotNull(), F.array_join(kept, "\n")), __n_lines=F.size("__lines").cast("long"), __n_kept=F.size("__stay").cast("long"))
     return final.select(*(F.col("__kept").alias("text") if c == "text" else F.col(c) for c in names), F.col("__n_lines").alias("n_lines"), (F.col("__n_lines") - F.col("__n_kept")).alias("n_removed"))
 
 
+def _shown(joined: DataFrame) -> DataFrame:
+    """The nominated passages with their text."""
+    texts = _split(joined.where("__named IS NOT NULL").select("__id", "__key", "__named", F.col("text").cast("string").alias("__text")))
+    return texts.select("__id", "__key", "__lines", F.explode("__named").alias("c")).select("__id", "__key", "c", F.col("c.start").alias("start"), F.col("c.size").alias("size"), F.col("c.hash").alias("hash"), _body(F.col("c.start"), F.col("c.size")).alias("body"))
+
+
 def _without_clashes(joined: DataFrame, clashes: DataFrame, names: list[str]) -> DataFrame:
-    """Decide chunks whose hash belongs to different texts by those texts: the first place of each text keeps it."""
-    texts = chunked(joined.where("__named IS NOT NULL").select("__id", "__key", "__named", F.col("text").cast("string").alias("__text")))
-    shown = texts.select("__id", "__key", F.explode("__named").alias("c"), "__chunks").select("__id", "__key", "c", F.col("c.hash").alias("hash"), F.array_join(F.get("__chunks", F.col("c.chunk")), "\n").alias("body"))
+    """Decide passages whose hash belongs to different texts by those texts: the first place of each text keeps it."""
+    shown = _shown(joined)
     own = shown.join(clashes, "hash")
-    place = F.struct("__id", "__key", F.col("c.chunk").alias("chunk"))
-    first = own.groupBy("hash", "body").agg(F.min(place).alias("first"))
-    decided = own.join(first, ["hash", "body"]).select("__id", "__key", F.struct(F.col("c.chunk").alias("chunk"), F.col("hash"), (place == F.col("first")).alias("first")).alias("c"))
+    first = own.groupBy("hash", "body").agg(F.min(F.struct("__id", "__key", "start")).alias("first"))
+    decided = own.join(first, ["hash", "body"]).select("__id", "__key", F.struct("start", "size", "hash", _stays().alias("stays")).alias("c"))
     rest = shown.join(clashes, "hash", "left_anti").select("__id", "__key", "c")
     nominated = decided.unionByName(rest).groupBy(F.col("__id").alias("__n_id"), F.col("__key").alias("__n_key")).agg(F.sort_array(F.collect_set("c")).alias("__decided"))
     back = joined.join(nominated, F.col("__id").eqNullSafe(F.col("__n_id")) & (F.col("__key") == F.col("__n_key")), "left")

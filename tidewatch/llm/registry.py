@@ -40,7 +40,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
