@@ -63,3 +63,21 @@ def test_rows(spark):
     assert {(1, f"call {new}", 1, "address:1"), (2, None, 0, ""), (3, "", 0, ""), (4, f"call {new}", 1, "address:1"), (None, "x", 0, ""), (6, "7" * 40, 0, "")} <= got
     assert pii.pseudonymise(df).count() == len(rows)
     assert pii.pseudonymise(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_secrets_of_any_length_and_with_dots_are_hidden():
+    own, rng = pii.Pseudonyms(b"key"), random.Random(4)
+    wide, narrow = pii.string.ascii_letters + pii.string.digits + "_-", "0123456789abcdef"
+    made = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    signed = "eyJhbGciOiJIUzI1NiJ9." + made(90, wide) + "." + made(43, wide)
+    for secret in (signed, "a1." + made(20, wide), *(made(n, wide) for n in (96, 97, 200, 256, 257, 5000)), *(made(n, narrow) for n in (200, 257, 512, 20_000)), "1" * 300 + "z" + "2" * 20, "=" * 300 + "a1"):
+        text = f'Text, access_key = "{secret}" and token: "{secret}"!'
+        new, counts = own.replace(text)
+        assert counts == {"secret": 2} and len(new) == len(text)
+        out = new.split('"')[1]
+        assert new.split('"')[3] == out and own.replace(new, -1)[0] == text
+        assert (set(out) <= set(narrow)) == (set(secret) <= set(narrow))
+        changing = [(a, b) for a, b in zip(secret, out, strict=True) if a.isalnum()]
+        assert out != secret and (len(changing) < 20 or sum(a == b for a, b in changing) < len(changing) / 4)
+    for text in ('token = "' + "a" * 300 + '"', 'token = "' + "a1" * 50_000, 'token = "short.1"'):
+        assert own.replace(text) == (text, {})

@@ -164,17 +164,43 @@ def _email(text: str) -> Value | None:
     return own and Value(own.number, own.size, own.tweak, lambda x: f"{own.write(x)}@{domain}")
 
 
-def _secret(text: str) -> Value | None:
+#: A longer secret is replaced in blocks of at most so many characters, since half of a number must not exceed a mask.
+LONG = 96
+
+
+def _secret_kind(text: str) -> str | None:
+    """The digits of a hexadecimal secret, an empty string for any other, None for a text that is none."""
     if not any(c.isdigit() for c in text) or not any(c.isalpha() for c in text):
         return None
-    for digits in ("0123456789abcdef", "0123456789ABCDEF"):
-        if set(text) <= set(digits):
-            alphabets: list[str | None] = [digits] * len(text)
-            number, size = _rank(text, alphabets)
-            return Value(number, size, "hex" + digits[-1], lambda x: _unrank(x, text, alphabets))
+    return next((digits for digits in ("0123456789abcdef", "0123456789ABCDEF") if set(text) <= set(digits)), "")
+
+
+def _secret(text: str) -> Value | None:
+    digits = _secret_kind(text)
+    if digits is None:
+        return None
+    if digits:
+        alphabets: list[str | None] = [digits] * len(text)
+        number, size = _rank(text, alphabets)
+        return Value(number, size, "hex" + digits[-1], lambda x: _unrank(x, text, alphabets))
     return _patterned(text, "secret")
 
 
+def _secret_blocks(text: str) -> list[tuple[str, Value | None]]:
+    """Even blocks of a valid long secret, each a value of its place; None where a block has nothing to replace."""
+    digits, n = _secret_kind(text), -(-len(text) // LONG)
+    out: list[tuple[str, Value | None]] = []
+    for i in range(n):
+        part = text[len(text) * i // n : len(text) * (i + 1) // n]
+        if digits:
+            alphabets: list[str | None] = [digits] * len(part)
+            number, size = _rank(part, alphabets)
+            out.append((part, Value(number, size, f"hex{digits[-1]}|{i}", lambda x, part=part, alphabets=alphabets: _unrank(x, part, alphabets))))
+        else:
+            out.append((part, _patterned(part, f"secret|{i}")))
+    return out
+
+
 def _mod97(bban: str, country: str) -> str:
     number = int("".join(str(int(c, 36)) for c in bban + country + "00"))
     return f"{98 - number % 97:02d}"
@@ -223,7 +249,7 @@ def _day(text: str) -> Value | None:
 FORMATS = (
     Format("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"), _email),
     Format("account", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _account),
-    Format("secret", re.compile(r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']? {0,4}[=:] {0,4}[\"']([A-Za-z0-9_+/=-]{16,256})[\"']"), _secret, 1),
+    Format("secret", re.compile(r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']? {0,4}[=:] {0,4}[\"']([A-Za-z0-9_.+/=-]{16,}+)[\"']"), _secret, 1),
     Format("card", re.compile(r"(?<![A-Za-z0-9_])(?<![0-9][.,-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![A-Za-z0-9_])(?![.,-][0-9])"), _card),
     Format("social", re.compile(r"(?<![A-Za-z0-9_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_-])"), _social),
     Format("date", re.compile(r"(?<![A-Za-z0-9_])(?<![0-9][-/.])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![A-Za-z0-9_])(?![-/.][0-9])"), _day),
@@ -240,6 +266,8 @@ class Pseudonyms:
     def _of(self, at: int, text: str, by: int = 1) -> str | None:
         """The pseudonym of a value of the format with this number; None if the text is no valid value."""
         read = self.formats[at].read
+        if read is _secret and len(text) > LONG:
+            return self._long(text, by)
         value = read(text)
         if value is None:
             return None
@@ -252,6 +280,19 @@ class Pseudonyms:
             if (back := read(new)) and (back.number, back.size, back.tweak) == (number, value.size, value.tweak):
                 return new
 
+    def _long(self, text: str, by: int) -> str | None:
+        """The pseudonym of a long secret, each block of which moves along its own cycle."""
+        kind = _secret_kind(text)
+        if kind is None:
+            return None
+        parts = [(part, value, value and Permutation(self.key, value.tweak, value.size)) for part, value in _secret_blocks(text)]
+        numbers = [value.number if value else 0 for _, value, _ in parts]
+        while True:
+            numbers = [permutation.step(x, by) if permutation else x for x, (_, _, permutation) in zip(numbers, parts, strict=True)]
+            new = "".join(value.write(x) if value else part for x, (part, value, _) in zip(numbers, parts, strict=True))
+            if _secret_kind(new) == kind:
+                return new
+
     def replace(self, text: str, by: int = 1) -> tuple[str, dict[str, int]]:
         """The text with pseudonyms, and how many values of each kind it had. by=-1 undoes by=1."""
         if not re.search("[0-9@]", text):
@@ -266,7 +307,8 @@ class Pseudonyms:
                     taken += 1
                 if taken < len(spans) and spans[taken][0] < end:
                     continue
-                new = self.of(at, m.group(f.group), by)
+                # Very long values are not remembered.
+                new = (self.of if end - start <= LONG else self._of)(at, m.group(f.group), by)
                 if new is not None:
                     found.append((start, end, new))
                     counts[f.kind] = counts.get(f.kind, 0) + 1
