@@ -5,7 +5,7 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import stored
@@ -28,20 +28,34 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.select(*kept)
 
 
+def _key() -> Column:
+    """Both operators below judge a row by its text alone, so rows go by their text, whatever their ids."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least doc_id; rows equal in doc_id and text count once, and rows without doc_id all stay."""
-    groups = jaccard_join(docs, words=5)
-    kept = stored(groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct(), "representatives")
-    named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    once = named.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of near duplicates one row: the one of least doc_id (null last), of equal ids the one of least text hash.
+
+    Texts without words link with nothing: of those, rows equal in doc_id and text count once, and rows without doc_id all stay.
+    """
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    full, bare = docs.where(worded), docs.where(~worded)
+    groups = jaccard_join(full.select(_key().alias("doc_id"), "text"), words=5).groupBy(F.col("doc_id").alias("__of")).agg(F.min("component_id").alias("__group"))
+    least = full.groupBy(_key().alias("__key")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("least"))
+    chosen = least.join(groups, F.col("__key") == F.col("__of")).groupBy("__group").agg(F.min(F.struct("least.none", "least.id", "__key")).alias("r"))
+    chosen = stored(chosen.select(F.col("r.id").alias("__id"), F.col("r.__key").alias("__chosen")), "representatives")
+    keyed = full.withColumn("__key", _key())
+    named = keyed.where("doc_id IS NOT NULL").join(chosen, (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__chosen")), "left_semi").dropDuplicates(["doc_id", "__key"])
+    nameless = keyed.where("doc_id IS NULL").join(chosen.where("__id IS NULL"), F.col("__key") == F.col("__chosen"), "left_semi").dropDuplicates(["__key"])
+    once = bare.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(bare.where("doc_id IS NULL"))
+    return named.unionByName(nameless).drop("__key").unionByName(once)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark; rows without doc_id stay."""
-    judged = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13, share=20)
-    gone = stored(judged.where("contaminated").select(F.col("doc_id").alias("__gone")), "contaminated")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Rows whose text is not contaminated by the benchmark."""
+    judged = decontaminate(docs.select(_key().alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13, share=20)
+    gone = stored(judged.where("contaminated").select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
+    return docs.join(gone, _key() == F.col("__gone"), "left_anti")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
