@@ -110,5 +110,26 @@ def test_large_groups_are_dealt_out_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jj, "BLOCK_MANY", 3)
     monkeypatch.setattr(jj, "HUB_ROUNDS", 1)
     monkeypatch.setattr(jj, "BUCKET_MEMBERS", 5)
+    monkeypatch.setattr(jj, "PARTNERS", 1)
+    monkeypatch.setattr(jj, "PARTNERS_GROW", 2)
+    monkeypatch.setattr(jj, "BLOCK_PAIRS", 2)
+    monkeypatch.setattr(jj, "FETCH_BROADCAST", 3)
     rows = cases(5)
     assert got(jj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_dense_group_below_the_threshold(spark, monkeypatch):
+    """Copies that each lie just below, at or above 0.8 from the others: hubs and nearest partners alone don't tell."""
+    monkeypatch.setattr(jj, "PARTNERS", 1)
+    monkeypatch.setattr(jj, "PARTNERS_GROW", 2)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(90):
+        text = list(base)
+        for at in range(rng.randint(0, 9), 300, rng.choice((38, 41, 45, 48, 52, 60))):
+            text[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(text)))
+    want = brute(rows)
+    assert len({c for _, _, c in want}) > 5 and sum(d != c for d, _, c in want) > 20
+    assert got(jj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))) == want

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,8 +25,10 @@ PACK_SCHEMA = "shard long, doc_ids array<long>, sizes binary, body binary"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one where it names none."""
+    """The shared folder that the session names. Where it names none, one machine with all executors in it gets a temporary folder; a cluster gets an error."""
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.conf.set("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex))
     return spark.conf.get("spark.checkpoint.dir")
 
@@ -41,7 +44,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -56,6 +59,23 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of one key up to which no key counts as heavy.
+HEAVY_ROWS = 256
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with facts, which has one row per key and counts rows in its column `rows`, out of `total`.
+
+    A key that holds more than an eighth of a task's fair share is heavy; there are at most eight per task,
+    so their facts go to all tasks and their rows stay where they are. Both tables should be stored.
+    """
+    least = max(HEAVY_ROWS, total // (8 * part_count(rows.sparkSession)))
+    heavy, light = facts.where(F.col("rows") > least), facts.where(F.col("rows") <= least)
+    met = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return met.unionByName(rest.join(light, key, how)).drop("rows")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches by bytes, so that very long texts don't meet in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

@@ -8,10 +8,13 @@ neighbourhoods (such a segment counts twice). How many segments of either kind a
 by cost. Bands have some segments more than the bound needs: each set then leaves out the keys that
 most others share (an empty segment, a passage that many documents quote), as far as the bound allows.
 
-Equal sets are one class from the start. Sets that share a key form a group; groups are checked
-against a hub first, links found so are merged into components, and only members that are still apart
-are compared further: by an exact lower bound from sketches first, then on the sets themselves.
-So a large group of near copies costs its size, not its square.
+Equal sets are one class from the start. Sets that share a key form a group, and groups of one size
+class that share their most central member, the hub, are joined, so that a pair of sets meets in few
+places. A group's members meet the hub, then each other, by an exact lower bound on their difference
+from sketches; what may link is verified on the shingle hashes of the whole texts, the nearest pairs
+first, and links are merged into components. Only members that are still apart go on to the next round,
+in which each may name more partners, until none holds any back. So a large group of near copies costs
+about its size, not its square, and nothing is left out.
 """
 
 from __future__ import annotations
@@ -32,18 +35,22 @@ from tidewatch.llm.components import components
 
 #: Keys that a reducer holds at once, on average.
 BUCKET_KEYS = 4_000_000
-#: Cells of a sketch (shingle counts by the top bits of their hash), of the brief one that groups carry, and of a coarse one; each is summed from the one before.
+#: Cells of a sketch (shingle counts by the top bits of their hash), and of coarser ones, each summed from the one before.
 CELLS, BRIEF, COARSE = 512, 128, 32
-#: Sets of fewer shingles are told apart by the brief sketch alone.
-FINE = 1500
 #: How many keys' worth a key costs that holds too little to tell documents apart.
 WEAK_KEY = 20.0
 #: Rows of a block when members of a group are compared.
 BLOCK_FEW, BLOCK_MANY = 512, 4096
 #: Members of groups that are compared in one task's step, on average.
 BUCKET_MEMBERS = 20_000
-#: Rounds, at most, in which each group that is still apart is checked against one more hub, and the links per pair that a round must find to be followed by another.
-HUB_ROUNDS, HUB_YIELD = 3, 0.05
+#: Partners that a member names in the first round, and by what they grow from round to round.
+PARTNERS, PARTNERS_GROW = 4, 16
+#: Rounds in which a group too large for one task meets one more hub before it is compared in blocks.
+HUB_ROUNDS = 3
+#: Pairs that are verified together with the text of the one that they share.
+BLOCK_PAIRS = 64
+#: Texts to fetch, in number, up to which their references are sent to all tasks; beyond it they are joined by shard.
+FETCH_BROADCAST = 2_000_000
 
 _DEL, _GUEST = 1, 2
 
@@ -126,23 +133,17 @@ def sketch(found: np.ndarray) -> bytes:
     return np.minimum(np.bincount((found >> np.uint64(55)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
-def brief(cells: bytes) -> bytes:
-    return np.minimum(np.frombuffer(cells, np.uint8).reshape(BRIEF, -1).sum(1, dtype=np.int64), 255).astype(np.uint8).tobytes()
-
-
 def _cells(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width).astype(np.int16)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
 def _stats(words: int):
     def stats(texts: list[bytes]) -> dict[str, pa.Array]:
         sets = shingle_sets(texts, words)
-        sketches = [sketch(s) for s in sets]
         return {
             "sizes_n": pa.array([[len(s) for s in sets]], pa.list_(pa.int64())),
             "classes": pa.array([[xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]], pa.list_(pa.binary())),
-            "sketches": pa.array([sketches], pa.list_(pa.binary())),
-            "briefs": pa.array([[brief(s) for s in sketches]], pa.list_(pa.binary())),
+            "sketches": pa.array([[sketch(s) for s in sets]], pa.list_(pa.binary())),
         }
 
     return stats
@@ -202,7 +203,7 @@ def _signatures(words: int, buckets: int):
 
 
 def _groups(table: pa.Table) -> pa.Table:
-    """Groups of at least two sets that share a key; the same members in many keys are one group with a weight."""
+    """Groups of at least two sets that share a key; the same members in many keys are one group. Units: what leaving the group out costs the member, 1 for each key of an exact segment and 2 for one of a one-deletion segment."""
     refs = [np.frombuffer(x, np.uint32) for x in table["refs"].to_pylist()]
     tag = np.concatenate([np.frombuffer(x, np.uint32) for x in table["tags"].to_pylist()])
     shard = np.repeat(np.array(table["shard"].to_pylist(), np.int64), [len(x) for x in refs])
@@ -217,183 +218,249 @@ def _groups(table: pa.Table) -> pa.Table:
     weight: dict[bytes, list] = {}
     for at, n in zip(edges[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
         part = member[at : at + n]
-        found = weight.setdefault(xxhash.xxh3_64_digest(part.tobytes()), [part, 0, np.zeros(n, bool)])
-        found[1] += 1
-        found[2] = found[2] | flag[at : at + n]
+        found = weight.setdefault(xxhash.xxh3_64_digest(part.tobytes()), [part, np.zeros(n, np.int64)])
+        found[1] += 1 + flag[at : at + n]
     parts = list(weight.items())
     if not parts:
-        return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64())], ["gid", "ref", "guest", "units", "fixed", "size"])
+        return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())], ["gid", "ref", "guest", "units", "size"])
     n = np.array([len(v[0]) for _, v in parts])
     members = np.concatenate([v[0] for _, v in parts])
     return pa.Table.from_arrays(
         [
             pa.array(np.repeat(np.frombuffer(b"".join(k for k, _ in parts), np.int64), n)), pa.array(members >> 1), pa.array((members & 1).astype(bool)),
-            pa.array(np.repeat(np.array([v[1] for _, v in parts], np.int64), n)), pa.array(np.concatenate([v[2] for _, v in parts])), pa.array(np.repeat(n, n).astype(np.int64)),
+            pa.array(np.concatenate([v[1] for _, v in parts])), pa.array(np.repeat(n, n).astype(np.int64)),
         ],
-        ["gid", "ref", "guest", "units", "fixed", "size"],
+        ["gid", "ref", "guest", "units", "size"],
     )
 
 
-def _near(width: int):
-    """Pairs that sketches allow: the sketches' distance never exceeds the symmetric difference."""
+class _Sketches:
+    """Sketches of some members, compared in growing detail."""
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m = (batch[c].to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-            keep = 9 * np.abs(_cells(batch["cells_a"], width) - _cells(batch["cells_b"], width)).sum(1, dtype=np.int64) <= n + m
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+    def __init__(self, whole: np.ndarray, n: np.ndarray):
+        self.n, self.whole = n, whole
+        self.brief = whole.reshape(len(n), BRIEF, CELLS // BRIEF).sum(2, dtype=np.int16)
+        self.coarse = self.brief.reshape(len(n), COARSE, BRIEF // COARSE).sum(2, dtype=np.int32)
 
-    return near
+    def near(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs (a, b) may link, and the distance of their sketches, which never exceeds the symmetric difference."""
+        alive, far = np.arange(len(a)), np.zeros(0, np.int64)
+        for cells in (self.coarse, self.brief, self.whole):
+            x, y = a[alive], b[alive]
+            far = np.abs(cells[x].astype(np.int32) - cells[y]).sum(1, dtype=np.int64)
+            keep = 9 * far <= self.n[x] + self.n[y]
+            alive, far = alive[keep], far[keep]
+        return alive, far
 
 
-class _Sketches:
-    """Brief and, of large sets, whole sketches of some members, compared in growing detail."""
-
-    def __init__(self, raw: list[bytes], n: np.ndarray):
-        self.n, self.fine = n, np.fromiter((len(x) == CELLS for x in raw), bool, len(raw))
-        self.row = np.cumsum(self.fine) - 1
-        self.whole = np.frombuffer(b"".join(x for x in raw if len(x) == CELLS), np.uint8).reshape(-1, CELLS)
-        self.brief = np.zeros((len(raw), BRIEF), np.uint8)
-        self.brief[~self.fine] = np.frombuffer(b"".join(x for x in raw if len(x) == BRIEF), np.uint8).reshape(-1, BRIEF)
-        self.brief[self.fine] = np.minimum(self.whole.reshape(len(self.whole), BRIEF, CELLS // BRIEF).sum(2, dtype=np.int32), 255)
-        self.coarse = self.brief.reshape(len(raw), COARSE, BRIEF // COARSE).sum(2, dtype=np.int16)
-
-    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which of the pairs (a, b) may link."""
-        alive = np.arange(len(a))
-        both = self.fine[a] & self.fine[b]
-        for cells, rows in ((self.coarse, None), (self.brief, None), (self.whole, self.row)):
-            x, y = a[alive], b[alive]
-            ask = both[alive] if rows is not None else np.ones(len(alive), bool)
-            x, y = x[ask], y[ask]
-            i, j = (x, y) if rows is None else (rows[x], rows[y])
-            keep = np.ones(len(alive), bool)
-            keep[ask] = 9 * np.abs(cells[i].astype(np.int16) - cells[j]).sum(1, dtype=np.int32) <= self.n[x] + self.n[y]
-            alive = alive[keep]
-        return alive
-
-
-def _pairs_of(ref: np.ndarray, out_a: list[np.ndarray], out_b: list[np.ndarray]) -> pa.Table:
-    a, b = (ref[np.concatenate([np.zeros(0, np.int64), *x])] for x in (out_a, out_b))
-    return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-
-def _some_groups(table: pa.Table) -> pa.Table:
-    """Pairs within many groups that are still apart and may link. Members stand by group and size; each meets the next one, the one after, and so on while sizes allow."""
-    order = np.lexsort((table["n"].to_numpy(), table["gid"].to_numpy()))
-    gid, ref, root, n, probe = (table[c].to_numpy()[order] for c in ("gid", "ref", "root", "n", "probe"))
-    probe, raw = probe.astype(bool), table["brief"].to_pylist()
-    cells = _Sketches([raw[i] for i in order.tolist()], n)
-    out_a, out_b = [], []
-    # 9 (y - x) <= x + y: y up to five fourths of x. The run that a member meets ends where its group or this bound does.
-    ends = np.searchsorted(gid, gid, side="right")
-    at, shift = np.arange(len(ref)), 1
-    while len(at):
-        at = at[at + shift < ends[at]]
-        at = at[4 * n[at + shift] <= 5 * n[at]]
-        to = at + shift
-        some = np.flatnonzero((root[at] != root[to]) & (probe[at] | probe[to]))
-        x, y = at[some], to[some]
-        keep = cells.near(x, y)
-        out_a.append(x[keep])
-        out_b.append(y[keep])
-        shift += 1
-    return _pairs_of(ref, out_a, out_b)
-
-
-def _block(table: pa.Table) -> pa.Table:
+def _nearest(owner: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
+    """Which rows are among the k nearest of their owner, ties in the order given."""
+    order = np.lexsort((np.arange(len(owner)), far, owner))
+    first = np.r_[True, owner[order][1:] != owner[order][:-1]] if len(order) else np.zeros(0, bool)
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    keep = np.zeros(len(order), bool)
+    keep[order] = rank < k
+    return keep
+
+
+MET = "gid long, a long, b long, provisional boolean"
+
+
+def _met(gid: np.ndarray, a: np.ndarray, b: np.ndarray, provisional: np.ndarray, cut: np.ndarray) -> pa.Table:
+    """Pairs to verify, and a row without a pair for each group that held some back."""
+    none = pa.nulls(len(cut), pa.int64())
+    parts = [
+        pa.table({"gid": pa.array(gid), "a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "provisional": pa.array(provisional)}),
+        pa.table({"gid": pa.array(cut), "a": none, "b": none, "provisional": pa.array(np.zeros(len(cut), bool))}),
+    ]
+    return pa.concat_tables(parts)
+
+
+def _some_groups(first: bool, partners: int):
+    """Pairs within many whole groups that are still apart and may link.
+
+    In the first round members meet their hub; two that are near it are taken to be linked through it
+    until it is verified. Else members stand by group and size, and each meets the next one, the one
+    after, and so on while sizes allow. Of the pairs that may link, each member of a group's lesser
+    components names its `partners` nearest.
+    """
+
+    def some(table: pa.Table) -> pa.Table:
+        order = np.lexsort((table["n"].to_numpy(), table["gid"].to_numpy()))
+        gid, ref, root, n, hub, major = (table[c].to_numpy()[order] for c in ("gid", "ref", "root", "n", "hub", "major"))
+        probe = table["probe"].to_numpy().astype(bool)[order]
+        cells = _Sketches(_cells(table["sketch"], CELLS)[order], n)
+        taken = np.zeros(len(ref), bool)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if first:
+            at = np.flatnonzero(ref == hub)
+            start = np.searchsorted(gid, gid[at])
+            size = np.searchsorted(gid, gid[at], side="right") - start
+            own, of = np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size), np.repeat(at, size)
+            some = np.flatnonzero(root[own] != root[of])
+            x, y = own[some], of[some]
+            keep, _ = cells.near(x, y)
+            hubs = (x[keep], y[keep])
+            taken[x[keep]] = True
+            taken[at] = True
+        # 9 (y - x) <= x + y: y up to five fourths of x. The run that a member meets ends where its group or this bound does.
+        ends = np.searchsorted(gid, gid, side="right")
+        at, shift = np.arange(len(ref)), 1
+        while len(at):
+            at = at[at + shift < ends[at]]
+            at = at[4 * n[at + shift] <= 5 * n[at]]
+            to = at + shift
+            some = (root[at] != root[to]) & (probe[at] | probe[to]) & ~(taken[at] & taken[to])
+            if first:  # what was far from the hub has been compared with it
+                some &= (ref[at] != hub[at]) & (ref[to] != hub[to])
+            x, y = at[some], to[some]
+            keep, far = cells.near(x, y)
+            out.append((x[keep], y[keep], far))
+            shift += 1
+        x, y, far = (np.concatenate(c) for c in zip(*out, strict=True))
+        keep = np.zeros(len(x), bool)
+        for side in (x, y):
+            own = np.flatnonzero(root[side] != major[side])
+            keep[own] |= _nearest(side[own], far[own], partners)
+        cut = np.unique(gid[x[~keep]])
+        x, y, provisional = x[keep], y[keep], np.zeros(keep.sum(), bool)
+        if first:
+            x, y, provisional = np.r_[hubs[0], x], np.r_[hubs[1], y], np.r_[np.ones(len(hubs[0]), bool), provisional]
+        return _met(gid[x], ref[x], ref[y], provisional, cut)
+
+    return some
+
+
+def _block(partners: int):
     """The same for one block of a very large group: its few against its many."""
-    table = table.sort_by("n")
-    few = table["few"].to_numpy().astype(bool)
-    ref, root, n, probe = (table[c].to_numpy() for c in ("ref", "root", "n", "probe"))
-    probe, others = probe.astype(bool), np.flatnonzero(~few)
-    cells = _Sketches(table["brief"].to_pylist(), n)
-    out_a, out_b = [], []
-    low, high = np.searchsorted(n[others], -(-4 * n // 5)), np.searchsorted(n[others], 5 * n // 4, side="right")
-    for i in np.flatnonzero(few).tolist():
-        j = others[low[i] : high[i]]
-        j = j[root[j] != root[i]]
-        j = j if probe[i] else j[probe[j]]
-        j = j[cells.near(np.full(len(j), i), j)]
-        out_a.append(np.full(len(j), i))
-        out_b.append(j)
-    return _pairs_of(ref, out_a, out_b)
-
-
-def _texts_of(pack: pa.Table, wanted: pa.Table) -> pa.Table:
+
+    def block(table: pa.Table) -> pa.Table:
+        table = table.sort_by("n")
+        few = table["few"].to_numpy().astype(bool)
+        gid, ref, root, n, probe = (table[c].to_numpy() for c in ("gid", "ref", "root", "n", "probe"))
+        probe, others = probe.astype(bool), np.flatnonzero(~few)
+        cells = _Sketches(_cells(table["sketch"], CELLS), n)
+        out_a, out_b, cut = [], [], False
+        low, high = np.searchsorted(n[others], -(-4 * n // 5)), np.searchsorted(n[others], 5 * n // 4, side="right")
+        for i in np.flatnonzero(few).tolist():
+            j = others[low[i] : high[i]]
+            j = j[root[j] != root[i]]
+            j = j if probe[i] else j[probe[j]]
+            keep, far = cells.near(np.full(len(j), i), j)
+            cut |= len(keep) > partners
+            j = j[keep[np.argsort(far, kind="stable")[:partners]]]
+            out_a.append(np.full(len(j), i))
+            out_b.append(j)
+        a, b = (ref[np.concatenate([np.zeros(0, np.int64), *x])] for x in (out_a, out_b))
+        return _met(np.full(len(a), gid[0]), a, b, np.zeros(len(a), bool), gid[:1] if cut else gid[:0])
+
+    return block
+
+
+def _hub_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        gid, ref, hub, n, hub_n = (batch[c].to_numpy() for c in ("gid", "ref", "hub", "n", "hub_n"))
+        far = np.abs(_cells(batch["sketch"], CELLS).astype(np.int16) - _cells(batch["hub_sketch"], CELLS)).sum(1, dtype=np.int64)
+        keep = 9 * far <= n + hub_n
+        yield from _met(gid[keep], ref[keep], hub[keep], np.zeros(keep.sum(), bool), np.unique(gid)).to_batches()
+
+
+def _compared(apart: DataFrame, stats: DataFrame, rounds: int) -> DataFrame:
+    """(gid, a, b, provisional): what the groups that are still apart want verified in this round; a is null where a group holds pairs back.
+
+    Groups of up to BLOCK_MANY members go to tasks many at a time. A larger one meets a hub in each of the
+    first rounds, then it is dealt out in blocks.
+    """
+    spark = apart.sparkSession
+    partners = lambda r: PARTNERS * PARTNERS_GROW ** min(max(r, 0), 12)
+    shape = apart.groupBy("gid").agg(F.count("*").alias("all"), F.count_if(F.col("root") != F.col("major")).alias("minors"))
+    left = apart.join(shape, "gid").withColumn("probe", F.col("probe").cast("int"))
+    cells = stats.select("ref", "sketch")
+    columns = ["gid", "ref", "root", "major", "probe", "n", "hub"]
+    buckets = max(common.part_count(spark), apart.count() // BUCKET_MEMBERS + 1)
+    whole = left.where(F.col("all") <= BLOCK_MANY).select(*columns).join(cells, "ref")
+    met = whole.withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(buckets))).groupBy("bucket").applyInArrow(_some_groups(rounds == 0, partners(rounds)), MET)
+    large = left.where(F.col("all") > BLOCK_MANY)
+    if large.isEmpty():
+        return met
+    if rounds < HUB_ROUNDS:
+        # The first hub is the group's own; later ones are the most central of those that are still outside its largest component.
+        hubs = large.where("ref = hub" if rounds == 0 else "root <> major").groupBy("gid").agg(F.max_by(F.struct("ref", "root", "n"), F.struct("score", F.negative("ref"))).alias("h"))
+        hubs = hubs.select("gid", F.col("h.ref").alias("hub"), F.col("h.root").alias("hub_root"), F.col("h.n").alias("hub_n")).join(cells.withColumnsRenamed({"ref": "hub", "sketch": "hub_sketch"}), "hub")
+        # One row for each group of over BLOCK_MANY members.
+        asked = large.select("gid", "ref", "root", "n").join(F.broadcast(hubs), "gid") if hubs.count() <= 10_000 else large.select("gid", "ref", "root", "n").join(hubs, "gid")
+        return met.unionByName(asked.where("root <> hub_root").join(cells, "ref").select("gid", "ref", "hub", "n", "hub_n", "sketch", "hub_sketch").mapInArrow(_hub_near, MET))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("ref"), n).cast("int")
+    dealt = large.withColumn("few_n", (F.lit(1) + F.floor(F.col("minors") / BLOCK_FEW)).cast("int")).withColumn("many_n", (F.lit(1) + F.floor(F.col("all") / BLOCK_MANY)).cast("int")).join(cells, "ref")
+    columns = ["gid", "ref", "root", "probe", "n", "sketch"]
+    few = dealt.where("root <> major").select(*columns, F.lit(1).alias("few"), place("few_n").alias("i"), each("many_n").alias("j"))
+    many = dealt.select(*columns, F.lit(0).alias("few"), each("few_n").alias("i"), place("many_n").alias("j"))
+    return met.unionByName(few.unionByName(many).groupBy("gid", "i", "j").applyInArrow(_block(partners(rounds - HUB_ROUNDS)), MET))
+
+
+def _texts(rows: Iterator[tuple[bytes, bytes, np.ndarray]]) -> pa.Table:
     out = []
-    if len(pack) and len(wanted):
-        row = pack.to_pylist()[0]
-        texts = common.unpack(row["sizes"], row["body"])
-        codec = pa.Codec("zstd", 1)
-        for ref in wanted["ref"].to_pylist():
+    codec = pa.Codec("zstd", 1)
+    for sizes, body, wanted in rows:
+        texts = common.unpack(sizes, body)
+        for ref in wanted.tolist():
             text = texts[ref & ((1 << common.ORD_BITS) - 1)]
             out.append((ref, len(text), codec.compress(text, asbytes=True)))
     columns = list(zip(*out, strict=True)) or [[]] * 3
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["ref", "length", "body"])
 
 
-def _verify(words: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd")
-        for batch in batches:
-            rows = batch.to_pylist()
-            bodies = {r[s]: (r[f"body_{s}"], r[f"length_{s}"]) for r in rows for s in "ab"}
-            texts = [codec.decompress(body, decompressed_size=n, asbytes=True) if n else b"" for body, n in bodies.values()]
-            sets = dict(zip(bodies, shingle_sets(texts, words), strict=True))
-            keep = []
-            for r in rows:
-                x, y = sets[r["a"]], sets[r["b"]]
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                n = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * n >= 80 * (len(both) - n))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _texts_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from _texts((r["sizes"], r["body"], np.array(r["wanted"], np.int64)) for r in batch.to_pylist()).to_batches()
 
-    return verify
 
+def _texts_by_shard(pack: pa.Table, wanted: pa.Table) -> pa.Table:
+    both = len(pack) and len(wanted)
+    return _texts((r["sizes"], r["body"], wanted["ref"].to_numpy()) for r in (pack.to_pylist() if both else []))
 
-def _links(pairs: DataFrame, stats: DataFrame, packs: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) that link: by brief and whole sketches first, what is left by the sets of the whole texts."""
-    near = pairs
-    for column, width in (("brief", BRIEF), ("sketch", CELLS)):
-        side = lambda s: stats.select(F.col("ref").alias(s), F.col("n").alias(f"n_{s}"), F.col(column).alias(f"cells_{s}"))  # noqa: B023, E731
-        near = near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near(width), "a long, b long")
-    near = common.stored(near, "near-pairs")
-    wanted = near.select(F.col("a").alias("ref")).unionByName(near.select(F.col("b").alias("ref"))).distinct().withColumn("shard", F.shiftright("ref", common.ORD_BITS))
-    texts = common.stored(packs.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_texts_of, "ref long, length long, body binary"), "near-texts")
-    body = lambda s: texts.select(F.col("ref").alias(s), F.col("length").alias(f"length_{s}"), F.col("body").alias(f"body_{s}"))
-    links = common.stored(near.join(body("a"), "a").join(body("b"), "b").mapInArrow(_verify(words), "a long, b long"), "links")
-    common.discard(near, texts)
-    return links
 
+def _fetched(packs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Compressed texts of the wanted documents. Packs stay where they are as long as the list of what is wanted is small."""
+    schema = "ref long, length long, body binary"
+    wanted = wanted.withColumn("shard", F.shiftright("ref", common.ORD_BITS))
+    if wanted.count() <= FETCH_BROADCAST:
+        lists = wanted.groupBy("shard").agg(F.collect_list("ref").alias("wanted"))
+        return packs.join(F.broadcast(lists), "shard").select("sizes", "body", "wanted").mapInArrow(_texts_near, schema)
+    return packs.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_texts_by_shard, schema)
 
-def _with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return members.withColumn("root", F.col("ref"))
-    return members.join(roots.withColumnRenamed("vertex", "ref"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
 
+def _verify(words: int):
+    def verify(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        codec = pa.Codec("zstd")
+        bodies = [codec.decompress(body, decompressed_size=n, asbytes=True) if n else b"" for body, n in zip(texts["body"].to_pylist(), texts["length"].to_pylist(), strict=True)]
+        sets = dict(zip(texts["ref"].to_pylist(), shingle_sets(bodies, words), strict=True)) if bodies else {}
+        keep = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+            both = np.concatenate([sets[a], sets[b]])
+            both.sort(kind="stable")
+            n = int((both[1:] == both[:-1]).sum())
+            keep.append(100 * n >= 80 * (len(both) - n))
+        return pairs.select(["a", "b"]).append_column("link", pa.array(keep, pa.bool_()))
 
-def _met(apart: DataFrame, stats: DataFrame) -> DataFrame:
-    """All pairs that groups leave open: members outside the group's largest component against members of other components.
+    return verify
 
-    Groups of up to BLOCK_MANY members go to tasks many at a time; a larger one is dealt out in blocks.
-    """
-    open_groups = apart.groupBy("gid").agg(F.count_if(F.col("root") != F.col("major")).alias("minors"), F.count("*").alias("all"))
-    cells = stats.select("ref", F.when(F.col("n") < FINE, F.col("brief")).otherwise(F.col("sketch")).alias("brief"))
-    sizes = open_groups.select("gid", "all", (F.lit(1) + F.floor(F.col("minors") / BLOCK_FEW)).cast("int").alias("few_n"), (F.lit(1) + F.floor(F.col("all") / BLOCK_MANY)).cast("int").alias("many_n"))
-    left = apart.join(sizes, "gid").withColumn("probe", F.col("probe").cast("int"))
-    whole = left.where(F.col("all") <= BLOCK_MANY)
-    buckets = max(common.part_count(apart.sparkSession), apart.count() // BUCKET_MEMBERS + 1)
-    whole = whole.join(cells, "ref").select("gid", "ref", "root", "probe", "n", "brief", F.pmod(F.xxhash64("gid"), F.lit(buckets)).alias("bucket"))
-    within = whole.groupBy("bucket").applyInArrow(_some_groups, "a long, b long")
-    left = left.where(F.col("all") > BLOCK_MANY).join(cells, "ref")
-    columns = ["gid", "ref", "root", "probe", "n", "brief"]
-    place = lambda n: F.pmod(F.xxhash64("ref"), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    few = left.where("root <> major").select(*columns, F.lit(1).alias("few"), place("few_n").alias("i"), each("many_n").alias("j"))
-    many = left.select(*columns, F.lit(0).alias("few"), each("few_n").alias("i"), place("many_n").alias("j"))
-    return within.unionByName(few.unionByName(many).groupBy("gid", "i", "j").applyInArrow(_block, "a long, b long"))
+
+def _verified(pairs: DataFrame, packs: DataFrame, words: int) -> DataFrame:
+    """(a, b, link) of each pair, judged on the whole texts. Pairs that share a text are judged together, BLOCK_PAIRS at a time, so a hub's text travels once for all of them."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("ref"))
+    wanted = common.stored(ends.groupBy("ref").agg(F.count("*").alias("pairs")), "jaccard-wanted")
+    texts = common.stored(_fetched(packs, wanted.select("ref")), "jaccard-texts")
+    count = lambda s: wanted.select(F.col("ref").alias(s), F.col("pairs").alias(f"n_{s}"))
+    sized = pairs.join(count("a"), "a").join(count("b"), "b")
+    shared, other = F.when(F.col("n_a") >= F.col("n_b"), F.col("a")).otherwise(F.col("b")), F.when(F.col("n_a") >= F.col("n_b"), F.col("b")).otherwise(F.col("a"))
+    blocks = sized.select("a", "b", shared.alias("of"), F.pmod(F.xxhash64(other), F.floor(F.greatest("n_a", "n_b") / BLOCK_PAIRS) + 1).alias("block"))
+    blocks = common.stored(blocks, "jaccard-blocks")
+    needed = blocks.select(F.col("of").alias("t_of"), F.col("block").alias("t_block"), F.explode(F.array("a", "b")).alias("ref")).distinct().join(texts, "ref")
+    done = common.stored(blocks.groupBy("of", "block").cogroup(needed.groupBy("t_of", "t_block")).applyInArrow(_verify(words), "a long, b long, link boolean"), "jaccard-verified")
+    common.discard(wanted, texts, blocks)
+    return done
 
 
 def jaccard_join(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -408,65 +475,75 @@ def jaccard_join(docs: DataFrame, words: int = 5) -> DataFrame:
     """
     spark = docs.sparkSession
     common.bounded_batches(spark)
-    schema = common.PACK_SCHEMA + ", sizes_n array<long>, classes array<binary>, sketches array<binary>, briefs array<binary>"
+    schema = common.PACK_SCHEMA + ", sizes_n array<long>, classes array<binary>, sketches array<binary>"
     stats_of = _stats(words)
     packs_all = common.stored(common.texts_of(docs).mapInArrow(lambda it: common.pack_batches(it, stats_of), schema), "jaccard-packs")
     packs = packs_all.select("shard", "sizes", "body")
     total = packs_all.agg(F.sum(F.aggregate("sizes_n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first().n or 0
-    rows = packs_all.select("shard", F.posexplode(F.arrays_zip("doc_ids", "sizes_n", "classes", "sketches", "briefs")).alias("ord", "x")).select(
-        (F.shiftleft("shard", common.ORD_BITS) + F.col("ord")).alias("ref"), F.col("x.doc_ids").alias("doc_id"), F.col("x.sizes_n").alias("n"), F.col("x.classes").alias("class"), F.col("x.sketches").alias("sketch"), F.col("x.briefs").alias("brief")
+    rows = packs_all.select("shard", F.posexplode(F.arrays_zip("doc_ids", "sizes_n", "classes", "sketches")).alias("ord", "x")).select(
+        (F.shiftleft("shard", common.ORD_BITS) + F.col("ord")).alias("ref"), F.col("x.doc_ids").alias("doc_id"), F.col("x.sizes_n").alias("n"), F.col("x.classes").alias("class"), F.col("x.sketches").alias("sketch")
     )
-    classes = common.stored(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("ref").alias("ref"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("brief").alias("brief")), "jaccard-classes")
+    classes = common.stored(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("ref").alias("ref"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "jaccard-classes")
+    # What the result needs of the packs, apart from them, so that the texts can go.
+    named_rows = common.stored(rows.select("doc_id", F.col("n").alias("n_shingles"), "class"), "jaccard-rows")
 
     buckets = max(common.part_count(spark), int(total * 0.6) // BUCKET_KEYS + 1)
     reps = classes.select(F.shiftright("ref", common.ORD_BITS).alias("shard"), "ref")
     sent = packs.groupBy("shard").cogroup(reps.groupBy("shard")).applyInArrow(_signatures(words, buckets), "bucket int, shard long, tags binary, refs binary")
-    found = sent.groupBy("bucket").applyInArrow(_groups, "gid long, ref long, guest boolean, units long, fixed boolean, size long")
-    found = found.groupBy("gid", "ref", "guest").agg(F.sum("units").alias("units"), F.max("fixed").alias("fixed"), F.max("size").alias("size"))
+    found = sent.groupBy("bucket").applyInArrow(_groups, "gid long, ref long, guest boolean, units long, size long")
+    found = found.groupBy("gid", "ref", "guest").agg(F.sum("units").alias("units"), F.max("size").alias("size"))
 
     @F.pandas_udf("int")
     def allowed(n, guest):
         return n.combine(guest, lambda x, g: spare(x, band_of(x) + int(g))).astype("int32")
 
     groups = common.stored(found.join(classes.select("ref", "n"), "ref").withColumn("allowed", allowed("n", "guest")), "jaccard-groups")
-    costly = Window.partitionBy("ref", "guest").orderBy("fixed", F.desc("size"), "gid").rowsBetween(Window.unboundedPreceding, 0)
-    probes = groups.withColumn("probe", F.col("fixed") | (F.sum("units").over(costly) > F.col("allowed"))).groupBy("gid", "ref").agg(F.max("probe").alias("probe"), F.max("n").alias("n"), F.max("size").alias("size"), F.sum("units").alias("units"))
+    # Each set leaves out its largest groups, as far as it may; in the others it is a probe.
+    costly = Window.partitionBy("ref", "guest").orderBy(F.desc("size"), "gid").rowsBetween(Window.unboundedPreceding, 0)
+    probes = groups.withColumn("probe", F.sum("units").over(costly) > F.col("allowed")).groupBy("gid", "ref").agg(F.max("probe").alias("probe"), F.max("n").alias("n"), F.max("size").alias("size"), F.sum("units").alias("units"))
     probes = common.stored(probes, "jaccard-probes")
     score = probes.groupBy("ref").agg(F.sum(F.col("units") * F.col("size")).alias("score"))
     asked = probes.groupBy("gid").agg(F.max("probe").alias("any")).where("any").select("gid")
-    members = common.stored(probes.join(asked, "gid").join(score, "ref").select("gid", "ref", "probe", "n", "score"), "jaccard-members")
-    common.discard(groups, probes)
-    stats = classes.select("ref", "n", "sketch", "brief")
-
-    links = roots = checked = None
-    central = F.max_by(F.struct("ref", "root", "n"), F.struct("score", F.negative("ref"))).alias("hub")
-    rounds, last = 0, False
+    central = common.stored(probes.join(asked, "gid").join(score, "ref").select("gid", "ref", "probe", "n", "score", F.floor(F.log2("size") / 2).alias("scale")), "jaccard-central")
+    hubs = central.groupBy("gid").agg(F.max_by("ref", F.struct("score", F.negative("ref"))).alias("hub"), F.max("scale").alias("scale"))
+    joined = central.drop("scale").join(hubs, "gid").groupBy("hub", "scale", "ref").agg(F.max("probe").alias("probe"), F.max("n").alias("n"), F.max("score").alias("score"))
+    members = common.stored(joined.withColumn("gid", F.xxhash64("hub", "scale")).drop("scale"), "jaccard-members")
+    common.discard(groups, probes, central)
+    stats = classes.select("ref", "sketch")
+
+    roots = checked = None
+    rounds, again = 0, None
     while True:
         # What is still apart: per group, the component of most members, and the others.
-        placed = _with_roots(members, roots)
+        placed = members if again is None else members.join(again, "gid", "left_semi")
+        placed = placed.withColumn("root", F.col("ref")) if roots is None else placed.join(roots.withColumnRenamed("vertex", "ref"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
         largest = placed.groupBy("gid", "root").agg(F.count("*").alias("n")).groupBy("gid").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1").select("gid", "major")
         apart = common.stored(placed.join(largest, "gid"), "jaccard-apart")
-        if last:
-            met = _met(apart, stats)
-        else:
-            hubs = apart.where("root <> major OR " + str(rounds == 0)).groupBy("gid").agg(central)
-            met = apart.join(hubs, "gid").where("root <> hub.root AND 9 * abs(n - hub.n) <= n + hub.n").select(F.least("ref", "hub.ref").alias("a"), F.greatest("ref", "hub.ref").alias("b"))
-        pairs = met.distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = common.stored(pairs, "jaccard-pairs")
-        new = _links(pairs, stats, packs, words)
-        links = new if links is None else links.unionByName(new)
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        roots = common.stored(components(links, "a", "b"), "jaccard-roots")
-        common.discard(apart)
-        if last:
-            break
+        met = common.stored(_compared(apart, stats, rounds), "jaccard-met")
+        common.discard(apart, *([again] if again is not None else []))
+        pairs = met.where("a IS NOT NULL").select("a", "b").distinct()
+        pairs = common.stored(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
+        if not pairs.isEmpty():
+            done = _verified(pairs, packs, words)
+            links = done.where("link").select("a", "b")
+            before, roots = roots, components(links if roots is None else links.unionByName(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b"))), "a", "b")
+            checked, spent = common.stored(done.select("a", "b", "link") if checked is None else checked.unionByName(done), "jaccard-checked"), [checked] if checked is not None else []
+            common.discard(done, *spent, *([before] if before is not None else []))
+        # Groups that held pairs back, or took a pair to be linked that isn't, go on.
+        again = met.where("a IS NULL").select("gid")
+        if rounds == 0 and checked is not None:
+            again = again.unionByName(met.where("provisional").join(checked.where("NOT link"), ["a", "b"], "left_semi").select("gid"))
+        again = common.stored(again.distinct(), "jaccard-again")
+        common.discard(met, pairs)
         rounds += 1
-        last = rounds == HUB_ROUNDS or new.count() < HUB_YIELD * pairs.count()
+        if again.isEmpty():
+            break
 
-    common.discard(members, checked)
-    merged = classes.join(roots.withColumnRenamed("vertex", "ref"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
+    common.discard(members, again, packs_all, *([checked] if checked is not None else []))
+    merged = classes.select("class", "ref", "least")
+    merged = merged.withColumn("root", F.col("ref")) if roots is None else merged.join(roots.withColumnRenamed("vertex", "ref"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
     merged = common.stored(merged.select("class", "root", "least"), "jaccard-merged")
-    named = merged.join(merged.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "component_id")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "class").join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    common.discard(classes, *([roots] if roots is not None else []))
+    named = common.stored(merged.join(merged.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "component_id"), "jaccard-named")
+    common.discard(merged)
+    return named_rows.join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
