@@ -51,14 +51,73 @@ def payouts(records: DataFrame, from_year: int) -> DataFrame:
 
 
 def last_two(quotes: DataFrame, key: str, order: Column) -> DataFrame:
-    """Change and percent between the last two closes of each key; a single close has none. Keeps two rows per group in aggregation, not a sort of it."""
-    newest = F.max_by(F.struct("close", "ordinal"), order)
-    top = quotes.groupBy(key).agg(newest.alias("now"))
-    joined = quotes.join(top, key).where(F.col("ordinal") != F.col("now.ordinal"))
-    before = joined.groupBy(key).agg(F.max_by("close", order).alias("before"))
+    """Change and percent between the last two closes of each key; a single close has none. One shuffle: the rank's limit cuts groups to two rows on either side of it."""
+    newest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    top = quotes.select(key, "close", newest.alias("r")).where("r <= 2")
+    both = top.groupBy(key).agg(F.max(F.when(F.col("r") == 1, F.col("close"))).alias("close"), F.max(F.when(F.col("r") == 2, F.col("close"))).alias("before"))
     change = F.round(F.col("close") - F.col("before"), 2)
     pct = F.when(F.coalesce("before", F.lit(0.0)) == 0, 0.0).otherwise(F.round(F.col("change") / F.col("before") * 100, 2))
-    return top.join(before, key, "left").select(key, F.col("now.close").alias("close"), "before").withColumn("change", F.coalesce(change, F.lit(0.0))).withColumn("pct", pct)
+    return both.select(key, "close", "before").withColumn("change", F.coalesce(change, F.lit(0.0))).withColumn("pct", pct)
+
+
+def quotes(rows: DataFrame, key: str, codes: list[str] | None = None) -> DataFrame:
+    """First row per key (by ordinal): price, or the close before it where there is none ('-' or empty), its change, the percent from the rounded change, and volume in single units.
+
+    Columns z (price), y (close before) and v (volume in thousands) are text as quoted.
+    """
+    wanted = rows if codes is None else rows.where(F.col(key).isin(*codes))
+    first = wanted.groupBy(key).agg(F.min_by(F.struct("z", "y", "v"), F.col("ordinal")).alias("q"))
+    number = lambda c: F.when(F.col(f"q.{c}").isin("", "-"), F.lit(None)).otherwise(F.col(f"q.{c}")).try_cast("double")
+    before = F.coalesce(number("y"), F.lit(0.0))
+    priced = first.select(key, before.alias("before"), F.coalesce(number("z"), before).alias("price"), F.coalesce(N.grouped_int(F.col("q.v")), F.lit(0).cast("long")).alias("v"))
+    change = F.when(F.col("before") != 0, F.round(F.col("price") - F.col("before"), 2)).otherwise(0.0)
+    pct = F.when(F.col("before") != 0, F.round(F.col("change") / F.col("before") * 100, 2)).otherwise(0.0)
+    return priced.withColumn("change", change).select(key, F.round("price", 2).alias("price"), "change", pct.alias("pct"), (F.col("v") * 1000).alias("volume"))
+
+
+def quarter_figures(metrics: DataFrame, key: str, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Long metrics (key, type, origin, value, ordinal) to whole figures and margins per key.
+
+    A metric goes by its type and by its origin; the last value under a name wins. Of a figure's aliases the
+    first that is neither missing nor 0 counts; figures are cut to whole numbers, margins are 0 without
+    revenue. `aliases` has revenue, gross, operating and net.
+    """
+    names = list(dict.fromkeys(a for group in aliases.values() for a in group))
+    named = {a: (F.col("type") == a) | (F.coalesce(F.col("origin"), F.lit("")) == a) for a in names}
+    wide = metrics.groupBy(key).agg(*(F.max_by(F.when(hit, F.col("value")), F.when(hit, F.struct("ordinal", "value"))).alias(f"m{i}") for i, hit in enumerate(named.values())))
+    at = {a: F.col(f"m{i}") for i, a in enumerate(names)}
+    whole = lambda group: F.coalesce(N.nonzero(*(at[a] for a in group)), F.lit(0.0)).cast("long")
+    figures = wide.select(key, *(whole(group).alias(name) for name, group in aliases.items()))
+    margin = lambda c: F.when(F.col("revenue") == 0, 0.0).otherwise(F.round(F.col(c) / F.col("revenue") * 100, 2))
+    return figures.select("*", *(margin(c).alias(f"{c}_margin") for c in ("gross", "operating", "net")))
+
+
+def chosen_flow(rows: DataFrame, names: list[str], holds: tuple[str, ...] = (), without: tuple[str, ...] = ()) -> DataFrame:
+    """Buy, sell and net of one kind of institution on the last day: the first of `names` that is present, else the first name that holds one of `holds` and none of `without`."""
+    day = rows.agg(F.max("day").alias("day"))
+    last = rows.join(F.broadcast(day), "day").groupBy("name", "day").agg(F.max_by(F.struct("buy", "sell"), "ordinal").alias("r"), F.min("ordinal").alias("first"))
+    at = F.nullif(F.array_position(F.array(*map(F.lit, names)), F.col("name")).cast("int"), F.lit(0))
+    similar = F.lit(False)
+    for part in holds:
+        similar = similar | F.contains("name", F.lit(part))
+    for part in without:
+        similar = similar & ~F.contains("name", F.lit(part))
+    ranked = last.withColumn("priority", F.coalesce(at, F.when(similar, len(names) + 1))).where("priority IS NOT NULL")
+    best = ranked.agg(F.min_by(F.struct("day", "name", "r"), F.struct("priority", "first")).alias("b")).where("b IS NOT NULL")
+    return best.select("b.day", "b.name", "b.r.buy", "b.r.sell", F.round(F.col("b.r.buy") - F.col("b.r.sell"), 2).alias("net"))
+
+
+def newest_labels(series: DataFrame, label: str, n: int) -> DataFrame:
+    """The last n labels of a series that has one row per label."""
+    return series.orderBy(F.desc(label)).limit(n)
+
+
+def chart_scale(series: DataFrame, bars: list[str], line: str) -> DataFrame:
+    """One row: the top of the bars, 1 at least, and the span of the line with 0 in it (-10 to 10 without a line)."""
+    top = F.greatest(F.max(F.greatest(F.lit(0.0), *(F.coalesce(b, F.lit(0.0)) for b in bars))), F.lit(1.0))
+    return series.agg(top.alias("top"), F.coalesce(F.least(F.min(line), F.lit(0.0)), F.lit(0.0)).alias("low0"), F.coalesce(F.greatest(F.max(line), F.lit(0.0)), F.lit(0.0)).alias("high0"), F.count(line).alias("n")).select(
+        "top", F.when(F.col("n") == 0, -10.0).otherwise(F.col("low0")).alias("low"), F.when(F.col("n") == 0, 10.0).otherwise(F.col("high0")).alias("high")
+    )
 
 
 def net_flows(rows: DataFrame, priority: list[str]) -> DataFrame:

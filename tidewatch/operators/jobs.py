@@ -39,11 +39,6 @@ def outcome(jobs: DataFrame, articles: DataFrame, insights: DataFrame) -> DataFr
     return joined.withColumn("outcome", F.when(F.col("__article").isNull(), "failed").when(F.col("__i").isNotNull(), "complete").otherwise("analyse")).drop("__article", "__i", "__h")
 
 
-def lease_free(lock: DataFrame, as_of: Column) -> Column:
-    """Whether a lock row may be taken: none yet, or run out."""
-    return F.col("expires_at").isNull() | (F.col("expires_at") <= as_of)
-
-
 def expired(rows: DataFrame, cutoff: Column, cap: int) -> DataFrame:
     """The oldest rows before the cutoff, at most cap in a run; undated rows are never deleted."""
     if cap <= 0:
@@ -66,3 +61,8 @@ def page(rows: DataFrame, ts: Column, key: Column, after: tuple[Column, Column]
 
 def hours_back(as_of: Column, hours: int = 96) -> Column:
     return shifted(as_of, -hours)
+
+
+def of_code(rows: DataFrame, column: str, code: str | None) -> DataFrame:
+    """Rows of one code, or all where none is asked for."""
+    return rows if code is None else rows.where(F.col(column) == code)

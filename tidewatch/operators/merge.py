@@ -9,15 +9,15 @@ from pyspark.sql.window import Window
 from tidewatch.functions import text as T
 
 
-def merge_titles(articles: DataFrame, key: Column, recompute_id: bool) -> DataFrame:
-    """One row per title key.
+def merge_titles(articles: DataFrame, key: Column, recompute_id: bool, *more: str) -> DataFrame:
+    """One row per title key, with the winner's columns, those named in `more` too.
 
     The first row wins, unless its link is the aggregator's and a later row has a direct one: then the first
     such row. The date is the earliest; the id follows the winner's link where rows were merged. One
     aggregation over structs does it, so a title that a third of all rows share is combined before the
     shuffle.
     """
-    row = F.struct("ordinal", "id", "title", "link", "cat", "source_name")
+    row = F.struct("ordinal", "id", "title", "link", "cat", "source_name", *more)
     direct = (F.coalesce(F.col("link"), F.lit("")) != "") & ~T.from_aggregator(F.col("link"))
     merged = (
         articles.withColumn("key", key).where("key <> ''").groupBy("key")
@@ -25,7 +25,7 @@ def merge_titles(articles: DataFrame, key: Column, recompute_id: bool) -> DataFr
     )
     won = merged.withColumn("w", F.when(T.from_aggregator(F.col("first.link")) & F.col("direct").isNotNull(), F.col("direct")).otherwise(F.col("first")))
     own_id = F.when(F.col("n_merged") > 1, T.article_id(F.col("w.link"), F.col("w.title"))).otherwise(F.col("w.id")) if recompute_id else F.col("w.id")
-    return won.select(own_id.alias("id"), "w.title", "w.link", "w.cat", "w.source_name", "pub", "n_merged", F.col("first.ordinal").alias("ordinal"), "key")
+    return won.select(own_id.alias("id"), "w.title", "w.link", "w.cat", "w.source_name", *(f"w.{c}" for c in more), "pub", "n_merged", F.col("first.ordinal").alias("ordinal"), "key")
 
 
 def corrected(articles: DataFrame, corrections: DataFrame, key: Column) -> DataFrame:
@@ -57,8 +57,56 @@ def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), newest).alias("r")).select("r.*")
 
 
-def append_records(existing: DataFrame, incoming: DataFrame, keys: list[str], source: Column, cap: int) -> DataFrame:
-    """Existing records of a known source stay; incoming ones whose key is new follow, once each; the newest `cap` remain."""
+def append_records(existing: DataFrame, incoming: DataFrame, keys: list[Column], source: Column, cap: int) -> DataFrame:
+    """Existing records of a known source stay, in their order; incoming ones whose key is new follow, once each; the newest `cap` remain, of one day the existing first."""
+    names = [f"__k{i}" for i in range(len(keys))]
     kept = existing.where(source)
-    fresh = incoming.join(kept.select(*keys).distinct(), keys, "left_anti").groupBy(*keys).agg(F.min_by(F.struct(*incoming.columns), "ordinal").alias("r")).select("r.*")
-    return kept.unionByName(fresh).orderBy(F.desc("day"), "ordinal").limit(cap)
+    known = kept.select(*(k.alias(n) for k, n in zip(keys, names, strict=True))).distinct()
+    fresh = incoming.select("*", *(k.alias(n) for k, n in zip(keys, names, strict=True))).join(known, names, "left_anti")
+    fresh = fresh.groupBy(*names).agg(F.min_by(F.struct(*incoming.columns), "ordinal").alias("r")).select("r.*")
+    return kept.withColumn("__late", F.lit(0)).unionByName(fresh.withColumn("__late", F.lit(1))).orderBy(F.desc("day"), "__late", "ordinal").limit(cap).drop("__late")
+
+
+def records_changed(existing: DataFrame, merged: DataFrame, source: Column) -> DataFrame:
+    """One row: whether a merge added or purged anything, or cut off what was there. `merged` comes from append_records; ordinals are unique."""
+    before = existing.agg(F.count("*").alias("n_before"), F.count_if(~F.coalesce(source, F.lit(False))).alias("purged"))
+    after = merged.join(existing.select("ordinal", F.lit(True).alias("__old")), "ordinal", "left").agg(F.count("*").alias("n_after"), F.count_if(F.col("__old").isNull()).alias("added"))
+    return before.join(after).select("n_before", "n_after", "added", "purged", ((F.col("added") > 0) | (F.col("purged") > 0) | (F.col("n_before") != F.col("n_after"))).alias("changed"))
+
+
+def by_date(rows: DataFrame, ts: str = "pub", tie: str = "ordinal") -> DataFrame:
+    """Newest first; a missing date counts as the epoch."""
+    return rows.orderBy(F.desc(F.coalesce(F.col(ts), F.lit("1970-01-01").cast("timestamp_ntz"))), tie)
+
+
+def merged_view(articles: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Articles as a list shows them: corrected first, then one per loose title; only dates after the epoch count for the earliest one; newest first."""
+    fixed = corrected(articles, corrections, T.loose_title_key(F.col("title")))
+    dated = fixed.withColumn("pub", F.when(F.col("pub") > F.lit("1970-01-01").cast("timestamp_ntz"), F.col("pub")))
+    return by_date(merge_titles(dated, T.loose_title_key(F.col("title")), False))
+
+
+def similar(titles: DataFrame, selected: DataFrame, share: float = 0.5) -> DataFrame:
+    """Whether each title (ordinal, k: distinct keywords) shares at least `share` of the smaller keyword set with another title that is selected.
+
+    Sets meet through words, the rarest first: who shares that much of a set of n words shares one of its
+    n - ceil(share n) + 1 rarest, so common words are rarely asked for. Candidates are compared as whole sets.
+    """
+    some = titles.where("size(k) > 0")
+    often = some.select(F.explode("k").alias("word")).groupBy("word").agg(F.count("*").alias("often"))
+    listed = lambda df: df.select("ordinal", "k", F.posexplode("k").alias("__p", "word")).drop("__p")
+
+    def rare(df: DataFrame) -> DataFrame:
+        order = Window.partitionBy("ordinal").orderBy("often", "word")
+        upto = F.size("k") - F.ceil(share * F.size("k")) + 1
+        return listed(df).join(often, "word").withColumn("r", F.row_number().over(order)).where(F.col("r") <= upto).drop("r", "often")
+
+    def met(few: DataFrame, all_words: DataFrame, smaller: Column) -> DataFrame:
+        a, b = few.select("word", F.col("ordinal").alias("a"), F.col("k").alias("ka")), all_words.select("word", F.col("ordinal").alias("b"), F.col("k").alias("kb"))
+        return a.join(b, "word").where((F.col("a") != F.col("b")) & smaller & (T.overlap(F.col("ka"), F.col("kb")) >= share))
+
+    chosen = selected.where("size(k) > 0")
+    by_selected = met(rare(chosen), listed(some), F.size("ka") <= F.size("kb")).select(F.col("b").alias("ordinal"))
+    by_other = met(rare(some), listed(chosen), F.size("ka") < F.size("kb")).select(F.col("a").alias("ordinal"))
+    found = by_selected.unionByName(by_other).distinct().withColumn("__found", F.lit(True))
+    return titles.select("ordinal").join(found, "ordinal", "left").select("ordinal", F.coalesce("__found", F.lit(False)).alias("similar"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import text as T
+from tidewatch.functions.columns import held
 
 
 @dataclass(frozen=True)
@@ -27,33 +28,43 @@ class Vocabulary:
 
 
 def rule_scores(articles: DataFrame, v: Vocabulary, own_weight: int = 55, other_weight: int = 35, threshold: int = 20) -> DataFrame:
-    """Adds relevance, event, importance, impact, entities and review flags. One projection: no join, no shuffle."""
-    text = T.visible(F.col("title"), F.col("content"), F.col("source_name"))
-    rows = articles.withColumn("__text", text)
+    """Adds relevance, event, importance, impact, entities, matched terms, reasons and flags. No join, no shuffle; each step is computed once, whatever is filtered later."""
+    rows = held(articles, __text=T.visible(F.col("title"), F.col("content"), F.col("source_name")))
     text = F.col("__text")
-    named = F.array_compact(F.array(*(F.when(_any(text, a), F.lit(code)) for code, a in v.entities.items())))
-    rows = rows.withColumns({"entities": named, "industry": T.matched(text, v.industry), "pos": T.hits(text, v.positive), "neg": T.hits(text, v.negative)})
-    own = F.array_contains("entities", v.own)
-    bonus = F.lit(0)
+    named = F.array_compact(F.array(*(F.when(_any(text, a), F.lit(code)) for code, a in v.entities.items())).cast("array<string>"))
+    ranked = sorted(v.events, key=lambda e: -e[2])
+    which = F.lit(-1)
+    for i, (_, terms, _) in reversed(list(enumerate(ranked))):
+        which = F.when(_contains(text, terms), i).otherwise(which)
+    found = {"__named": named, "__industry": T.matched(text, v.industry), "__pos": T.matched(text, v.positive), "__neg": T.matched(text, v.negative), "__event": which, "__out": _contains(text, v.excluded)}
+    rows = held(rows, **found)
+    own, some = F.array_contains("__named", v.own), F.size("__named") > 0
+    bonus, event, weight, terms = F.lit(0), F.lit("other"), F.lit(0), F.array().cast("array<string>")
     for cat, points in v.bonuses.items():
         bonus = F.when(F.col("cat") == cat, points).otherwise(bonus)
-    relevance = F.when(own, own_weight).when(F.size("entities") > 0, other_weight).otherwise(0) + F.least(F.lit(30), 6 * F.size("industry")) + bonus
-    ranked = sorted(v.events, key=lambda e: -e[2])
-    event, weight = F.lit("other"), F.lit(0)
-    for kind, terms, points in reversed(ranked):
-        hit = T.hits(text, terms) > 0
-        event, weight = F.when(hit, kind).otherwise(event), F.when(hit, points).otherwise(weight)
-    excluded = _contains(text, v.excluded)
-    rows = rows.withColumns({"relevance": F.when(excluded, 0).otherwise(F.least(F.lit(100), relevance)).cast("long"), "event": F.when(excluded, "other").otherwise(event), "__weight": F.when(excluded, 0).otherwise(weight)})
+    for i, (kind, words, points) in enumerate(ranked):
+        here = F.col("__event") == i
+        event, weight, terms = F.when(here, kind).otherwise(event), F.when(here, points).otherwise(weight), F.when(here, T.matched(text, words)).otherwise(terms)
+    relevance = F.when(own, own_weight).when(some, other_weight).otherwise(0) + F.least(F.lit(30), 6 * F.size("__industry")) + bonus
     official = F.lit(False)
     for prefix in v.official:
         official = official | F.coalesce(F.startswith(F.col("source_name"), F.lit(prefix)), F.lit(False))
-    extra = F.when(official & ~excluded, 8).otherwise(0)
+    pos, neg = F.size("__pos") > 0, F.size("__neg") > 0
+    impact = F.when(neg & ~pos, "risk").when(pos & ~neg, "opportunity").when(pos & neg, "mixed").otherwise("neutral")
+    kept = lambda x, none: F.when(F.col("__out"), none).otherwise(x)
+    none = F.array().cast("array<string>")
+    matched = F.slice(F.array_sort(F.array_distinct(F.concat("__industry", terms, "__neg", "__pos"))), 1, 20)
+    reasons = F.array_compact(F.array(
+        F.when(own, "own entity"), F.when(some & ~own, "tracked entity"), F.when(F.size("__industry") > 0, "industry"), F.when(F.col("__event") >= 0, F.concat(F.lit("event: "), event)),
+    ))
+    rows = held(
+        rows, relevance=kept(F.least(F.lit(100), relevance), 0).cast("long"), event=kept(event, "other"), __weight=kept(weight + F.when(official, 8).otherwise(0), 0), impact=kept(impact, "neutral"),
+        entities=kept(F.col("__named"), none), matched_terms=kept(matched, none), reasons=kept(reasons, F.array(F.lit("excluded phrase"))),
+    )
     # Halves go to the even number; in whole hundredths, so that no binary fraction decides.
-    importance = F.least(F.lit(100), F.bround((F.col("relevance") * 55 + (F.col("__weight") + extra) * 100).cast("decimal(10,0)") / 100, 0).cast("long"))
-    impact = F.when(excluded, "neutral").when((F.col("neg") > 0) & (F.col("pos") == 0), "risk").when((F.col("pos") > 0) & (F.col("neg") == 0), "opportunity").when((F.col("pos") > 0) & (F.col("neg") > 0), "mixed").otherwise("neutral")
-    rows = rows.withColumns({"importance": importance, "impact": impact, "relevant": F.col("relevance") >= threshold, "entities": F.when(excluded, F.array().cast("array<string>")).otherwise(F.col("entities"))})
-    return rows.withColumn("review", (F.col("importance") >= 70) | (F.col("event") == "crisis")).drop("__text", "__weight", "industry", "pos", "neg")
+    importance = F.least(F.lit(100), F.bround((F.col("relevance") * 55 + F.col("__weight") * 100).cast("decimal(10,0)") / 100, 0).cast("long"))
+    rows = held(rows, importance=importance, relevant=F.col("relevance") >= threshold)
+    return rows.withColumn("review", (F.col("importance") >= 70) | (F.col("event") == "crisis")).drop("__text", "__weight", *found)
 
 
 def _any(text: Column, aliases: tuple[str, ...]) -> Column:
@@ -71,19 +82,37 @@ def _contains(text: Column, phrases: tuple[str, ...]) -> Column:
 
 
 def briefing(articles: DataFrame, as_of: Column, rules: tuple[tuple[str, tuple[str, ...], int], ...], own: tuple[str, ...], media: tuple[str, ...], n: int) -> DataFrame:
-    """The n best of the last hours: rule, recency, own mention and key media; articles that match no rule stay out."""
-    text = T.visible(F.col("title"), F.col("content"))
+    """The n best of the last hours: rule, recency, own mention and key media, and why; articles that match no rule stay out."""
+    rows = held(articles, __text=T.visible(F.col("title"), F.col("content")))
+    text = F.col("__text")
     kind, base = F.lit("news"), F.lit(8)
     for k, terms, points in sorted(rules, key=lambda r: r[2]):
-        hit = T.hits(text, terms) > 0
+        hit = _contains(text, terms)
         kind, base = F.when(hit, k).otherwise(kind), F.when(hit, points).otherwise(base)
     age = F.greatest(F.lit(0), F.timestamp_diff("SECOND", F.col("pub"), as_of))
-    recency = F.when(age <= 24 * 3600, 24).when(age <= 72 * 3600, 16).when(age <= 168 * 3600, 8).otherwise(0)
-    score = base + recency + F.when(_contains(text, own), 20).otherwise(0) + F.when(_contains(F.col("source_name"), media), 8).otherwise(0)
-    scored = articles.select("id", "ordinal", "pub", kind.alias("kind"), score.cast("long").alias("score"))
+    rows = held(rows, kind=kind, __base=base, __age=age, __own=_contains(text, own), __media=F.coalesce(_contains(F.col("source_name"), media), F.lit(False)))
+    recency = F.when(F.col("__age") <= 24 * 3600, 24).when(F.col("__age") <= 72 * 3600, 16).when(F.col("__age") <= 168 * 3600, 8).otherwise(0)
+    score = F.col("__base") + recency + F.when(F.col("__own"), 20).otherwise(0) + F.when(F.col("__media"), 8).otherwise(0)
+    reasons = F.array_compact(F.array(F.col("kind"), F.when(F.col("__age") <= 24 * 3600, "last 24 hours"), F.when(F.col("__own"), "own mention"), F.when(F.col("__media"), "key media")))
+    scored = rows.select("id", "ordinal", "pub", "cat", "kind", score.cast("long").alias("score"), F.col("__own").alias("own"), reasons.alias("reasons"))
     return scored.where("kind <> 'news'").orderBy(F.desc("score"), "ordinal").limit(n)
 
 
+def suggestion(kind: Column, own: Column, actions: dict[str, tuple[str, str]], default: str) -> Column:
+    """What to do about an item: per kind one action for the own brand and one for others."""
+    out = F.lit(default)
+    for name, (mine, other) in actions.items():
+        out = F.when((kind == name) & own, mine).when(kind == name, other).otherwise(out)
+    return out
+
+
+def label(value: Column, labels: dict[str, str], default: str) -> Column:
+    out = F.lit(default)
+    for name, shown in labels.items():
+        out = F.when(value == name, shown).otherwise(out)
+    return out
+
+
 def digest(scored: DataFrame, since: Column, sent: DataFrame, tracked: tuple[str, ...], n: int) -> DataFrame:
     """The n most important new stories: recent, relevant, not negative, none about tracked entities, none sent before.
 
@@ -91,7 +120,7 @@ def digest(scored: DataFrame, since: Column, sent: DataFrame, tracked: tuple[str
     link in order of importance takes its place.
     """
     about = F.exists("entities", lambda e: e.isin(*tracked)) if tracked else F.lit(False)
-    rows = scored.where((F.col("pub") > since) & F.col("relevant") & (F.col("impact") != "risk") & ~about)
+    rows = scored.where(F.col("pub") > since).where(F.col("relevant") & (F.col("impact") != "risk") & ~about)
     rows = rows.withColumn("story", T.story_id(F.col("title"), F.col("id"))).join(sent.select("story"), "story", "left_anti")
     order = F.struct(F.negative("importance").alias("i"), F.col("ordinal").alias("o"))
     direct = (F.coalesce(F.col("link"), F.lit("")) != "") & ~T.from_aggregator(F.col("link"))
@@ -100,11 +129,19 @@ def digest(scored: DataFrame, since: Column, sent: DataFrame, tracked: tuple[str
     return best.select("story", "b.id", "b.importance", "b.ordinal", link.alias("link")).orderBy(F.desc("importance"), "ordinal").limit(n)
 
 
-def first_match(rows: DataFrame, text: Column, names: tuple[tuple[str, str], ...], default: str) -> Column:
-    """The label of the first pattern, in order, that text holds."""
+def first_match(text: Column, names: tuple[tuple[str, str], ...], default: str | None, regex: bool = False) -> Column:
+    """The label of the first pattern, in order, that text holds; patterns are plain, or expressions without regard to case."""
     out = F.lit(default)
-    for pattern, label in reversed(names):
-        out = F.when(F.contains(text, F.lit(pattern)), label).otherwise(out)
+    for pattern, shown in reversed(names):
+        out = F.when(text.rlike(f"(?i){pattern}") if regex else F.contains(text, F.lit(pattern)), shown).otherwise(out)
+    return out
+
+
+def first_of(text: Column, terms: dict[str, tuple[str, ...]]) -> Column:
+    """The first key, in order, one of whose terms text contains; null if none."""
+    out = F.lit(None).cast("string")
+    for key, words in reversed(list(terms.items())):
+        out = F.when(_contains(text, words), key).otherwise(out)
     return out
 
 

@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def row_hash(*columns: str) -> Column:
-    return F.xxhash64(*columns)
-
-
 def compared(source: DataFrame, copy: DataFrame, key: str) -> DataFrame:
     """Per key: match, differs, missing (in the copy) or extra. All other columns count, nulls included."""
     rest = [c for c in source.columns if c != key]
@@ -30,8 +26,3 @@ def meta_class(name: Column, locks: tuple[str, ...], kept: tuple[str, ...]) -> C
     for prefix in locks:
         lock = lock | F.startswith(name, F.lit(prefix))
     return F.when(lock, "exclude").when(name.isin(*kept), "preserve").otherwise("unclassified")
-
-
-def blocking(found: DataFrame, name: str, known: tuple[str, ...]) -> DataFrame:
-    """Collections that nobody knows; an unreadable (null) name blocks as well."""
-    return found.where(F.col(name).isNull() | ~F.col(name).isin(*known))

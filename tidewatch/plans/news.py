@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewatch.functions import calendar as C
 from tidewatch.functions import numbers as N
 from tidewatch.functions import text as T
-from tidewatch.operators import merge, scoring
-from tidewatch.plans.tables import AS_OF, MEDIA, NEGATIVE, NEWS, POSITIVE, RULES, VOCABULARY, news, query, sql_alias, sql_any, sql_terms, table
+from tidewatch.operators import ingest, merge, scoring
+from tidewatch.plans.tables import AS_OF, MEDIA, NEGATIVE, NEWS, POSITIVE, RULES, VOCABULARY, news, WS, query, sql_alias, sql_any, sql_known, sql_stripped, sql_terms, table
 
 V = VOCABULARY
-_LOOSE = r"[\s\x{3000}\-–—_:：，,。.!！?？()（）「」『』]"
+_LOOSE = WS[:-1] + T.TITLE_MARKS + "]"
 
 
-@query(rf"SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g') AS clean FROM pages")
+@query(f"SELECT page_id, {sql_stripped("regexp_replace(html, '<[^>]+>', '', 'g')")} AS clean FROM pages")
 def clean_html_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.strip_tags(F.col("html")).alias("clean"))
 
@@ -95,7 +96,7 @@ s AS (SELECT id, ordinal, pub, CASE {" ".join(f"WHEN {sql_any('t', w)} THEN '{k}
 SELECT * FROM s WHERE kind <> 'news' ORDER BY score DESC, ordinal LIMIT 6""")
 def briefing_top(spark, sf_dir):
     """The 6 items of a briefing: the limit is the feature."""
-    return scoring.briefing(news(spark, sf_dir), C.instant(AS_OF), RULES, ("release",), MEDIA, 6)
+    return scoring.briefing(news(spark, sf_dir), C.instant(AS_OF), RULES, ("release",), MEDIA, 6).select("id", "ordinal", "pub", "kind", "score")
 
 
 def _merge_sql(key: str, new_id: str) -> str:
@@ -133,15 +134,15 @@ def incremental_diff(spark, sf_dir):
     return merge.changes(n.select("id", F.md5("title").alias("h")), old).groupBy("action").agg(F.count("*").alias("n_rows"))
 
 
-@query(f"""WITH {NEWS}, e AS (SELECT id, md5(title) AS h, strftime(CASE WHEN ordinal % 4 = 0 THEN pub + INTERVAL 5 DAY ELSE pub END, '%Y%m%d') AS t, left(md5(id), 1) AS shard FROM news WHERE ordinal % 2 = 0 OR ordinal % 3 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY t DESC, id) AS r FROM e WHERE t >= '20231215') SELECT id, h, t, shard FROM r WHERE r <= 20""")
+@query(f"""WITH {NEWS}, e AS (SELECT id, md5(title) AS h, strftime(CASE WHEN ordinal % 4 = 0 THEN pub + INTERVAL 5 DAY ELSE pub END, '%Y%m%d') AS t, left(md5(id), 1) AS shard FROM news),
+r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY t DESC, id) AS r FROM e WHERE t >= '20231215') SELECT id, h, t, shard FROM r WHERE r <= 6000""")
 def index_prune_cap(spark, sf_dir):
-    """The newest 20 entries of each shard: the cap is the feature."""
+    """The newest 6,000 entries of each shard: the cap is the feature."""
     n = news(spark, sf_dir)
     entry = lambda df, pub: df.select("id", F.md5("title").alias("h"), F.date_format(pub, "yyyyMMdd").alias("t"))
-    old = entry(n.where("ordinal % 3 = 0"), F.col("pub"))
-    new = entry(n.where("ordinal % 2 = 0"), F.when(F.col("ordinal") % 4 == 0, C.shifted(F.col("pub"), 120)).otherwise(F.col("pub")))
-    return merge.update_index(old, new, "20231215", 20).select("id", "h", "t", "shard")
+    old = entry(n.where("ordinal % 4 <> 0"), F.col("pub"))
+    new = entry(n.where("ordinal % 3 = 0 OR ordinal % 4 = 0"), F.when(F.col("ordinal") % 4 == 0, C.shifted(F.col("pub"), 120)).otherwise(F.col("pub")))
+    return merge.update_index(old, new, "20231215", 6000).select("id", "h", "t", "shard")
 
 
 @query(f"""WITH {NEWS}, s AS (SELECT sha256(title) AS story, max(strftime(pub, '%Y%m%d')) AS v FROM news WHERE title <> '' GROUP BY 1) SELECT story, v FROM s WHERE v >= '20240117' ORDER BY v DESC, story LIMIT 1000""")
@@ -153,46 +154,57 @@ def sent_set_update(spark, sf_dir):
 
 @query(f"""WITH {NEWS} SELECT id FROM news WHERE cat IS NOT NULL AND source_name = 'src1' AND contains(lower(title || ' ' || content || ' ' || link || ' ' || cat || ' ' || source_name), 'tion') AND {sql_terms("lower(title || ' ' || content)", POSITIVE)} > {sql_terms("lower(title || ' ' || content)", NEGATIVE)}""")
 def search_filter(spark, sf_dir):
-    n = news(spark, sf_dir).where("cat IS NOT NULL AND source_name = 'src1'")
-    return n.where(F.contains(T.visible(*(F.col(c) for c in ("title", "content", "link", "cat", "source_name"))), F.lit("tion")) & (T.sentiment(T.visible(F.col("title"), F.col("content")), POSITIVE, NEGATIVE) == "positive")).select("id")
+    return ingest.matching(news(spark, sf_dir).where("cat IS NOT NULL"), " TION ", "src1", "positive", lexicon=(POSITIVE, NEGATIVE)).select("id")
+
+
+@query(f"WITH {NEWS} SELECT cat, count(*) AS n_articles FROM news GROUP BY 1")
+def search_all(spark, sf_dir):
+    """A search that states nothing takes every article."""
+    return ingest.matching(news(spark, sf_dir), "  ", "all", "all").groupBy("cat").agg(F.count("*").alias("n_articles"))
 
 
 @query("SELECT DISTINCT source FROM documents WHERE source IS NOT NULL")
 def distinct_sources(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("source IS NOT NULL").select("source").distinct()
+    """The options of a filter, in the order of a collation for traditional Chinese."""
+    return table(spark, sf_dir, "documents").where("source IS NOT NULL").select("source").distinct().orderBy(F.collate("source", "zh_Hant"))
 
 
 _NAMES = ("src1", "src2", "src3", "src", "none")
 
 
-@query("WITH m AS (SELECT * FROM (VALUES (0, 'src1'), (1, 'src2'), (2, 'src3'), (3, 'src'), (4, 'none')) v(o, name)), c AS (SELECT o, name, count(source) AS n FROM m LEFT JOIN documents ON contains(source, name) GROUP BY o, name), t AS (SELECT greatest(count(*), 1) AS total FROM documents) SELECT name, n AS n_articles, CAST(floor(100.0 * n / total + 0.5) AS BIGINT) AS pct, row_number() OVER (ORDER BY n DESC, o) AS rank FROM c, t")
+@query("WITH m AS (SELECT * FROM (VALUES (0, 'src1'), (1, 'src2'), (2, 'src3'), (3, 'src'), (4, 'none')) v(o, name)), c AS (SELECT o, name, count(source) AS n FROM m LEFT JOIN documents ON contains(source, name) GROUP BY o, name), t AS (SELECT greatest(count(*), 1) AS total FROM documents) SELECT name, n AS n_articles, CAST(floor(100.0 * n / total + 0.5) AS BIGINT) AS pct, row_number() OVER (ORDER BY n DESC, o) AS rank, n / greatest((SELECT max(n) FROM c), 1) AS bar FROM c, t")
 def media_exposure(spark, sf_dir):
     """A short list of names is matched by expressions in one pass, so a name without articles keeps its zero."""
     d = table(spark, sf_dir, "documents")
     counts = d.agg(F.count("*").alias("total"), *(F.count_if(F.contains("source", F.lit(m))).alias(f"n{i}") for i, m in enumerate(_NAMES)))
     rows = counts.select("total", F.inline(F.array(*(F.struct(F.lit(i).alias("o"), F.lit(m).alias("name"), F.col(f"n{i}").alias("n_articles")) for i, m in enumerate(_NAMES)))))
-    return scoring.ranked_desc(rows, "n_articles", "o").select("name", "n_articles", N.share(F.col("n_articles"), F.col("total")).alias("pct"), "rank")
+    most = F.greatest(F.max("n_articles").over(Window.partitionBy()), F.lit(1))
+    return scoring.ranked_desc(rows, "n_articles", "o").select("name", "n_articles", N.share(F.col("n_articles"), F.col("total")).alias("pct"), "rank", (F.col("n_articles") / most).alias("bar"))
+
+
+_HOST = r"regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www\.', '', 'g')"
+_SITES = (("site1", "First"), ("site2.example.org.tw", "Second"), (".org", "Org"))
 
 
-@query(r"SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host, CASE WHEN contains(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'site1') THEN 'First' WHEN contains(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '.org') THEN 'Org' ELSE 'Other' END AS media FROM pages")
+@query(f"WITH p AS (SELECT page_id, {_HOST} AS host FROM pages) SELECT page_id, host, CASE WHEN host <> '' AND NOT contains(host, 'google') THEN coalesce({sql_known('host', _SITES)}, host) END AS media FROM p")
 def domain_lookup(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", T.host(F.col("url")).alias("host"))
-    return p.withColumn("media", scoring.first_match(p, F.col("host"), (("site1", "First"), (".org", "Org")), "Other"))
+    """A known host holds the link's or is held by it; the first entry wins."""
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(T.host(F.col("url")), r"www\.", "").alias("host"), ingest.link_media(F.col("url"), _SITES).alias("media"))
 
 
-_BAD = ("javascript:alert(1)", "https://user@host.example/", "http://a b.example/", "ftp://x.example/", "https:///nohost", "HTTPS://ok.example")
+_BAD = ("javascript:alert(1)", "https://user@host.example/", "http://a b.example/", "ftp://x.example/", "https:///nohost", "HTTPS://ok.example", "  https://blanks.example/a ", "https://in　side.example/", "http://:80/", "https://host.example:443/x", "https://@host.example/", "https://u:p@host.example/", "https://[::1]/", "")
 
 
-@query(r"WITH u AS (SELECT page_id AS n, url FROM pages UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-i - 1}, '{u}')" for i, u in enumerate(_BAD)) + r") v) SELECT CAST(n AS BIGINT) AS n, regexp_matches(url, '^[hH][tT][tT][pP][sS]?://[^\s/?#@]+([/?#][^\s]*)?$') AS safe FROM u")
+@query(f"WITH u AS (SELECT page_id AS n, url FROM pages UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-i - 1}, '{u}')" for i, u in enumerate(_BAD)) + f") v), c AS (SELECT n, {sql_stripped('url')} AS url FROM u) " + r"SELECT CAST(n AS BIGINT) AS n, regexp_matches(url, '^[hH][tT][tT][pP][sS]?://(:?@)?(\[[^\]/?#@]+\]|[^\[\]/?#@:]+)(:[^/?#@]*)?([/?#].*)?$') AND NOT regexp_matches(url, '[\x00-\x20\x7f]|" + WS + "') AS safe FROM c")
 def safe_urls(spark, sf_dir):
     bad = spark.createDataFrame([(-i - 1, u) for i, u in enumerate(_BAD)], "n long, url string")
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("n"), "url").unionByName(bad).select("n", T.safe_url(F.col("url")).alias("safe"))
 
 
-@query(f"WITH {NEWS}, n AS (SELECT *, coalesce(regexp_extract(title, '[-–—]\\s*([^-–—]{{2,40}})$', 1), '') AS suffix FROM news) SELECT id, suffix, left(trim(regexp_replace(content, '\\s+', ' ', 'g')), 300) AS summary, CASE WHEN contains(lower(title), 'tion') THEN 'A' WHEN contains(lower(title), 'eau') THEN 'B' ELSE 'other' END AS brand FROM n")
+@query(f"WITH {NEWS}, n AS (SELECT *, coalesce(regexp_extract(title, '[-–—]\\s*([^-–—]{{2,40}})$', 1), '') AS suffix FROM news) SELECT id, suffix, left(trim(regexp_replace(content, '{WS}+', ' ', 'g')), 300) AS summary, CASE WHEN contains(lower(title), 'tion') THEN 'A' WHEN contains(lower(title), 'eau') THEN 'B' ELSE 'other' END AS brand FROM n")
 def text_pack(spark, sf_dir):
     n = news(spark, sf_dir)
-    return n.select("id", T.title_suffix(F.col("title")).alias("suffix"), T.summary(F.col("content")).alias("summary"), scoring.first_match(n, F.lower("title"), (("tion", "A"), ("eau", "B")), "other").alias("brand"))
+    return n.select("id", T.title_suffix(F.col("title")).alias("suffix"), T.summary(F.col("content")).alias("summary"), scoring.first_match(F.lower("title"), (("tion", "A"), ("eau", "B")), "other").alias("brand"))
 
 
 @query(f"WITH {NEWS} SELECT id, title AS name, CASE cat WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' ELSE 'other' END AS category, strftime(pub, '%Y-%m-%d') AS day, link FROM news")
@@ -200,11 +212,11 @@ def export_projection(spark, sf_dir):
     return news(spark, sf_dir).select("id", F.col("title").alias("name"), F.when(F.col("cat") == "en", "English").when(F.col("cat") == "fr", "French").otherwise("other").alias("category"), F.date_format("pub", "yyyy-MM-dd").alias("day"), "link")
 
 
-@query(f"""WITH {NEWS}, w AS (SELECT ordinal, list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]{{3,}}')) AS k FROM news),
-p AS (SELECT a.ordinal AS a, b.ordinal AS b, a.k AS ka, b.k AS kb FROM w a JOIN w b ON b.ordinal = a.ordinal + 1)
-SELECT a, b, CASE WHEN least(len(ka), len(kb)) > 0 THEN len(list_intersect(ka, kb)) / least(len(ka), len(kb)) ELSE 0.0 END >= 0.5 AS similar FROM p""")
+@query(f"""WITH {NEWS}, w AS (SELECT ordinal, list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]{{3,}}')) AS k FROM news), s AS (SELECT ordinal, [x for x in k if x NOT IN ('the', 'release')] AS k FROM w),
+k AS (SELECT ordinal, len(k) AS n, unnest(k) AS word FROM s WHERE len(k) > 0),
+p AS (SELECT a.ordinal, count(*) / least(min(a.n), min(b.n)) AS share FROM k a JOIN k b ON a.word = b.word AND a.ordinal <> b.ordinal WHERE b.ordinal % 20 = 0 GROUP BY a.ordinal, b.ordinal)
+SELECT ordinal, ordinal IN (SELECT ordinal FROM p WHERE share >= 0.5) AS similar FROM news""")
 def title_similarity(spark, sf_dir):
-    """Each title against the one that follows it."""
-    w = news(spark, sf_dir).select("ordinal", T.keywords(F.col("title")).alias("k"))
-    after = w.select((F.col("ordinal") - 1).alias("ordinal"), F.col("ordinal").alias("b"), F.col("k").alias("kb"))
-    return w.join(after, "ordinal").select(F.col("ordinal").alias("a"), "b", (T.overlap(F.col("k"), F.col("kb")) >= 0.5).alias("similar"))
+    """Every title against a stated set of selected ones, those whose id is divisible by 20."""
+    titles = news(spark, sf_dir).select("ordinal", T.keywords(F.col("title"), ("the", "release")).alias("k"))
+    return merge.similar(titles, titles.where("ordinal % 20 = 0"))

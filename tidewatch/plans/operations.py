@@ -44,12 +44,12 @@ def age_window(spark, sf_dir):
     return table(spark, sf_dir, "events").where(C.within_age(F.col("ts"), C.instant("2024-03-20 12:00:00"))).select("event_id")
 
 
-@query("""WITH u AS (SELECT event_id AS id, value, 1 AS version FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, value + 1, 2 FROM events WHERE event_id % 3 = 0)
+@query("""WITH u AS (SELECT event_id AS id, value, 1 AS version FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, value + 1, 2 FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0)
 SELECT id, arg_max(value, version) AS value, max(version) AS version FROM u GROUP BY id""")
 def feed_union_latest(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    part = lambda m, add, v: e.where(f"event_id % {m} = 0").select(F.col("event_id").alias("id"), (F.col("value") + add).alias("value"), F.lit(v).alias("version"))
-    return merge.latest(part(2, 0, 1).unionByName(part(3, 1, 2)), "id", F.col("version"))
+    part = lambda which, add, v: e.where(which).select(F.col("event_id").alias("id"), (F.col("value") + add).alias("value"), F.lit(v).alias("version"))
+    return merge.latest(part("event_id % 3 <> 0", 0, 1).unionByName(part("event_id % 2 = 0 OR event_id % 3 = 0", 1, 2)), "id", F.col("version"))
 
 
 _CUT = "(CAST(date_trunc('month', TIMESTAMP '2024-02-20 00:00:00' + INTERVAL 8 HOUR) - INTERVAL 1 MONTH AS TIMESTAMP) + INTERVAL 14 DAY - INTERVAL 8 HOUR)"
@@ -152,16 +152,35 @@ def json_validate(spark, sf_dir):
     return e.where("j.k IS NOT NULL").select("event_id", F.col("j.k").alias("k"), F.greatest(F.lit(0), F.least(F.lit(100), F.col("j.k") * 3 - 20)).alias("score"), F.when(F.col("event_type").isin("click", "view"), F.col("event_type")).otherwise("other").alias("kind"))
 
 
-@query("""WITH r AS (SELECT o_orderkey AS ordinal, CAST(o_custkey % 40 AS VARCHAR) AS code, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderstatus AS summary, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'api' END AS source FROM orders),
+@query("""WITH r AS (SELECT o_orderkey AS ordinal, CAST(o_custkey % 40 AS VARCHAR) AS code, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderstatus AS summary, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'api' END AS source, o_orderkey % 2 AS late FROM orders),
 old AS (SELECT * FROM r WHERE ordinal % 2 = 0 AND source IS NOT NULL), new AS (SELECT *, row_number() OVER (PARTITION BY code, day, summary ORDER BY ordinal) AS n FROM r WHERE ordinal % 2 = 1 AND (code, day, summary) NOT IN (SELECT code, day, summary FROM old))
-SELECT ordinal, code, day, summary FROM (SELECT ordinal, code, day, summary FROM old UNION ALL SELECT ordinal, code, day, summary FROM new WHERE n = 1) ORDER BY day DESC, ordinal LIMIT 500""")
+SELECT ordinal, code, day, summary FROM (SELECT ordinal, code, day, summary, late FROM old UNION ALL SELECT ordinal, code, day, summary, late FROM new WHERE n = 1) ORDER BY day DESC, late, ordinal LIMIT 500""")
 def notice_merge(spark, sf_dir):
     """Known notices stay, unseen ones follow, the newest 500 remain: the cap is the feature."""
-    r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ordinal"), (F.col("o_custkey") % 40).cast("string").alias("code"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderstatus").alias("summary"), F.when(F.col("o_orderkey") % 9 != 0, "api").alias("source"))
-    done = merge.append_records(r.where("ordinal % 2 = 0"), r.where("ordinal % 2 = 1"), ["code", "day", "summary"], F.col("source").isNotNull(), 500)
+    r = _records(spark, sf_dir)
+    done = merge.append_records(*_notices(r), 500)
     return done.select("ordinal", "code", "day", "summary")
 
 
+def _records(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ordinal"), (F.col("o_custkey") % 40).cast("string").alias("code"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderstatus").alias("summary"), F.when(F.col("o_orderkey") % 9 != 0, "api").alias("source"))
+
+
+def _notices(r):
+    keys = [F.col("code"), F.col("day"), F.left("summary", F.lit(30))]
+    return r.where("ordinal % 2 = 0"), r.where("ordinal % 2 = 1"), keys, F.col("source").isNotNull()
+
+
+@query("""WITH o AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 9 = 0) AS purged FROM orders WHERE o_orderkey % 2 = 0),
+r AS (SELECT o_orderkey AS ordinal, CAST(o_custkey % 40 AS VARCHAR) AS code, strftime(o_orderdate, '%Y-%m-%d') AS day, left(o_orderstatus, 30) AS summary FROM orders), old AS (SELECT * FROM r WHERE ordinal % 2 = 0 AND ordinal % 9 <> 0),
+new AS (SELECT count(DISTINCT (code, day, summary)) AS added FROM r WHERE ordinal % 2 = 1 AND (code, day, summary) NOT IN (SELECT code, day, summary FROM old))
+SELECT n AS n_before, n - purged + added AS n_after, added, purged, added > 0 OR purged > 0 OR n - purged + added <> n AS changed FROM o, new""")
+def notice_changes(spark, sf_dir):
+    """Whether a merge of notices has anything to write."""
+    old, new, keys, source = _notices(_records(spark, sf_dir))
+    return merge.records_changed(old, merge.append_records(old, new, keys, source, 1 << 30), source)
+
+
 @query("""SELECT 's' AS kind, s_suppkey AS id, s_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name IN ('NATION_1', 'NATION_2', 'NATION_3')
 UNION ALL SELECT 'c', c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN ('NATION_1', 'NATION_2', 'NATION_3')""")
 def source_union(spark, sf_dir):
@@ -172,8 +191,8 @@ def source_union(spark, sf_dir):
     return s.unionByName(c)
 
 
-_LITERALS = ("1150717", "115/07/17", "20260717", "2026-07-17", "", "garbage")
-_WANTED = ("2026-07-17", "2026-07-17", "2026-07-17", "2026-07-17", "", "")
+_LITERALS = ("1150717", "115/07/17", "20260717", "2026-07-17", "", "garbage", "2026-7-17", "115/7/17", "115.07.17", "2026.07.17", " 115-7-7 ", "2026/07", "1/2/3/4", "2026-xx-01", "115071", "no 1150717")
+_WANTED = ("2026-07-17", "2026-07-17", "2026-07-17", "2026-07-17", "", "", "2026-07-17", "2026-07-17", "2026-07-17", "2026-07-17", "2026-07-07", "", "", "", "", "2026-07-17")
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in zip(_LITERALS, _WANTED, strict=True)) + f") v(text, day) UNION ALL SELECT DISTINCT strftime(ts, '%Y%m%d'), strftime(ts, '%Y-%m-%d') FROM events WHERE ts > {_AT} - INTERVAL 96 HOUR")
@@ -183,7 +202,7 @@ def calendar_pack(spark, sf_dir):
     return inline.unionByName(days).select("text", C.iso_day(F.col("text")).alias("day"))
 
 
-@query(None)
+@query("SELECT event_id % 1000 AS id, max(event_id) AS version, arg_max(value, event_id) AS value FROM events GROUP BY 1")
 def stream_upsert(spark, sf_dir):
     """Events as a change feed, upserted by micro-batches; the table of latest versions when the feed has been read."""
     import uuid
@@ -195,11 +214,29 @@ def stream_upsert(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select((F.col("event_id") % 1000).alias("id"), F.col("event_id").alias("version"), "value")
     rows.repartition(3).write.parquet(f"{base}/in")
     upsert.keep_latest(upsert.feed(spark, f"{base}/in", "id long, version long, value double", 2), f"{base}/table", "id", "version", f"{base}/checkpoint").awaitTermination()
-    return sinks.current(spark, f"{base}/table")
+    return sinks.current_parts(spark, f"{base}/table").select("id", "version", "value")
+
+
+@query("SELECT DISTINCT user_id % 97 AS story FROM events")
+def stream_first_seen(spark, sf_dir):
+    """Stories of a feed that is read in one batch: each once."""
+    import uuid
+
+    from tidewatch.streaming import upsert
+
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "events").select((F.col("user_id") % 97).alias("story"), F.col("ts").cast("timestamp").alias("ts")).repartition(3).write.parquet(f"{base}/in")
+    seen = upsert.first_seen(upsert.feed(spark, f"{base}/in", "story long, ts timestamp", 1000), "story", "ts", "10000 hours").select("story")
+    seen.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("story long").parquet(f"{base}/out")
 
 
 def shared_folder(spark) -> str:
-    """The folder that all machines share; a temporary one where the session names none."""
+    """The folder that all machines share. Where the session names none, one machine with all executors in it gets a temporary one; a cluster gets an error."""
+    import re
     import tempfile
 
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints").rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return (named or f"{tempfile.gettempdir()}/checkpoints").rstrip("/")

@@ -31,6 +31,18 @@ NEWS = """news AS (
          TIMESTAMP '2024-01-31 00:00:00' - to_hours(CAST((doc_id * 7) % 2160 AS BIGINT)) AS pub
   FROM documents)"""
 
+#: White space of any script, named for the oracle's regular expressions.
+WS = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+DOMAINS = (("site1.example", "Site One"), ("site2", "Second Site"), ("herald.example", "Tide Herald"), ("harbour.example", "Harbour Daily"))
+
+FEED = """feed AS (
+  SELECT doc_id AS ordinal, '<b>' || left(split_part(coalesce(text, ''), chr(10), 1), 60) || '</b>' || CASE doc_id % 5 WHEN 0 THEN ' - Harbour Daily' WHEN 1 THEN ' – 12345' WHEN 2 THEN ' — Nameless Post' ELSE '' END AS title,
+    '<p> ' || coalesce(text, '') || '</p>' AS content,
+    CASE WHEN doc_id % 11 = 0 THEN 'https://www.MSN.com/n/' || doc_id WHEN doc_id % 3 = 0 THEN 'https://news.google.com/r/' || doc_id ELSE 'https://www.site' || (doc_id % 4) || '.example/a/' || doc_id END AS link,
+    CASE doc_id % 7 WHEN 0 THEN 'The Tide Herald' WHEN 1 THEN 'me@host.example' WHEN 2 THEN ' Jane Roe ' WHEN 3 THEN 'http://x.example' END AS author,
+    CASE WHEN doc_id % 13 = 0 THEN 'e' END AS filter, lang AS cat, source AS label, TIMESTAMP '2024-01-31 00:00:00' - to_hours(CAST((doc_id * 7) % 2160 AS BIGINT)) AS pub
+  FROM documents)"""
+
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
 
 
@@ -70,3 +82,30 @@ def sql_any(text: str, terms) -> str:
 
 def sql_alias(text: str, aliases) -> str:
     return "(" + " OR ".join(f"regexp_matches({text}, '(^|[^a-z0-9]){a}($|[^a-z0-9])')" if a.isascii() else f"contains({text}, '{a}')" for a in aliases) + ")"
+
+
+def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as landed feed rows: tags in titles, suffixes, authors, dates in several forms, some missing."""
+    n, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    case = lambda by, values: F.coalesce(*(F.when(n % by == k, v) for k, v in values.items()))
+    pub = F.timestamp_add("HOUR", (-(n * 7) % 2160).cast("int"), instant(AS_OF)).cast("timestamp_ntz")
+    rfc = lambda ts, zone: F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss "), F.lit(zone))
+    iso = F.date_format(pub, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    local = F.timestamp_add("HOUR", F.lit(8), pub)
+    return table(spark, sf_dir, "documents").select(
+        n.alias("ordinal"), F.concat(F.lit("<b>"), F.left(F.substring_index(text, "\n", 1), F.lit(60)), F.lit("</b>"), F.coalesce(case(5, {0: F.lit(" - Harbour Daily"), 1: F.lit(" – 12345"), 2: F.lit(" — Nameless Post")}), F.lit(""))).alias("title"),
+        F.concat(F.lit("<p> "), text, F.lit("</p>")).alias("content"),
+        F.when(n % 11 == 0, F.concat(F.lit("https://www.MSN.com/n/"), n)).when(n % 3 == 0, F.concat(F.lit("https://news.google.com/r/"), n)).otherwise(F.concat(F.lit("https://www.site"), n % 4, F.lit(".example/a/"), n)).alias("link"),
+        case(7, {0: F.lit("The Tide Herald"), 1: F.lit("me@host.example"), 2: F.lit(" Jane Roe "), 3: F.lit("http://x.example")}).alias("author"),
+        case(6, {1: rfc(pub, "GMT"), 2: iso, 3: rfc(local, "+0800"), 4: F.lit("some day"), 5: F.date_format(pub, "yyyy-MM-dd HH:mm:ss")}).alias("published"),
+        F.when(n % 12 != 0, iso).alias("updated"), F.lit(None).cast("string").alias("created"),
+        F.when(n % 13 == 0, "e").alias("filter"), F.col("lang").alias("cat"), F.lit(None).cast("string").alias("brand"), F.col("source").alias("label"),
+    )
+
+
+def sql_stripped(text: str) -> str:
+    return f"regexp_replace({text}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def sql_known(text: str, names) -> str:
+    return "CASE " + " ".join(f"WHEN contains({text}, '{k}') OR contains('{k}', {text}) THEN '{v}'" for k, v in names) + " END"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,6 +33,35 @@ def by_priority(*sources: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(first), "__p").drop("__p")
 
 
+def sources(catalogue: DataFrame, modes: dict[str, tuple[str, ...]], mode: str) -> DataFrame:
+    """The catalogue's rows (label, url, cat, brand, filter, ordinal) for a mode, in the order of the mode's categories; a mode that isn't listed takes all."""
+    cats = modes.get(mode)
+    if cats is None:
+        return catalogue.withColumn("place", F.lit(0))
+    place = F.array_position(F.array(*map(F.lit, cats)), F.col("cat")).cast("int")
+    return catalogue.where(F.col("cat").isin(*cats)).withColumn("place", place)
+
+
+def decoded(content: Column, encodings: tuple[str, ...] = ("utf-8", "big5", "cp950")) -> Column:
+    """Bytes of a landed page as text, in the first encoding that fits; what fits none loses the bytes that are at fault."""
+
+    @F.pandas_udf("string")
+    def decode(pages: pd.Series) -> pd.Series:
+        def one(raw: bytes | None) -> str | None:
+            if raw is None:
+                return None
+            for encoding in encodings:
+                try:
+                    return bytes(raw).decode(encoding)
+                except UnicodeDecodeError:
+                    continue
+            return bytes(raw).decode(encodings[0], "ignore")
+
+        return pages.map(one)
+
+    return decode(content)
+
+
 def html_cells(pages: DataFrame) -> DataFrame:
     """Table rows of landed pages (page_id, html): page_id, row, cells."""
 

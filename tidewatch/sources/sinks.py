@@ -17,14 +17,19 @@ def merged(current: DataFrame | None, incoming: DataFrame, key: str) -> DataFram
     return joined.select(*map(pick, columns))
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+def exists(spark: SparkSession, place: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _names(spark: SparkSession, place: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    done = [n for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
-    return sorted(int(n[1:]) for n in done)
+    return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    return sorted(int(n[1:]) for n in _names(spark, root) if n.startswith("v") and n[1:].isdigit() and exists(spark, f"{root}/{n}/_SUCCESS"))
 
 
 def current(spark: SparkSession, root: str) -> DataFrame | None:
@@ -40,6 +45,42 @@ def upsert(incoming: DataFrame, root: str, key: str) -> None:
     merged(current(spark, root), incoming, key).write.mode("overwrite").parquet(f"{root}/v{found[-1] + 1 if found else 0}")
 
 
+def _parts(spark: SparkSession, root: str) -> dict[str, int]:
+    """For each part of a table that is kept by parts, the last whole version that wrote it."""
+    return {name: v for v in _versions(spark, root) for name in _names(spark, f"{root}/v{v}") if name.startswith("part=")}
+
+
+def current_parts(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame | None:
+    """The table that upsert_parts keeps under root: each part as last written. `only` names the parts to read."""
+    paths = [f"{root}/v{v}/{name}" for name, v in sorted(_parts(spark, root).items()) if only is None or name in only]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def upsert_parts(incoming: DataFrame, root: str, key: str, merge, parts: int = 16) -> None:
+    """Merge rows into a table kept by a hash of its key, as a new version of the parts that they touch alone.
+
+    merge(current rows or None, new rows) gives the rows that stay. Readers see a version once it is whole;
+    versions of which nothing is current any more are deleted, but for the last two, which a reader may hold.
+    """
+    spark = incoming.sparkSession
+    placed = incoming.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).persist()
+    try:
+        touched = [f"part={r.part}" for r in placed.select("part").distinct().collect()]  # at most `parts` numbers
+        if not touched:
+            return
+        found = _versions(spark, root)
+        after = merge(current_parts(spark, root, touched), placed.drop("part"))
+        after = after.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        after.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{root}/v{found[-1] + 1 if found else 0}")
+    finally:
+        placed.unpersist()
+    live = set(_parts(spark, root).values())
+    for v in _versions(spark, root)[:-2]:
+        if v not in live:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v{v}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def snapshot(df: DataFrame, path: str, by: str) -> None:
     """Overwrite only the partitions that df holds."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

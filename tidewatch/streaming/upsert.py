@@ -14,15 +14,14 @@ def feed(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1)
 
 
 def keep_latest(changes: DataFrame, root: str, key: str, version: str, checkpoint: str):
-    """Upsert each micro-batch into versions under root. A batch that is run again merges to the same table; what leaves the feed stays."""
+    """Upsert each micro-batch into the table under root, by parts, so that a batch rewrites what it touches alone. A batch that is run again merges to the same table; what leaves the feed stays."""
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        now = sinks.current(spark, root)
-        both = batch if now is None else now.unionByName(batch)
-        newest = latest(both, key, F.col(version), *(F.col(c) for c in both.columns if c not in (key, version)))
-        found = sinks._versions(spark, root)
-        newest.write.mode("overwrite").parquet(f"{root}/v{found[-1] + 1 if found else 0}")
+        def newest(now: DataFrame | None, rows: DataFrame) -> DataFrame:
+            both = rows if now is None else now.unionByName(rows)
+            return latest(both, key, F.col(version), *(F.col(c) for c in both.columns if c not in (key, version)))
+
+        sinks.upsert_parts(batch, root, key, newest)
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
