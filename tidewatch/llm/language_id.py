@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 from tidewatch.llm import common
 from tidewatch.llm.sampling import bounded, held_out
 
-#: Labelled text per language: letters, and documents they may come from.
-REFERENCE_CHARS, REFERENCE_DOCS = 40_000, 200
+#: Labelled text per language, if the caller states none: documents, and characters.
+SAMPLE_DOCS, SAMPLE_CHARS = 200, 60_000
 #: Words whose phrase counts a task remembers, and the longest word it does so for.
 MEMORY, MEMORY_WORD = 250_000, 48
 
@@ -62,13 +62,13 @@ class SuffixAutomaton:
 
     def phrases(self, text: str) -> int:
         """How many phrases a greedy parse into longest matches takes; a character that never occurs is one of its own."""
-        step, at, n = self.step, 0, 1
+        step, at, n = self.step, -1, 0
         root = step[0]
-        for i, c in enumerate(text):
-            to = step[at].get(c)
-            if to is None:
-                n += i > 0
-                to = root.get(c, 0)
+        for c in text:
+            to = step[at].get(c, -1) if at >= 0 else -1
+            if to < 0:
+                n += 1
+                to = root.get(c, -1)
             at = to
         return n
 
@@ -129,36 +129,39 @@ class Identifier:
         return self.langs[best], round(float(1 / weight.sum()), 9)
 
 
-def references(docs: DataFrame) -> dict[str, str]:
-    """Words of whole labelled documents outside the held-out fold, at most about REFERENCE_CHARS letters per language."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out())
+def references(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
+    """Words of whole labelled documents outside the held-out fold, a bounded sample of each language.
+
+    Documents come in the order of a hash of doc_id: at most `sample_docs`, until they hold `sample_chars`
+    characters, which the last of them may exceed; documents longer than that by themselves aren't learned from.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    own = own.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out()).where(F.length("text") <= sample_chars)
     # One row per label value: as many as there are languages.
     counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    some = bounded(own, "lang", counts, 2 * REFERENCE_DOCS)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "size")
-    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sized = some.withColumn("size", F.length("text")).withColumn("n", F.row_number().over(order)).withColumn("before", before)
-    rows = sized.where((F.col("n") <= REFERENCE_DOCS) & ((F.col("n") == 1) | (F.col("before") + F.col("size") <= 2 * REFERENCE_CHARS))).orderBy("lang", "n").select("lang", "text").collect()
+    some = bounded(own, "lang", counts, 2 * sample_docs)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "text")
+    before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = some.withColumn("n", F.row_number().over(order)).withColumn("before", before).where((F.col("n") <= sample_docs) & (F.col("before") < sample_chars)).orderBy("lang", "n").select("lang", "text").collect()
     out: dict[str, list[str]] = {x: [] for x in counts}
-    seen = set()
-    for lang, text in rows:
-        if (lang, text) not in seen:
-            seen.add((lang, text))
-            out[lang] += [w for w in map(clean, text.split()) if w]
-    return {x: (" " + " ".join(words) + " ")[:REFERENCE_CHARS] for x, words in out.items() if words}
+    for lang, text in dict.fromkeys(map(tuple, rows)):
+        out[lang] += [w for w in map(clean, text.split()) if w]
+    return {x: " " + " ".join(words) + " " for x, words in out.items() if words}
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """Predict the language of every document's whole text.
 
-    Learns only from text and non-null lang of rows outside the held-out fold. Returns one row per input
+    Learns only from text and non-null lang of rows outside the held-out fold, from a sample bounded as in
+    `references`. Returns one row per input
     row: doc_id, held_out, lang_pred, score (0 to 1, the winner's share). lang_pred is `und` with score 0 if
     the text is null, empty or without letters, or if nothing was learned; ties go to the lesser lang value;
-    a null doc_id is held out; repeated rows are judged alike; an empty table gives an empty result.
+    a null doc_id is held out; repeated rows are judged alike; an empty table gives an empty result; a text of
+    any length is parsed whole, word by word; bytes that are no UTF-8 count as no letters.
     """
     spark = docs.sparkSession
     common.bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(references(docs))
+    shared = spark.sparkContext.broadcast(references(docs, sample_docs, sample_chars))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Identifier(shared.value)
