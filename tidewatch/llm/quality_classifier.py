@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,55 +23,98 @@ from tidewatch.llm.sampling import bounded, held_out
 
 #: Rows of the table, width of a vector, lengths of character n-grams.
 ROWS, WIDTH, GRAMS = 1 << 17, 12, (3, 4)
-#: The sample that is learned from: documents of each label, and bytes of text in all.
+#: The sample that is learned from, if the caller states none: documents of each label, and bytes of text in all.
 SAMPLE_DOCS, SAMPLE_BYTES = 1500, 12_000_000
 EPOCHS, RATE, SEED = 6, 0.5, 11
-#: Texts that are hashed together; a longer text goes alone, in pieces cut at white space.
-CHUNK_BYTES = 1_000_000
+#: Characters that are hashed together; a longer text goes alone, piece by piece.
+CHUNK = 1_000_000
 _FIXED = float(1 << 20)
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Table rows of all features, and for each the number of its text. Row 0 stands for the bias."""
-    raw = np.frombuffer(b" " + b" ".join(texts) + b"  ", np.uint8)
+def _decoded(text: bytes) -> str:
+    return text.decode("utf-8", "replace")
+
+
+def _points(text: str) -> np.ndarray:
+    """Code points; all white space counts as a blank."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    points[(points >= 9) & (points <= 13)] = 32
+    return points
+
+
+def _grams(points: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each n-gram starts that has no blank inside, and its hash."""
+    count = len(points) - n + 1
+    if count <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = np.full(count, n * 0x9E3779B1, np.uint64)
+    inner = np.ones(count, bool)
+    for k in range(n):
+        h = h * np.uint64(0x100000001B3) + points[k : k + count]
+        if 0 < k < n - 1:
+            inner &= points[k : k + count] != 32
+    at = np.flatnonzero(inner)
+    return at, common.mixed(h[at])
+
+
+def _rows(hashes: np.ndarray) -> np.ndarray:
+    """Table rows; row 0 stands for the bias."""
+    return (hashes % np.uint64(ROWS - 1) + np.uint64(1)).astype(np.int64)
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Table rows of all words and character n-grams, and for each the number of its text."""
+    raw = _points(" " + " ".join(texts) + "  ")
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     doc = np.r_[0, np.repeat(np.arange(len(texts)), lengths), len(texts) - 1, len(texts) - 1]
-    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    wide = raw.astype(np.uint64)
     rows, owners = [], []
     for n in GRAMS:
-        count = len(raw) - n + 1
-        if count <= 0:
-            continue
-        h = np.full(count, n * 0x9E3779B1, np.uint64)
-        inner = np.ones(count, bool)
-        for k in range(n):
-            h = h * np.uint64(0x100000001B3) + wide[k : k + count]
-            if 0 < k < n - 1:
-                inner &= ~space[k : k + count]
-        at = np.flatnonzero(inner)
-        rows.append(common.mixed(h[at]))
+        at, h = _grams(raw, n)
+        rows.append(h)
         owners.append(doc[at + 1])
-    edge = np.diff(space.astype(np.int8))
+    edge = np.diff((raw == 32).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1) + 1, np.flatnonzero(edge == 1) + 1
     sums = np.zeros(len(raw) + 1, np.uint64)
     base = common.MULTIPLIERS[0]
-    np.cumsum((wide + np.uint64(1)) * common._powers(base, len(raw))[: len(raw)], out=sums[1:])
+    np.cumsum((raw + np.uint64(1)) * common._powers(base, len(raw))[: len(raw)], out=sums[1:])
     rows.append(common.mixed((sums[ends] - sums[starts]) * common._powers(pow(base, -1, 1 << 64), len(raw))[starts]))
     owners.append(doc[starts])
-    row = np.concatenate(rows) % np.uint64(ROWS - 1) + np.uint64(1)
-    return row.astype(np.int64), np.concatenate(owners)
+    return _rows(np.concatenate(rows)), np.concatenate(owners)
 
 
-def _pieces(text: bytes) -> list[bytes]:
-    """Parts of a long text, cut at white space where there is any: no feature spans two words."""
-    out, at = [], 0
-    while len(text) - at > CHUNK_BYTES:
-        cut = max(text.rfind(c, at, at + CHUNK_BYTES) for c in (b" ", b"\n", b"\t"))
-        cut = cut if cut > at else at + CHUNK_BYTES
-        out.append(text[at:cut])
-        at = cut
-    return [*out, text[at:]]
+def _long_word(word: str) -> Iterator[np.ndarray]:
+    """The same for one word of any length, CHUNK characters at a time."""
+    total, scale, base = 0, 1, common.MULTIPLIERS[0]
+    padded = f" {word} "
+    for at in range(0, len(padded), CHUNK):
+        for n in GRAMS:
+            yield _rows(_grams(_points(padded[at : at + CHUNK + n - 1]), n)[1])
+    for at in range(0, len(word), CHUNK):
+        part = _points(word[at : at + CHUNK]) + np.uint64(1)
+        total = (total + scale * int((part * common._powers(base, len(part))[: len(part)]).sum(dtype=np.uint64))) % (1 << 64)
+        scale = scale * pow(base, len(part), 1 << 64) % (1 << 64)
+    yield _rows(common.mixed(np.array([total], np.uint64)))
+
+
+def long_features(text: str) -> Iterator[np.ndarray]:
+    """Table rows of one text of any length, in pieces. Pieces end at white space, or else hold one long word, so they are those of the whole text."""
+    at = 0
+    while at < len(text):
+        end = min(at + CHUNK, len(text))
+        if end < len(text):
+            cut = max(text.rfind(c, at + 1, end) for c in " \t\n\v\f\r")
+            if cut < 0:
+                found = [i for i in (text.find(c, end) for c in " \t\n\v\f\r") if i >= 0]
+                end = min(found, default=len(text))
+                word = text[at:end].lstrip(" \t\n\v\f\r")
+                if len(word) > CHUNK // 2:
+                    yield from _long_word(word)
+                    at = end
+                    continue
+            else:
+                end = cut
+        yield features([text[at:end]])[0]
+        at = end
 
 
 @dataclass(frozen=True)
@@ -81,22 +125,35 @@ class Model:
 
     def log_odds(self, texts: list[bytes]) -> np.ndarray:
         total, count = np.full(len(texts), int(self.odds[0])), np.ones(len(texts), np.int64)
-        parts = [(i, p) for i, t in enumerate(texts) for p in _pieces(t)]
-        at = 0
-        while at < len(parts):
-            end, held = at, 0
-            while end < len(parts) and (end == at or held + len(parts[end][1]) <= CHUNK_BYTES):
-                held += len(parts[end][1])
-                end += 1
-            row, owner = features([p for _, p in parts[at:end]])
+        held: list[tuple[int, str]] = []
+
+        def flush() -> None:
+            if not held:
+                return
+            row, owner = features([t for _, t in held])
             sums = np.zeros(len(row) + 1, np.int64)
             order = np.argsort(owner, kind="stable")
             np.cumsum(self.odds[row[order]], out=sums[1:])
-            edges = np.searchsorted(owner[order], np.arange(end - at + 1))
-            index = np.array([i for i, _ in parts[at:end]])
-            np.add.at(total, index, sums[edges[1:]] - sums[edges[:-1]])
-            np.add.at(count, index, np.diff(edges))
-            at = end
+            edges = np.searchsorted(owner[order], np.arange(len(held) + 1))
+            index = np.array([i for i, _ in held])
+            total[index] += sums[edges[1:]] - sums[edges[:-1]]
+            count[index] += np.diff(edges)
+            held.clear()
+
+        size = 0
+        for i, raw in enumerate(texts):
+            text = _decoded(raw)
+            if len(text) > CHUNK:
+                for row in long_features(text):
+                    total[i] += int(self.odds[row].sum())
+                    count[i] += len(row)
+                continue
+            if size + len(text) > CHUNK:
+                flush()
+                size = 0
+            held.append((i, text))
+            size += len(text)
+        flush()
         return total / count / _FIXED
 
 
@@ -107,7 +164,7 @@ def fit(texts: list[bytes], labels: list[int], prior: float | None = None) -> Mo
     layer = np.zeros((WIDTH, 2))
     bags = []
     for text in texts:
-        row = np.r_[0, np.concatenate([features([p])[0] for p in _pieces(text)])]
+        row = np.concatenate([np.zeros(1, np.int64), *long_features(_decoded(text))])
         rows, n = np.unique(row, return_counts=True)
         bags.append((rows, n / len(row)))
     target = np.eye(2)[np.array(labels, np.int64)] if labels else np.zeros((0, 2))
@@ -136,22 +193,28 @@ def fit(texts: list[bytes], labels: list[int], prior: float | None = None) -> Mo
     return Model(np.rint(odds * _FIXED).astype(np.int64))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on a bounded sample: rows outside the held-out fold, by least hash of doc_id, at most about SAMPLE_DOCS of each label and SAMPLE_BYTES in all."""
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on a bounded sample of rows outside the held-out fold.
+
+    In the order of a hash of doc_id, whatever their length: about `sample_docs` documents of each label, up
+    to the first with which they would hold more than `sample_bytes`; that one and those after it are left out.
+    """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)").where(~held_out())
     own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     counts = {r.quality: r.n for r in own.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    chosen = bounded(own, "quality", counts, SAMPLE_DOCS)
+    chosen = bounded(own, "quality", counts, sample_docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).where("text IS NOT NULL")
     found = texts.join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("doc_id", F.lit(17)))
-    sizes = found.select("h", "doc_id", "quality", F.octet_length("text").alias("n")).orderBy("h", "doc_id", "n").limit(3 * SAMPLE_DOCS).collect()
-    held, ids = 0, set()
+    # Of an id that repeats, the least text counts. At most a few times sample_docs rows of numbers.
+    sizes = found.select("h", "doc_id", F.octet_length("text").alias("n")).groupBy("h", "doc_id").agg(F.max("n").alias("n")).orderBy("h", "doc_id").limit(3 * sample_docs).collect()
+    held, ids = 0, []
     for r in sizes:
-        if held + r.n <= SAMPLE_BYTES and r.doc_id not in ids:
-            held += r.n
-            ids.add(r.doc_id)
+        held += r.n
+        if held > sample_bytes and ids:
+            break
+        ids.append(r.doc_id)
     spark = docs.sparkSession
-    kept = spark.createDataFrame([(i,) for i in sorted(ids)], "doc_id long")
+    kept = spark.createDataFrame([(i,) for i in ids], "doc_id long")
     rows = found.join(F.broadcast(kept), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("h").alias("h")).collect()
     rows.sort(key=lambda r: (r.h, r.doc_id))
     n = sum(counts.values())
@@ -174,17 +237,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """Rows of docs, all columns, whose text the trained model doesn't reject. Each row is judged by its own text."""
-    model = train(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model.odds)
+    """Rows of docs, all columns, whose text the trained model doesn't reject. Each row is judged by its own text, a null one as an empty one; bytes that are no UTF-8 count as replacement characters."""
+    common.bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels).odds)
 
     @F.pandas_udf("double")
     def of(texts):
-        own = Model(shared.value)
-        z = own.log_odds([(t or "").encode() for t in texts])
-        return texts.index.to_series().reset_index(drop=True).astype("float64") * 0 + np.round(1 / (1 + np.exp(-z)), 9)
+        z = Model(shared.value).log_odds([t or b"" for t in texts])
+        return pd.Series(np.round(1 / (1 + np.exp(-z)), 9))
 
-    return docs.where(of(F.col("text").cast("string")) >= least)
+    return docs.where(of(F.col("text").cast("string").cast("binary")) >= least)
 
 
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
@@ -193,7 +255,8 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFram
     Returns one row per input row: doc_id, held_out, score, predicted (1 if score >= least). Labels that
     are null, other than 0 or 1, or contradict each other are left out; repeated labels count once; with
     labels of one kind only every text scores near that kind, without labels 0.5; a null doc_id is held
-    out; an empty table gives an empty result; other columns, lang and source included, are ignored.
+    out; an empty table gives an empty result; other columns, lang and source included, are ignored. A text
+    of any length is scored whole, in pieces; bytes that are no UTF-8 count as replacement characters.
     """
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
