@@ -170,21 +170,22 @@ def top_k(vectors: DataFrame, k: int = 5, scale: int = 256, every: int = 50) ->
 
     def with_floors(block: pa.Table, known: pa.Table) -> pa.Table:
         if not len(block):
-            return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())], ["q_block", "q_longest", "q_ids", "q_matrix", "floors"])
+            return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.float64())], ["q_block", "q_longest", "q_ids", "q_matrix", "floors", "least"])
         row = block.to_pylist()[0]
         found = dict(zip(known["query_id"].to_pylist(), known["floor"].to_pylist(), strict=True))
         floor = np.array([found.get(i, -np.inf) for i in np.frombuffer(row["q_ids"], np.int64).tolist()], np.float64)
-        return block.append_column("floors", pa.array([floor.tobytes()], pa.binary()))
+        return block.append_column("floors", pa.array([floor.tobytes()], pa.binary())).append_column("least", pa.array([floor.min()]))
 
     ids = queries.mapInArrow(_ids, "q_block long, query_id long")
     known = ids.join(floors, "query_id").select("q_block", "query_id", "floor")
-    staged = queries.groupBy("q_block").cogroup(known.groupBy("q_block")).applyInArrow(with_floors, "q_block long, q_longest double, q_ids binary, q_matrix binary, floors binary")
-    staged = common.stored(staged.withColumn("least", F.lit(0)), "queries-with-floors")
+    staged = queries.groupBy("q_block").cogroup(known.groupBy("q_block")).applyInArrow(with_floors, "q_block long, q_longest double, q_ids binary, q_matrix binary, floors binary, least double")
+    staged = common.stored(staged, "queries-with-floors")
     others = blocks.join(first.select(F.col("block").alias("seen")).distinct(), F.col("block") == F.col("seen"), "left_anti")
-    # Stated queries against all rows, block by block; descriptors pair up, and matrices follow to one task per pair.
-    pairs = staged.select("q_block").join(others.select("block"))
+    # Stated queries against all rows, block by block: descriptors pair up where the lengths leave a chance, and matrices follow to one task per pair.
+    chance = F.col("q_longest") * F.col("longest") * (1 + 1e-6) + 1e-6 >= F.col("least")
+    pairs = staged.select("q_block", "q_longest", "least").join(others.select("block", "longest"), chance).select("q_block", "block")
     parts = max(1, common.part_count(spark))
-    work = pairs.repartition(parts, "q_block", "block").join(staged, "q_block").join(others, "block")
+    work = pairs.repartition(parts, "q_block", "block").join(staged.drop("least"), "q_block").join(others, "block")
     rest = work.mapInArrow(_search(k, width, rotation, lead, True), schema)
     merged = seed.unionByName(rest).distinct().withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     return merged.select("query_id", "rank", "vec_id", "score")
