@@ -58,11 +58,11 @@ def test_equal_values_stay_linked_whatever_their_layout():
 def test_rows(spark):
     rows = [(1, "call 97.51.17.173"), (2, None), (3, ""), (4, "call 97.51.17.173"), (4, "call 97.51.17.173"), (None, "x"), (5, "word " * 50_000 + "97.51.17.173"), (6, "7" * 100_000), (7, "a." * 50_000 + "@")]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS kinds", "1 AS n_values")
-    got = {(r.doc_id, r.text[:40] if r.text else r.text, r.n_values, r.kinds) for r in pii.pseudonymise(df).collect()}
-    new = pii.Pseudonyms().replace("97.51.17.173")[0]
+    got = {(r.doc_id, r.text[:40] if r.text else r.text, r.n_values, r.kinds) for r in pii.pseudonymise(df, b"key").collect()}
+    new = pii.Pseudonyms(b"key").replace("97.51.17.173")[0]
     assert {(1, f"call {new}", 1, "address:1"), (2, None, 0, ""), (3, "", 0, ""), (4, f"call {new}", 1, "address:1"), (None, "x", 0, ""), (6, "7" * 40, 0, "")} <= got
-    assert pii.pseudonymise(df).count() == len(rows)
-    assert pii.pseudonymise(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert pii.pseudonymise(df, b"key").count() == len(rows)
+    assert pii.pseudonymise(spark.createDataFrame([], SCHEMA), b"key").collect() == []
 
 
 def test_secrets_of_any_length_and_with_dots_are_hidden():

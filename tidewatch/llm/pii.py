@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from tidewatch.llm import common
 
 ROUNDS = 10
-#: The key of examples and tests; production passes its own.
-KEY = b"tidewatch example key"
 FIRST_DAY, DAYS = date(1900, 1, 1), 73049
 
 
@@ -259,7 +257,7 @@ FORMATS = (
 
 
 class Pseudonyms:
-    def __init__(self, key: bytes = KEY, formats: tuple[Format, ...] = FORMATS):
+    def __init__(self, key: bytes, formats: tuple[Format, ...] = FORMATS):
         self.key, self.formats = key, formats
         self.of = lru_cache(65536)(self._of)
 
@@ -319,14 +317,14 @@ class Pseudonyms:
         return "".join([*out, text[last:]]), counts
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """Replace every valid personal value of each whole text by its pseudonym.
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
+    """Replace every valid personal value of each whole text by its pseudonym under a secret key, whose holder can undo it.
 
     Returns one row per input row: doc_id, text, n_values, kinds (kind:count, by kind, comma-joined). A
     null text stays null and has no values; an empty text stays empty; numbers and dates that fail their
     validation stay as they are; equal values get equal pseudonyms in all rows, repeated rows included;
     where matches overlap, the earlier format of FORMATS wins; an empty table gives an empty result;
-    other columns are ignored. Rows are independent: nothing is shuffled.
+    other columns are ignored; a text of any length is searched whole. Rows are independent: nothing is shuffled.
     """
     common.bounded_batches(docs.sparkSession)
 

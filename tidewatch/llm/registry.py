@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format
+from tidewatch.llm import chat_format, oracles
 from tidewatch.llm.decontamination import decontaminate
 from tidewatch.llm.jaccard_join import jaccard_join
 from tidewatch.llm.language_id import identify
@@ -36,7 +36,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    """Under a key for examples; whoever uses the operator passes a secret one."""
+    return pseudonymise(table(spark, sf_dir, "documents"), b"tidewatch example key")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": chat_format.oracle()}
+    return {
+        "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op2_topk_search": oracles.TOPK_SEARCH,
+        "op3_decontamination": oracles.DECONTAMINATION,
+        "op6_chat_format": chat_format.oracle(),
+        "op8_jaccard_join": oracles.JACCARD_JOIN,
+    }
