@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import calendar as C
 from tidewatch.functions import numbers as N
 from tidewatch.functions import text as T
-from tidewatch.operators import jobs, merge, scoring, verify
+from tidewatch.operators import copying, finance, ingest, jobs, merge, scoring, verify, worker
 from tidewatch.sources import landing, sinks
 
 ARTICLE = "ordinal long, id string, title string, content string, link string, cat string, source_name string, pub timestamp_ntz"
@@ -102,3 +102,70 @@ def test_landed_sources(spark):
     assert landing.by_priority(rows.limit(0), rows.where("label = 's1'"), rows).count() == 50
     pages = spark.createDataFrame([(1, "<table><tr><td>a <b>b</b></td><th>c</th></tr></table>"), (2, None)], "page_id long, html string")
     assert [tuple(r) for r in landing.html_cells(pages).collect()] == [(1, 0, ["a b", "c"])]
+
+
+def test_table_by_parts_rewrites_what_a_batch_touches(spark, tmp_path):
+    root = str(tmp_path / "p")
+
+    def newest(now, rows):
+        return merge.latest(rows if now is None else now.unionByName(rows), "k", F.col("v"))
+
+    rows = lambda *x: spark.createDataFrame(list(x), "k long, v long")
+    sinks.upsert_parts(spark.range(100).selectExpr("id AS k", "0L AS v"), root, "k", newest, 4)
+    for _ in range(2):  # a batch that runs again merges to the same table
+        sinks.upsert_parts(rows((1, 5), (1, 3), (200, 1)), root, "k", newest, 4)
+    got = {r.k: r.v for r in sinks.current_parts(spark, root).select("k", "v").collect()}
+    assert got == {k: 0 for k in range(100)} | {1: 5, 200: 1}
+    assert len(sinks._names(spark, f"{root}/v2")) <= 3  # two parts at most, and the mark of success
+    for i in range(6):
+        sinks.upsert_parts(spark.range(100).selectExpr("id AS k", f"{10 + i}L AS v"), root, "k", newest, 4)
+    assert sinks._versions(spark, root) != list(range(9)) and len(sinks._versions(spark, root)) <= 4
+    sinks.upsert_parts(rows(), root, "k", newest, 4)
+    assert sinks.current_parts(spark, root).count() == 101
+
+
+def test_copies_halt_on_their_own_and_resume(spark, tmp_path):
+    good, root = spark.range(5), str(tmp_path)
+    bad = good.select(F.raise_error(F.lit("broken")).alias("x"))
+    key = copying.fingerprint(cutoff="2024-01", tables=["a", "b"])
+    first = {r.collection: r.status for r in copying.copy(spark, [("a", good), ("b", bad)], root, key).collect()}
+    again = {r.collection: r.status for r in copying.copy(spark, [("a", good), ("b", good)], root, key).collect()}
+    assert first == {"a": "copied", "b": "failed"} and again == {"a": "skipped", "b": "copied"}
+    assert copying.fingerprint(cutoff="2024-02", tables=["a", "b"]) != key
+    assert copying.gate(spark.createDataFrame([], "collection string, class string, children long"), ("a",)).first().blocked is False
+    assert copying.gate(spark.createDataFrame([("a", "preserve", None)], "collection string, class string, children long"), ("a",)).first().blocked is True
+    assert copying.blocking(spark.createDataFrame([("a",), ("z",), (None,)], "c string"), "c", ("a",)).count() == 2
+
+
+def test_media_in_order_and_both_directions(spark):
+    domains = (("one.example", "One Daily"), ("two.example", "Two"))
+    name = lambda title, author="", link="": value(spark, ingest.media_name(F.lit(title), F.lit(author), F.lit(link), domains))
+    assert name("News - One Daily") == "One Daily" and name("News – One") == "One Daily" and name("News - The Two Times") == "Two"
+    assert name("News - 2024", "Two") == "Two" and name("News", "a@b.example", "https://www.one.example/x") == "One Daily"
+    assert name("News", "", "https://other.example/x") == "other.example" and name("News", "", "https://news.google.com/x") == "unknown"
+    strip = lambda title, media: value(spark, ingest.without_suffix(F.lit(title), F.lit(media)))
+    assert strip("A - B - One", "One Daily") == "A - B" and strip("A - B", "One") == "A - B" and strip("A - B", "unknown") == "A - B"
+
+
+def test_worker_output_and_locks(spark):
+    rows = spark.createDataFrame([(1, "```json\n{\"summary\": \"s\", \"importanceScore\": 250, \"confidence\": -1}\n```"), (2, "{}"), (3, None), (4, "{\"summary\": \"" + "x" * 600 + "\", \"entities\": \"none\"}")], "id long, o string")
+    got = {r.id: r for r in worker.checked_output(rows, "o", ("a",), ("risk",)).collect()}
+    assert [got[i].valid for i in (1, 2, 3)] == [True, False, False] and (got[1].importance, got[1].confidence, got[1].event, got[1].impact) == (100, 0.0, "other", "neutral")
+    assert value(spark, worker.unfenced(F.lit("```\na\n```"))) == "a" and value(spark, worker.unfenced(F.lit(" a "))) == "a"
+    with pytest.raises(ValueError):
+        worker.acquired(rows, rows, C.instant("2024-01-01 00:00:00"), 0)
+
+
+def test_quotes_and_flows_without_rows(spark):
+    q = spark.createDataFrame([("a", 1, "-", "10", "1,000"), ("a", 2, "99", "1", "1"), ("b", 3, "12.5", "", ""), ("c", 4, "", "-", None)], "code string, ordinal long, z string, y string, v string")
+    assert {r.code: (r.price, r.change, r.pct, r.volume) for r in finance.quotes(q, "code").collect()} == {"a": (10.0, 0.0, 0.0, 1000000), "b": (12.5, 0.0, 0.0, 0), "c": (0.0, 0.0, 0.0, 0)}
+    none = spark.createDataFrame([], "name string, day string, buy double, sell double, ordinal long")
+    assert finance.chosen_flow(none, ["x"]).collect() == []
+
+
+def test_similar_titles_with_ties_and_empty_sets(spark):
+    rows = [(0, ["a", "b"]), (1, ["b", "c", "d"]), (2, ["x"]), (3, []), (4, ["a", "b"]), (20, ["c", "z"]), (21, ["q"])]
+    df = spark.createDataFrame(rows, "ordinal long, k array<string>")
+    got = {r.ordinal: r.similar for r in merge.similar(df, df.where("ordinal % 20 = 0")).collect()}
+    want = {i: any(j % 20 == 0 and i != j and a and b and len(set(a) & set(b)) >= 0.5 * min(len(a), len(b)) for j, b in rows) for i, a in rows}
+    assert got == want
