@@ -62,7 +62,8 @@ def chat_format(turns: DataFrame, template: Template = Template()) -> DataFrame:
     go by turn (null first), then role, then text. A null text or role counts as empty; a role without a
     move is invalid but still formatted; repeated rows are turns of their own; rows with a null conv_id form
     one conversation; a conversation is valid if every turn is and the last state is final; an empty table
-    gives an empty result; other columns are ignored.
+    gives an empty result; other columns are ignored. A text of any length stays whole; a conversation is one
+    row of its aggregation.
     """
     rows = turns.select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))

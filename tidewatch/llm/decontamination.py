@@ -206,7 +206,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     Returns one row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items. A
     null or empty text has no words, so no hits; items without words, without text or without an id
     match nothing; items that repeat count once per item_id; repeated documents each get their row; an
-    empty benchmark leaves all clean and an empty table gives an empty result; other columns are ignored.
+    empty benchmark leaves all clean and an empty table gives an empty result; other columns are ignored; a
+    text beyond the size of a shard makes one of its own and is searched whole. `window` stays below GAP.
     """
     if window >= GAP:
         raise ValueError(f"windows must stay below {GAP} words")

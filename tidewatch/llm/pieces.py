@@ -321,7 +321,7 @@ def encode_pieces(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA, see
 
     Returns one row per input row: doc_id, pieces (array of ids). A null text has null pieces, an empty
     text none. Rows equal in doc_id and text get equal pieces; a null doc_id takes its text as key; an
-    empty table gives an empty result; other columns are ignored. The vocabulary (some MB at most) is read
+    empty table gives an empty result; other columns are ignored; a text of any length is segmented whole. The vocabulary (some MB at most) is read
     on the driver and broadcast; rows are independent, so nothing is shuffled.
     """
     common.bounded_batches(docs.sparkSession)

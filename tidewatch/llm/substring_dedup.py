@@ -4,7 +4,8 @@ A difference cover D of the residues modulo v holds, for every difference d, two
 by d. So two equal windows, wherever they start, share a shift k < v that brings both onto the cover,
 and the sub-window of `window - v + 1` words at that shift is equal in both. Only sub-windows at
 cover positions are hashed and exchanged. Windows around an anchor that occurs again are then
-extended to full length and compared by a 128-bit hash, again across the whole corpus.
+extended to full length and compared by 96 bits of hashes over 64-bit word hashes, again across the whole
+corpus; words themselves are not compared.
 
 Shards (groups of whole documents) hold each hash once, so that a passage repeated a million times
 costs one entry per shard, and reducers answer with one bit per entry.
@@ -139,8 +140,9 @@ def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
     Words are runs of bytes other than ASCII white space. All windows are judged on the input. Returns
     one row per input row: doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by a
     space). A null or empty text has no words and keeps the digest of the empty string; a text shorter
-    than the window keeps everything; repeated rows (even of one doc_id) count as places of their own;
-    an empty table gives an empty result; other columns are ignored.
+    than the window keeps everything; repeated rows (even of one doc_id) count as places of their own, so
+    equal rows lose the same words; a text beyond the size of a shard makes one of its own and is judged
+    whole; an empty table gives an empty result; other columns are ignored.
     """
     packs = common.packed(docs, "substring-packs")
     total = packs.agg(F.sum(F.octet_length("body")).alias("n")).first().n or 0
