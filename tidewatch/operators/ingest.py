@@ -158,6 +158,7 @@ def matching(rows: DataFrame, query: str = "", media: str = "all", sentiment: st
     if words:
         rows = rows.where(F.contains(T.visible(*map(F.col, fields)), F.lit(words)))
     if sentiment != "all":
-        computed = T.sentiment(T.visible(F.col("title"), F.col("content")), *lexicon)
-        rows = rows.where((F.coalesce(F.nullif(F.col("sentiment"), F.lit("")), computed) if "sentiment" in rows.columns else computed) == sentiment)
+        rows = held(rows, __seen=T.visible(F.col("title"), F.col("content")))
+        computed = T.sentiment(F.col("__seen"), *lexicon)
+        rows = rows.where((F.coalesce(F.nullif(F.col("sentiment"), F.lit("")), computed) if "sentiment" in rows.columns else computed) == sentiment).drop("__seen")
     return rows

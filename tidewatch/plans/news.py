@@ -86,7 +86,7 @@ SELECT story, id, importance, ordinal, CASE WHEN contains(lower(link), 'news.goo
 def digest_select(spark, sf_dir):
     """The 20 stories of a digest: the limit is the feature."""
     scored = _scored(spark, sf_dir)
-    sent = scored.where("ordinal % 11 = 0").select(T.story_id(F.col("title"), F.col("id")).alias("story"))
+    sent = news(spark, sf_dir).where("ordinal % 11 = 0").select(T.story_id(F.col("title"), F.col("id")).alias("story"))
     return scoring.digest(scored, C.shifted(C.instant(AS_OF), -960), sent, ("E4",), 20)
 
 
