@@ -63,17 +63,19 @@ def discard(*tables: DataFrame) -> None:
 HEAVY_ROWS = 256
 
 
-def join_counted(rows: DataFrame, facts: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, total: int, keep: bool = False) -> DataFrame:
     """rows joined with facts, which has one row per key and counts rows in its column `rows`, out of `total`.
 
     A key that holds more than an eighth of a task's fair share is heavy; there are at most eight per task,
-    so their facts go to all tasks and their rows stay where they are. Both tables should be stored.
+    so their facts go to all tasks and their rows stay where they are. Both tables should be stored. `keep` keeps
+    the count.
     """
     least = max(HEAVY_ROWS, total // (8 * part_count(rows.sparkSession)))
     heavy, light = facts.where(F.col("rows") > least), facts.where(F.col("rows") <= least)
     met = rows.join(F.broadcast(heavy), key)
     rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
-    return met.unionByName(rest.join(light, key, how)).drop("rows")
+    both = met.unionByName(rest.join(light, key))
+    return both if keep else both.drop("rows")
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import stored
+from tidewatch.llm.common import discard, join_counted, stored
 
 #: A chunk may end where the rolling hash is 0 modulo this.
 DIVISOR = 3
@@ -88,39 +88,43 @@ def line_dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
     goes from its first line to its last. Chunks of one line, or of blank lines only, are never removed. Of
     equal passages, the one of the least doc_id (null first), then of the least text hash, then the earliest
     stays, and so does one that overlaps it. Rows equal in doc_id and text count as one place and share
-    their result. An empty table gives an empty result.
+    their result. A text of any length is judged whole, within one row; other columns may have any names. An
+    empty table gives an empty result.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     key = [F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("__key")]
-    keyed = docs.select(*names, *key)
+    # Input columns travel under names of their own, so that they may have any.
+    own = [f"__c{i}" for i in range(len(names))]
+    keyed = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True) if c != "text"), F.col("text").cast("string").alias("__raw"), *key)
     places = stored(_passages(docs.select(*key, F.col("text").cast("string").alias("__text")), whole).select("__id", "__key", "start", "size", F.xxhash64("body").alias("hash")), "line-places")
     place = F.struct("__id", "__key", "start")
-    again = places.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first")
-    named = places.join(again, "hash").select("__id", "__key", F.struct("start", "size", "hash", _stays().alias("stays")).alias("c"))
+    again = stored(places.groupBy("hash").agg(F.count("*").alias("rows"), F.min(place).alias("first")).where("rows > 1"), "line-again")
+    named = join_counted(places, again, "hash", places.count()).select("__id", "__key", F.struct("start", "size", "hash", _stays().alias("stays")).alias("c"))
     nominated = named.groupBy("__id", "__key").agg(F.sort_array(F.collect_set("c")).alias("__named")).withColumnRenamed("__id", "__n_id").withColumnRenamed("__key", "__n_key")
     joined = stored(keyed.join(nominated, F.col("__id").eqNullSafe(F.col("__n_id")) & (F.col("__key") == F.col("__n_key")), "left").drop("__n_id", "__n_key"), "line-nominated")
+    discard(places, again)
 
     # Bytes are compared by grouping: texts that share a hash but differ fall into different groups.
     shown = _shown(joined).select("hash", "body")
     clashes = stored(shown.distinct().groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line-clashes")
     if not clashes.isEmpty():
-        joined = _without_clashes(joined, clashes, names)
+        joined = _without_clashes(joined, clashes, [o for c, o in zip(names, own, strict=True) if c != "text"])
     lost = F.filter(F.coalesce("__named", F.array().cast("array<struct<start:int,size:int,hash:bigint,stays:boolean>>")), lambda c: ~c["stays"])
-    final = _held(_split(joined.withColumn("__text", F.col("text").cast("string"))), __gone=F.flatten(F.transform(lost, lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1))))
+    final = _held(_split(joined.withColumn("__text", F.col("__raw"))), __gone=F.flatten(F.transform(lost, lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1))))
     every = F.when(F.size("__lines") > 0, F.sequence(F.lit(0), F.size("__lines") - 1)).otherwise(F.array().cast("array<int>"))
     final = _held(final, __stay=F.array_except(every, "__gone"))
     kept = F.transform("__stay", lambda i: F.get("__lines", i))
-    final = _held(final, __kept=F.when(F.col("text").isNotNull(), F.array_join(kept, "\n")), __n_lines=F.size("__lines").cast("long"), __n_kept=F.size("__stay").cast("long"))
-    return final.select(*(F.col("__kept").alias("text") if c == "text" else F.col(c) for c in names), F.col("__n_lines").alias("n_lines"), (F.col("__n_lines") - F.col("__n_kept")).alias("n_removed"))
+    final = _held(final, __kept=F.when(F.col("__raw").isNotNull(), F.array_join(kept, "\n")), __n_lines=F.size("__lines").cast("long"), __n_kept=F.size("__stay").cast("long"))
+    return final.select(*(F.col("__kept" if c == "text" else o).alias(c) for c, o in zip(names, own, strict=True)), F.col("__n_lines").alias("n_lines"), (F.col("__n_lines") - F.col("__n_kept")).alias("n_removed"))
 
 
 def _shown(joined: DataFrame) -> DataFrame:
     """The nominated passages with their text."""
-    texts = _split(joined.where("__named IS NOT NULL").select("__id", "__key", "__named", F.col("text").cast("string").alias("__text")))
+    texts = _split(joined.where("__named IS NOT NULL").select("__id", "__key", "__named", F.col("__raw").alias("__text")))
     return texts.select("__id", "__key", "__lines", F.explode("__named").alias("c")).select("__id", "__key", "c", F.col("c.start").alias("start"), F.col("c.size").alias("size"), F.col("c.hash").alias("hash"), _body(F.col("c.start"), F.col("c.size")).alias("body"))
 
 
-def _without_clashes(joined: DataFrame, clashes: DataFrame, names: list[str]) -> DataFrame:
+def _without_clashes(joined: DataFrame, clashes: DataFrame, columns: list[str]) -> DataFrame:
     """Decide passages whose hash belongs to different texts by those texts: the first place of each text keeps it."""
     shown = _shown(joined)
     own = shown.join(clashes, "hash")
@@ -129,4 +133,4 @@ def _without_clashes(joined: DataFrame, clashes: DataFrame, names: list[str]) ->
     rest = shown.join(clashes, "hash", "left_anti").select("__id", "__key", "c")
     nominated = decided.unionByName(rest).groupBy(F.col("__id").alias("__n_id"), F.col("__key").alias("__n_key")).agg(F.sort_array(F.collect_set("c")).alias("__decided"))
     back = joined.join(nominated, F.col("__id").eqNullSafe(F.col("__n_id")) & (F.col("__key") == F.col("__n_key")), "left")
-    return back.select(*names, "__id", "__key", F.col("__decided").alias("__named"))
+    return back.select(*columns, "__raw", "__id", "__key", F.col("__decided").alias("__named"))
