@@ -169,6 +169,19 @@ def set_keys(found: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([whole, less]), np.concatenate([is_del, np.ones(len(less), bool)])
 
 
+def _runs(ref: np.ndarray) -> bytes:
+    """A sorted array by its steps and their lengths, compressed."""
+    heads = np.flatnonzero(np.r_[True, ref[1:] != ref[:-1]])
+    steps, lengths = np.diff(ref[heads], prepend=np.uint32(0)), np.diff(np.r_[heads, len(ref)])
+    return np.uint32(len(heads)).tobytes() + pa.Codec("zstd", 1).compress(steps.astype(np.uint32).tobytes() + lengths.astype(np.uint32).tobytes(), asbytes=True)
+
+
+def _expanded(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw[:4], np.uint32)[0])
+    steps, lengths = np.frombuffer(pa.Codec("zstd").decompress(raw[4:], decompressed_size=8 * n, asbytes=True), np.uint32).reshape(2, n)
+    return np.repeat(np.cumsum(steps, dtype=np.uint32), lengths)
+
+
 def _signatures(words: int, buckets: int):
     names = ["bucket", "shard", "tags", "refs"]
 
@@ -191,11 +204,11 @@ def _signatures(words: int, buckets: int):
                     refs.append((o << 2 | guest * _GUEST) | is_del.astype(np.uint32) * np.uint32(_DEL))
         key, ref = np.concatenate(keys), np.concatenate(refs).astype(np.uint32)
         bucket = (key % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((ref, bucket))
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         tag = (key >> np.uint64(32)).astype(np.uint32)[order]
         ref = ref[order]
-        rows = [(b, shard, tag[i:j].tobytes(), ref[i:j].tobytes()) for b, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if j > i]
+        rows = [(b, shard, tag[i:j].tobytes(), _runs(ref[i:j])) for b, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if j > i]
         columns = list(zip(*rows, strict=True)) or [[]] * 4
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names)
 
@@ -204,7 +217,7 @@ def _signatures(words: int, buckets: int):
 
 def _groups(table: pa.Table) -> pa.Table:
     """Groups of at least two sets that share a key; the same members in many keys are one group. Units: what leaving the group out costs the member, 1 for each key of an exact segment and 2 for one of a one-deletion segment."""
-    refs = [np.frombuffer(x, np.uint32) for x in table["refs"].to_pylist()]
+    refs = [_expanded(x) for x in table["refs"].to_pylist()]
     tag = np.concatenate([np.frombuffer(x, np.uint32) for x in table["tags"].to_pylist()])
     shard = np.repeat(np.array(table["shard"].to_pylist(), np.int64), [len(x) for x in refs])
     ref = np.concatenate(refs)
@@ -365,6 +378,13 @@ def _hub_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _met(gid[keep], ref[keep], hub[keep], np.zeros(keep.sum(), bool), np.unique(gid)).to_batches()
 
 
+def _with_sketches(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """rows with the sketches of their sets. Only those that are asked for move, as long as the list of them is small."""
+    wanted = rows.select("ref").distinct()
+    some = stats.join(F.broadcast(wanted), "ref", "left_semi") if wanted.count() <= FETCH_BROADCAST else stats
+    return rows.join(some, "ref")
+
+
 def _compared(apart: DataFrame, stats: DataFrame, rounds: int) -> DataFrame:
     """(gid, a, b, provisional): what the groups that are still apart want verified in this round; a is null where a group holds pairs back.
 
@@ -373,26 +393,25 @@ def _compared(apart: DataFrame, stats: DataFrame, rounds: int) -> DataFrame:
     """
     spark = apart.sparkSession
     partners = lambda r: PARTNERS * PARTNERS_GROW ** min(max(r, 0), 12)
-    shape = apart.groupBy("gid").agg(F.count("*").alias("all"), F.count_if(F.col("root") != F.col("major")).alias("minors"))
-    left = apart.join(shape, "gid").withColumn("probe", F.col("probe").cast("int"))
-    cells = stats.select("ref", "sketch")
-    columns = ["gid", "ref", "root", "major", "probe", "n", "hub"]
+    left = apart.withColumn("probe", F.col("probe").cast("int"))
     buckets = max(common.part_count(spark), apart.count() // BUCKET_MEMBERS + 1)
-    whole = left.where(F.col("all") <= BLOCK_MANY).select(*columns).join(cells, "ref")
+    whole = _with_sketches(left.where(F.col("rows") <= BLOCK_MANY).select("gid", "ref", "root", "major", "probe", "n", "hub"), stats)
     met = whole.withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(buckets))).groupBy("bucket").applyInArrow(_some_groups(rounds == 0, partners(rounds)), MET)
-    large = left.where(F.col("all") > BLOCK_MANY)
+    large = left.where(F.col("rows") > BLOCK_MANY)
     if large.isEmpty():
         return met
     if rounds < HUB_ROUNDS:
         # The first hub is the group's own; later ones are the most central of those that are still outside its largest component.
         hubs = large.where("ref = hub" if rounds == 0 else "root <> major").groupBy("gid").agg(F.max_by(F.struct("ref", "root", "n"), F.struct("score", F.negative("ref"))).alias("h"))
-        hubs = hubs.select("gid", F.col("h.ref").alias("hub"), F.col("h.root").alias("hub_root"), F.col("h.n").alias("hub_n")).join(cells.withColumnsRenamed({"ref": "hub", "sketch": "hub_sketch"}), "hub")
+        hubs = hubs.select("gid", F.col("h.ref").alias("ref"), F.col("h.root").alias("hub_root"), F.col("h.n").alias("hub_n"))
+        hubs = _with_sketches(hubs, stats).withColumnsRenamed({"ref": "hub", "sketch": "hub_sketch"})
         # One row for each group of over BLOCK_MANY members.
-        asked = large.select("gid", "ref", "root", "n").join(F.broadcast(hubs), "gid") if hubs.count() <= 10_000 else large.select("gid", "ref", "root", "n").join(hubs, "gid")
-        return met.unionByName(asked.where("root <> hub_root").join(cells, "ref").select("gid", "ref", "hub", "n", "hub_n", "sketch", "hub_sketch").mapInArrow(_hub_near, MET))
+        asked = large.select("gid", "ref", "root", "n")
+        asked = (asked.join(F.broadcast(hubs), "gid") if hubs.count() <= 10_000 else asked.join(hubs, "gid")).where("root <> hub_root")
+        return met.unionByName(_with_sketches(asked, stats).select("gid", "ref", "hub", "n", "hub_n", "sketch", "hub_sketch").mapInArrow(_hub_near, MET))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("ref"), n).cast("int")
-    dealt = large.withColumn("few_n", (F.lit(1) + F.floor(F.col("minors") / BLOCK_FEW)).cast("int")).withColumn("many_n", (F.lit(1) + F.floor(F.col("all") / BLOCK_MANY)).cast("int")).join(cells, "ref")
+    dealt = _with_sketches(large.withColumn("few_n", (F.lit(1) + F.floor(F.col("minors") / BLOCK_FEW)).cast("int")).withColumn("many_n", (F.lit(1) + F.floor(F.col("rows") / BLOCK_MANY)).cast("int")), stats)
     columns = ["gid", "ref", "root", "probe", "n", "sketch"]
     few = dealt.where("root <> major").select(*columns, F.lit(1).alias("few"), place("few_n").alias("i"), each("many_n").alias("j"))
     many = dealt.select(*columns, F.lit(0).alias("few"), each("few_n").alias("i"), place("many_n").alias("j"))
@@ -471,7 +490,8 @@ def jaccard_join(docs: DataFrame, words: int = 5) -> DataFrame:
     row: doc_id, n_shingles, component_id, the least doc_id reachable over links, itself included. A
     null or empty text has an empty set and links with nothing; equal texts link; repeated rows and
     repeated ids are documents of their own with that id; a null doc_id never becomes a component_id
-    unless it is alone; an empty table gives an empty result; other columns are ignored.
+    unless it is alone; an empty table gives an empty result; other columns are ignored; a text of any length
+    is compared whole, by 64-bit hashes of its shingles.
     """
     spark = docs.sparkSession
     common.bounded_batches(spark)
@@ -512,13 +532,17 @@ def jaccard_join(docs: DataFrame, words: int = 5) -> DataFrame:
     stats = classes.select("ref", "sketch")
 
     roots = checked = None
-    rounds, again = 0, None
-    while True:
+    rounds, again, going = 0, None, not members.isEmpty()
+    while going:
         # What is still apart: per group, the component of most members, and the others.
         placed = members if again is None else members.join(again, "gid", "left_semi")
         placed = placed.withColumn("root", F.col("ref")) if roots is None else placed.join(roots.withColumnRenamed("vertex", "ref"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
-        largest = placed.groupBy("gid", "root").agg(F.count("*").alias("n")).groupBy("gid").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1").select("gid", "major")
-        apart = common.stored(placed.join(largest, "gid"), "jaccard-apart")
+        placed = common.stored(placed, "jaccard-placed")
+        by_root = placed.groupBy("gid", "root").agg(F.count("*").alias("n"))
+        largest = by_root.groupBy("gid").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("roots"), F.sum("n").alias("rows"), (F.sum("n") - F.max("n")).alias("minors")).where("roots > 1").drop("roots")
+        largest = common.stored(largest, "jaccard-largest")
+        apart = common.stored(common.join_counted(placed, largest, "gid", placed.count(), keep=True), "jaccard-apart")
+        common.discard(placed, largest)
         met = common.stored(_compared(apart, stats, rounds), "jaccard-met")
         common.discard(apart, *([again] if again is not None else []))
         pairs = met.where("a IS NOT NULL").select("a", "b").distinct()
@@ -535,11 +559,9 @@ def jaccard_join(docs: DataFrame, words: int = 5) -> DataFrame:
             again = again.unionByName(met.where("provisional").join(checked.where("NOT link"), ["a", "b"], "left_semi").select("gid"))
         again = common.stored(again.distinct(), "jaccard-again")
         common.discard(met, pairs)
-        rounds += 1
-        if again.isEmpty():
-            break
+        rounds, going = rounds + 1, not again.isEmpty()
 
-    common.discard(members, again, packs_all, *([checked] if checked is not None else []))
+    common.discard(members, packs_all, *(t for t in (again, checked) if t is not None))
     merged = classes.select("class", "ref", "least")
     merged = merged.withColumn("root", F.col("ref")) if roots is None else merged.join(roots.withColumnRenamed("vertex", "ref"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
     merged = common.stored(merged.select("class", "root", "least"), "jaccard-merged")
