@@ -97,14 +97,14 @@ def number_kinds(spark, sf_dir):
     return rows.select("text", N.kind_parsed(F.col("text")).alias("p")).select("text", "p.kind", "p.value")
 
 
-@query("""WITH x AS (SELECT o_orderkey, o_totalprice AS p, o_totalprice * (CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 1000000 END) AS v, CASE WHEN o_orderkey % 5 <> 0 THEN round((o_totalprice - 150000) / (CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 100 END), 2) END AS d FROM orders)
+@query("""WITH x AS (SELECT o_orderkey, o_totalprice AS p, o_totalprice * (CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 1000000 END) AS v, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN round(o_totalprice - 150000, 2) ELSE floor((o_totalprice - 150000) / 100) END AS d FROM orders)
 SELECT o_orderkey, CASE WHEN v >= 1e9 THEN printf('%.1fB', round(v / 1e9, 1)) WHEN v >= 1e6 THEN printf('%.0fM', round(v / 1e6, 0)) ELSE printf('%.0fK', round(v / 1e3, 0)) END AS magnitude,
  CASE WHEN v >= 1e8 THEN printf('%.1f億', round(v / 1e8, 1)) WHEN v >= 1e4 THEN printf('%.0f萬', round(v / 1e4, 0)) ELSE CAST(CAST(trunc(v) AS BIGINT) AS VARCHAR) END AS myriads,
  CASE WHEN d IS NULL THEN '—' ELSE CASE WHEN d > 0 THEN '+' ELSE '' END || CASE WHEN abs(d) >= 10000 THEN printf('%.0f萬', round(abs(d) / 10000, 0)) WHEN abs(d) >= 1000 THEN printf('%.1f千', round(abs(d) / 1000, 1)) ELSE CAST(CAST(trunc(abs(d)) AS BIGINT) AS VARCHAR) END END AS net,
  round(p - d, 2) AS day_change, CASE WHEN d > 0 THEN d ELSE p + 1 END AS payout FROM x""")
 def number_labels(spark, sf_dir):
     k = F.col("o_orderkey")
-    x = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("p"), (F.col("o_totalprice") * F.when(k % 3 == 0, 1).when(k % 3 == 1, 1000).otherwise(1000000)).alias("v"), F.when(k % 5 != 0, F.round((F.col("o_totalprice") - 150000) / F.when(k % 2 == 0, 1).otherwise(100), 2)).alias("d"))
+    x = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("p"), (F.col("o_totalprice") * F.when(k % 3 == 0, 1).when(k % 3 == 1, 1000).otherwise(1000000)).alias("v"), F.when(k % 5 != 0, F.when(k % 2 == 0, F.round(F.col("o_totalprice") - 150000, 2)).otherwise(F.floor((F.col("o_totalprice") - 150000) / 100).cast("double"))).alias("d"))
     v, d = F.col("v"), F.col("d")
     return x.select("o_orderkey", N.magnitude(v).alias("magnitude"), N.myriads(v).alias("myriads"), N.signed_thousands(d).alias("net"), N.day_change(d, F.col("p")).alias("day_change"), N.payout_total(d, F.col("p"), F.lit(1.0)).alias("payout"))
 
