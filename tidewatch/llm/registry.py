@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import chat_format, oracles
+from tidewatch.llm.common import checkpoint_dir
 from tidewatch.llm.decontamination import decontaminate
 from tidewatch.llm.jaccard_join import jaccard_join
 from tidewatch.llm.language_id import identify
@@ -16,6 +18,7 @@ from tidewatch.llm.pieces import encode_documents
 from tidewatch.llm.pii import pseudonymise
 from tidewatch.llm.quality_classifier import classify
 from tidewatch.llm.substring_dedup import substring_dedup
+from tidewatch.llm.token_files import read_tokens, write_tokens
 from tidewatch.llm.topk_search import top_k
 
 
@@ -70,8 +73,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), least=0.3)
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files are written to a folder of this run below the shared one, and read back."""
+    from public_tokenizers import path
+
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), folder, path("word_bpe_49k.json"), end_id=2)
+    return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_topk_search, op3_decontamination, op4_pii, op5_line_dedup, op6_chat_format, op7_language_id, op8_jaccard_join, op9_sentencepiece, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_topk_search, op3_decontamination, op4_pii, op5_line_dedup, op6_chat_format, op7_language_id, op8_jaccard_join, op9_sentencepiece, op10_quality_classifier, op12_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
