@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, oracles
+from tidewatch.llm import chat_format, conversation_repair, oracles
 from tidewatch.llm.common import checkpoint_dir
 from tidewatch.llm.decontamination import decontaminate
 from tidewatch.llm.jaccard_join import jaccard_join
@@ -17,6 +17,7 @@ from tidewatch.llm.line_dedup import line_dedup
 from tidewatch.llm.pieces import encode_documents
 from tidewatch.llm.pii import pseudonymise
 from tidewatch.llm.quality_classifier import classify
+from tidewatch.llm.spelling import spelling_variants
 from tidewatch.llm.substring_dedup import substring_dedup
 from tidewatch.llm.token_files import read_tokens, write_tokens
 from tidewatch.llm.topk_search import top_k
@@ -73,6 +74,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), least=0.3)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), least_length=5, least_count=3, damage=97)
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files are written to a folder of this run below the shared one, and read back."""
     from public_tokenizers import path
@@ -82,8 +87,13 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.digest(*conversation_repair.repair(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_topk_search, op3_decontamination, op4_pii, op5_line_dedup, op6_chat_format, op7_language_id, op8_jaccard_join, op9_sentencepiece, op10_quality_classifier, op12_token_files)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_topk_search, op3_decontamination, op4_pii, op5_line_dedup, op6_chat_format, op7_language_id, op8_jaccard_join, op9_sentencepiece, op10_quality_classifier, op11_spelling_variants, op12_token_files, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -93,4 +103,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontamination": oracles.DECONTAMINATION,
         "op6_chat_format": chat_format.oracle(),
         "op8_jaccard_join": oracles.JACCARD_JOIN,
+        "op11_spelling_variants": oracles.SPELLING_VARIANTS,
+        "op13_conversation_repair": oracles.CONVERSATION_REPAIR,
     }
