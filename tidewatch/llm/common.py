@@ -78,9 +78,9 @@ def join_counted(rows: DataFrame, facts: DataFrame, key: str, total: int, keep:
     return both if keep else both.drop("rows")
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, n_bytes: int = 16 << 20) -> None:
     """Arrow batches by bytes, so that very long texts don't meet in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
 
 
 def part_count(spark: SparkSession) -> int:

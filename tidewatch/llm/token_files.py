@@ -16,6 +16,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,9 @@ from pyspark.sql.window import Window
 from tidewatch.llm import common
 
 #: A file ends with the document that brings it to so many ids.
-FILE_IDS = 8_000_000
-#: Words and ids that a task remembers, and bytes of a text that it splits at a time.
-MEMORY_WORDS, MEMORY_IDS, SPLIT_BYTES = 400_000, 4_000_000, 1 << 20
+FILE_IDS = 2_000_000
+#: Words and ids that a worker remembers, twice, and bytes of a text that it splits at a time.
+MEMORY_WORDS, MEMORY_IDS, SPLIT_BYTES = 250_000, 1_500_000, 1 << 20
 
 MAGIC = b"TIDETOK1"
 MANIFEST = "name string, part int, seq int, n_docs long, n_ids long, bytes long"
@@ -87,60 +88,162 @@ def unpack_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
 _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
-class Encoder:
-    """Ids of texts. Between ASCII white space, which the tokenizer must drop, a word's ids don't depend on its neighbours, so each word is encoded once as long as it is remembered."""
+#: A word of letters only, which is one unit for the tokenizer, and perhaps marks after it, which are units of their own.
+_LETTERS = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+_PLAIN, _MARKED = re.compile(_LETTERS), re.compile(rb"(" + _LETTERS + rb")([.,;:!?]+)")
 
-    def __init__(self, tokenizer: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.forget()
+class _Places(dict):
+    """word -> number; a new word gets the next one, and is listed."""
 
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+class _Memory:
+    """Words with their ids, in one array."""
+
+    def __init__(self) -> None:
+        self.known = _Places()
         self.starts = np.zeros(1024, np.int64)
         self.sizes = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
         self.used = 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        n, total = len(self.known), int(sizes.sum())
-        while n + len(found) > len(self.starts):
+    def keep(self, words: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
+        while len(self.known) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        while self.used + total > len(self.flat):
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.sizes[n : n + len(found)] = sizes
-        self.starts[n : n + len(found)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
-        self.used += total
-        self.known |= zip(words, range(n, n + len(words)), strict=True)
-
-    def _part(self, text: bytes) -> np.ndarray:
-        if len(self.known) > MEMORY_WORDS or self.used > MEMORY_IDS:
-            self.forget()
-        words = text.split()
-        at = list(map(self.known.get, words))
-        if None in at:
-            self._learn(list(dict.fromkeys(w for w, i in zip(words, at, strict=True) if i is None)))
-            at = list(map(self.known.get, words))
-        at = np.array(at, np.int64)
+        at = self.known.of(words)
+        self.sizes[at] = sizes
+        self.starts[at] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
-        if not len(ends):
-            return np.zeros(0, np.uint32)
-        return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1])]
+        return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
 
-    def ids(self, text: bytes) -> np.ndarray:
+class Encoder:
+    """Ids of texts, each word of which is encoded once as long as it is remembered.
+
+    The tokenizer must fold A-Z, drop white space, split marks from letters and end each unit with a token that
+    has its suffix for word ends; then a word's ids don't depend on the words around it.
+    """
+
+    def __init__(self, tokenizer: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.now, self.old = _Memory(), _Memory()
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """words grows meanwhile by parts that aren't known either."""
+        plain, other, joint, back, places = [], [], [], [], []
+        was, known = self.old.known.get, self.now.known
+        for w in words:
+            if (i := was(w)) is not None:
+                back.append(w)
+                places.append(i)
+            elif _PLAIN.fullmatch(w):
+                plain.append(w)
+            elif m := _MARKED.fullmatch(w):
+                joint.append((w, known[m[1]], known[m[2]]))
+            else:
+                other.append(w)
+        if back:
+            at = np.array(places)
+            self.now.keep(back, self.old.sizes[at], self.old.ids(at))
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            ids = np.array(self._encoded([b" ".join(part).decode()])[0], np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1  # words of letters in one call: each ends at the next token with the suffix
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer doesn't end every word with its suffix")
+            self.now.keep(part, np.diff(ends, prepend=0), ids)
+        for at in range(0, len(other), 2000):
+            found = self._encoded([w.decode("utf-8", "replace") for w in other[at : at + 2000]])
+            self.now.keep(other[at : at + 2000], np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32))
+        if joint:
+            at = np.array([x[1:] for x in joint])
+            self.now.keep([x[0] for x in joint], self.now.sizes[at].sum(1), self.now.ids(at.reshape(-1)))
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        """What is remembered is renewed when it is full: words that still occur come back from the memory before."""
+        if len(self.now.known) > MEMORY_WORDS or self.now.used > MEMORY_IDS:
+            self.now, self.old = _Memory(), self.now
+        at = self.now.known.of(words)
+        self._learn(self.now.known.new)
+        self.now.known.new = []
+        return at
+
+    def _long(self, text: bytes) -> np.ndarray:
         out, start = [], 0
         while start < len(text):
             cut = _SPACE.search(text, start + SPLIT_BYTES)
             end = cut.start() if cut else len(text)
-            out.append(self._part(text[start:end]))
+            out.append(self.now.ids(self._places(_words(text[start:end]))))
             start = end
-        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+        return np.concatenate(out)
+
+    def _short(self, texts: list[bytes]) -> list[np.ndarray]:
+        words = [_words(t) for t in texts]
+        at = self._places(list(chain.from_iterable(words)))
+        ends = np.concatenate([[0], np.cumsum(self.now.sizes[at])])
+        return np.split(self.now.ids(at), ends[np.cumsum([len(w) for w in words])][:-1])
+
+    def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each text; small ones share their lookups, large ones are split."""
+        few: list[bytes] = []
+        held = 0
+        for t in texts:
+            if few and held + len(t) > SPLIT_BYTES:
+                yield from self._short(few)
+                few, held = [], 0
+            if len(t) > SPLIT_BYTES:
+                yield self._long(t)
+            else:
+                few.append(t)
+                held += len(t)
+        if few:
+            yield from self._short(few)
+
+
+def _words(text: bytes) -> list[bytes]:
+    """Added tokens are found in the text as it stands, before letters are folded."""
+    return (text if b"<|" in text else text.lower()).split()
+
+
+#: One encoder for all tasks that a Python worker runs.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(tokenizer: str) -> Encoder:
+    if tokenizer not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[tokenizer] = Encoder(tokenizer)
+    return _ENCODERS[tokenizer]
 
 
 def place_of(path: str):
@@ -175,12 +278,12 @@ def _read(path: str) -> bytes:
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, file_ids: int = FILE_IDS) -> DataFrame:
     """Stored blocks of whole documents, each of which becomes one file: (part, seq) orders them by doc_id (null first), then by a hash of the text."""
     spark = docs.sparkSession
-    common.bounded_batches(spark)
+    common.bounded_batches(spark, 4 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end, part, seq = Encoder(tokenizer), np.array([end_id], np.uint32), TaskContext.get().partitionId(), 0
+        encoder, end, part, seq = encoder_of(tokenizer), np.array([end_id], np.uint32), TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
         held: list[np.ndarray] = []
         total = 0
@@ -190,9 +293,9 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, file_ids: int = FILE_I
             return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("ids", pa.binary())]))
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.ids([t or b"" for t in batch["text"].to_pylist()]), strict=True):
                 doc_ids.append(doc_id)
-                held.append(np.concatenate([encoder.ids(text or b""), end]))
+                held.append(np.concatenate([ids, end]))
                 total += len(held[-1])
                 if total >= file_ids:
                     yield flush()
@@ -225,7 +328,7 @@ def id_counts(blocks: DataFrame) -> DataFrame:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode every whole text of docs (doc_id, text), end each document with end_id, and write token files to a new folder.
 
-    `tokenizer` is the path of a file of the tokenizers library that drops white space. Returns the manifest.
+    `tokenizer` is the path of a file of the tokenizers library, of the kind that `Encoder` asks for. Returns the manifest.
     Documents go by doc_id (null first), then by a hash of their text; rows equal in both are as good as each
     other. A null or empty text has the end id only; a document of any length stays in one file; repeated rows
     are documents of their own; an empty table gives a folder without parts; other columns are ignored. Of ids
