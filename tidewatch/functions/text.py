@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 #: Punctuation that title comparison ignores, beside white space. Fixed values.
 TITLE_MARKS = r"\-–—_:：，,。.!！?？()（）「」『』"
 AGGREGATOR = "news.google.com"
+#: Words that don't make titles alike. Fixed values.
+STOP_WORDS = (
+    "the", "and", "for", "that", "with", "this", "are", "has", "have", "from",
+    "will", "its", "new", "said", "says", "amid", "after", "over", "into", "more",
+    "also", "been", "their", "about", "which", "would", "could", "during",
+)
 
 
 def or_empty(x: Column) -> Column:
@@ -131,7 +137,7 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
 
 
-def keywords(text: Column, stop: Sequence[str] = ()) -> Column:
-    """Distinct words of at least three characters that are no stop words."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(or_empty(text)), F.lit(r"[\p{L}\p{N}_]{3,}"), F.lit(0)))
+def keywords(text: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
+    """Distinct words of at least three letters, of a-z and Chinese only, that are no stop words. A word that holds a digit or any other letter doesn't count at all."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(or_empty(text)), F.lit(r"(?<![\p{L}\p{N}_])[a-z\x{4e00}-\x{9fff}]{3,}(?![\p{L}\p{N}_])"), F.lit(0)))
     return F.array_except(words, F.array(*map(F.lit, stop)).cast("array<string>"))

@@ -8,10 +8,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewatch.sources import sinks
 
 REPORT = "collection string, status string, n_rows long"
+PAGES = "collection string, page int, status string, n_rows long"
 
 
 def blocking(found: DataFrame, name: str, known: tuple[str, ...]) -> DataFrame:
@@ -61,3 +63,47 @@ def copy(spark: SparkSession, tables: Iterable[tuple[str, DataFrame]], root: str
             done.append((name, "failed", None))
             print(f"copy of {name} failed: {e}")
     return spark.createDataFrame(done, REPORT)
+
+
+def page_starts(rows: DataFrame, key: str, n: int, folder: str) -> list:
+    """The keys that open each page of n rows in the order of unique keys: one per page. Ranges of keys, written to folder so that they stay as they are, are sorted apart, and their sizes, one number each, place them."""
+    rows.select(key).repartitionByRange(key).withColumn("__range", F.spark_partition_id()).write.mode("overwrite").parquet(folder)
+    ranged = rows.sparkSession.read.parquet(folder)
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1).join(F.broadcast(sizes.withColumn("__before", before).drop("__n")), "__range")
+    return [r[0] for r in placed.where((F.col("__at") + F.col("__before")) % n == 0).orderBy(key).select(key).collect()]
+
+
+def copy_pages(spark: SparkSession, name: str, rows: DataFrame, root: str, run: str, key: str, n: int) -> DataFrame:
+    """Copy a collection below root/run/name by pages of n rows in the order of its unique, non-null key; reports on each page.
+
+    Where pages begin is decided once per run and stored; a page that was written whole is the cursor's place and is
+    skipped when the copy is run again. The first page that fails halts the collection: pages after it stay unread, and
+    are copied by a later call. Another run starts afresh.
+    """
+    if n <= 0:
+        raise ValueError("n must be positive")
+    base = f"{root}/{run}/{name}"
+    if not sinks.exists(spark, f"{base}/starts/_SUCCESS"):
+        starts = page_starts(rows, key, n, f"{base}/keys")
+        spark.createDataFrame([(i, s) for i, s in enumerate(starts)], f"page int, start {rows.schema[key].dataType.simpleString()}").coalesce(1).write.mode("overwrite").parquet(f"{base}/starts")
+    starts = [r.start for r in spark.read.parquet(f"{base}/starts").orderBy("page").collect()]
+    report, halted = [], False
+    for page, start in enumerate(starts):
+        path = f"{base}/page={page}"
+        if sinks.exists(spark, f"{path}/_SUCCESS"):
+            report.append((name, page, "skipped", spark.read.parquet(path).count()))
+        elif halted:
+            report.append((name, page, "halted", None))
+        else:
+            own = rows.where(F.col(key) >= F.lit(start))
+            own = own if page + 1 == len(starts) else own.where(F.col(key) < F.lit(starts[page + 1]))
+            try:
+                own.write.mode("overwrite").parquet(path)
+                report.append((name, page, "copied", spark.read.parquet(path).count()))
+            except Exception as e:  # noqa: BLE001  whatever went wrong, the report says so and what follows waits
+                report.append((name, page, "failed", None))
+                halted = True
+                print(f"page {page} of {name} failed: {str(e)[:200]}")
+    return spark.createDataFrame(report, PAGES)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import calendar as C
 from tidewatch.functions import text as T
-from tidewatch.functions.columns import held
-from tidewatch.operators.scoring import _contains
+from tidewatch.functions.columns import held, named
+from tidewatch.operators.scoring import _contains, shown_medium
+from tidewatch.operators.vocabulary import matcher
 
 #: What stands behind the last dash of a title.
 _SUFFIX = r"(?U)\s*[-–—]\s*([^-–—]{2,40})\s*$"
@@ -74,8 +75,9 @@ def without_portal(rows: DataFrame, portal: str = "msn.com") -> DataFrame:
 
 
 def without_phrases(rows: DataFrame, phrases: DataFrame, *parts: str) -> DataFrame:
-    """Rows whose parts hold none of the phrases (column `phrase`), which are a hand-kept list."""
-    return rows.join(F.broadcast(phrases), F.contains(T.visible(*map(F.col, parts)), F.lower("phrase")), "left_anti")
+    """Rows whose parts hold none of the phrases (column `phrase`), found in one pass over the rows whatever the number of phrases. An empty table of phrases leaves all rows; empty and null phrases count for nothing."""
+    found = matcher(phrases.select(F.lower("phrase").alias("term")))
+    return rows.where(F.size(found(T.visible(*map(F.col, parts)))) == 0)
 
 
 def articles(landed: DataFrame, domains: Sequence[tuple[str, str]], excluded: Sequence[str], positive: Sequence[str], negative: Sequence[str], cut: int = 500) -> DataFrame:
@@ -150,13 +152,18 @@ def since(ts: Column, as_of: Column, period: str, offset: int) -> Column:
     return ts >= C.local_start(as_of, {"today": "DAY", "month": "MONTH", "year": "YEAR"}[period], offset)
 
 
-def matching(rows: DataFrame, query: str = "", media: str = "all", sentiment: str = "all", fields: Sequence[str] = ("title", "content", "link", "cat", "source_name"), lexicon: tuple[Sequence[str], Sequence[str]] = ((), ())) -> DataFrame:
-    """The rows that meet all stated conditions; what is empty or `all` adds none. A stored sentiment counts before a computed one."""
+def matching(rows: DataFrame, query: str = "", media: str = "all", sentiment: str = "all", lexicon: tuple[Sequence[str], Sequence[str]] = ((), ()), nameless: str = UNKNOWN) -> DataFrame:
+    """The rows that meet all stated conditions; what is empty or `all` adds none.
+
+    The query is searched in title, content, medium, source and brand; the medium falls back to the source, and
+    then to a name for those that have neither. A stored sentiment counts before a computed one.
+    """
     words = query.strip().lower()
+    shown = F.coalesce(shown_medium(rows), F.lit(nameless))
     if media != "all":
-        rows = rows.where(F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in ("media", "source_name") if c in rows.columns)) == media)
+        rows = rows.where(shown == media)
     if words:
-        rows = rows.where(F.contains(T.visible(*map(F.col, fields)), F.lit(words)))
+        rows = rows.where(F.contains(T.visible(F.col("title"), F.col("content"), shown, F.col("source_name"), named(rows, "brand")), F.lit(words)))
     if sentiment != "all":
         rows = held(rows, __seen=T.visible(F.col("title"), F.col("content")))
         computed = T.sentiment(F.col("__seen"), *lexicon)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions import text as T
 from tidewatch.functions.calendar import shifted
 
 
@@ -17,18 +18,31 @@ def claim(jobs: DataFrame, as_of: Column, owner: str, n: int, lease_minutes: int
     return due.orderBy(F.desc("priority"), "job_id").limit(n).withColumns({"status": F.lit("processing"), "attempts": F.col("attempts") + 1, "owner": F.lit(owner), "lease_until": lease})
 
 
-def recover(jobs: DataFrame, as_of: Column) -> DataFrame:
-    """Jobs whose lease has run out, or that have none, are pending again."""
+def _changed(jobs: DataFrame, where: Column, **columns: Column | str | None) -> DataFrame:
+    """Jobs with new values in the rows that `where` (decided on the old ones) names; columns that are missing arise."""
+    old = lambda c: F.col(c) if c in jobs.columns else F.lit(None)
+    rows = jobs.withColumn("__hit", F.coalesce(where, F.lit(False)))
+    return rows.withColumns({c: F.when(F.col("__hit"), v if isinstance(v, Column) else F.lit(v)).otherwise(old(c)) for c, v in columns.items()}).drop("__hit")
+
+
+def recover(jobs: DataFrame, as_of: Column, note: str = "the worker before broke off") -> DataFrame:
+    """Jobs whose lease has run out, or that have none, are pending again, with no owner and a note; `recovered` says which."""
     stale = (F.col("status") == "processing") & (F.col("lease_until").isNull() | (F.col("lease_until") <= as_of))
-    return jobs.withColumn("recovered", stale).withColumn("status", F.when(stale, "pending").otherwise(F.col("status")))
+    return _changed(jobs.withColumn("recovered", F.coalesce(stale, F.lit(False))), F.col("recovered"), status="pending", owner=F.lit(None).cast("string"), last_error=note)
+
 
+def fail(jobs: DataFrame, as_of: Column, owner: str, error: Column | str, most: int = 3) -> DataFrame:
+    """A failure of the owner's jobs: the last attempt makes it final, with no next one, else the next is due after a minute per attempt.
 
-def fail(jobs: DataFrame, as_of: Column, owner: str, most: int = 3) -> DataFrame:
-    """A failure of the owner's jobs: the last attempt makes it final, else it waits a minute per attempt. Others' jobs stay."""
+    Either way nobody owns or leases the job any more, and the error is kept, in one line of 240 characters at
+    most. Others' jobs stay. A job without a number of attempts counts as tried once.
+    """
+    attempts = F.coalesce(F.nullif(F.col("attempts"), F.lit(0)), F.lit(1))
+    final = attempts >= most
+    wait = F.timestamp_add("MINUTE", attempts.cast("int"), as_of).cast("timestamp_ntz")
+    message = F.left(F.trim(T.collapsed(error if isinstance(error, Column) else F.lit(error))), F.lit(240))
     own = (F.col("status") == "processing") & (F.col("owner") == owner)
-    final = F.col("attempts") >= most
-    wait = F.timestamp_add("MINUTE", F.col("attempts").cast("int"), as_of).cast("timestamp_ntz")
-    return jobs.withColumn("next_at", F.when(own & ~final, wait).otherwise(F.col("next_at"))).withColumn("status", F.when(own & final, "failed").when(own, "pending").otherwise(F.col("status")))
+    return _changed(jobs, own, status=F.when(final, "failed").otherwise("pending"), next_at=F.when(~final, wait), owner=F.lit(None).cast("string"), lease_until=F.lit(None).cast("timestamp_ntz"), last_error=message)
 
 
 def outcome(jobs: DataFrame, articles: DataFrame, insights: DataFrame) -> DataFrame:

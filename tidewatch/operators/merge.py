@@ -110,3 +110,53 @@ def similar(titles: DataFrame, selected: DataFrame, share: float = 0.5) -> DataF
     by_other = met(rare(some), listed(chosen), F.size("ka") < F.size("kb")).select(F.col("a").alias("ordinal"))
     found = by_selected.unionByName(by_other).distinct().withColumn("__found", F.lit(True))
     return titles.select("ordinal").join(found, "ordinal", "left").select("ordinal", F.coalesce("__found", F.lit(False)).alias("similar"))
+
+
+def alike(sets: DataFrame, share: float = 0.5) -> DataFrame:
+    """Pairs (a, b; a < b) of distinct keyword sets (ordinal, k) that share at least `share` of the smaller one.
+
+    Who shares that much of a set of n words shares one of its n - ceil(share n) + 1 rarest, so sets meet through
+    the rarest words of the smaller one. Pairs are made distinct before whole sets are compared.
+    """
+    words = sets.select("ordinal", F.size("k").alias("n"), F.explode("k").alias("word"))
+    often = words.groupBy("word").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("ordinal").orderBy("often", "word")
+    rare = words.join(often, "word").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(share * F.col("n")) + 1)
+    few = rare.select("word", F.col("ordinal").alias("x"), F.col("n").alias("nx"))
+    met = few.join(words.select("word", F.col("ordinal").alias("y"), F.col("n").alias("ny")), "word").where((F.col("nx") <= F.col("ny")) & (F.col("x") != F.col("y")))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    of = lambda side: sets.select(F.col("ordinal").alias(side), F.col("k").alias(f"k{side}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(T.overlap(F.col("ka"), F.col("kb")) >= share).select("a", "b")
+
+
+def selected(titles: DataFrame, folder: str, share: float = 0.5) -> DataFrame:
+    """Titles (ordinal, k: distinct keywords) in order, each taken unless it is like one taken before: ordinal, selected.
+
+    Titles without keywords are like none. Equal keyword sets are one class, of which only the first can be taken,
+    so common titles don't meet in pairs. Over the pairs of classes that are alike, rounds take each class with no
+    earlier one left before it and drop those like it, which is what going through them one by one does; there
+    are as many rounds as the longest chain of such classes. Rounds are written below folder, which cuts their
+    lineage.
+    """
+    spark = titles.sparkSession
+    keyed = titles.select("ordinal", F.array_sort("k").alias("k"))
+    classes = keyed.where("size(k) > 0").groupBy("k").agg(F.min("ordinal").alias("ordinal"))
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    heads = written(classes, "classes")
+    edges, dropped, n = written(alike(heads, share), "pairs-0"), [], 0
+    while not edges.isEmpty():
+        taken = edges.select(F.col("a").alias("x")).distinct().join(edges.select(F.col("b").alias("x")), "x", "left_anti")
+        gone = written(edges.join(taken, F.col("a") == F.col("x")).select(F.col("b").alias("x")).distinct(), f"dropped-{n}")
+        dropped.append(gone)
+        left = edges.join(taken, F.col("a") == F.col("x"), "left_anti").join(gone, F.col("a") == F.col("x"), "left_anti").join(gone, F.col("b") == F.col("x"), "left_anti")
+        n += 1
+        edges = written(left, f"pairs-{n}")
+    kept = heads.select("ordinal")
+    for gone in dropped:
+        kept = kept.join(gone.select(F.col("x").alias("ordinal")), "ordinal", "left_anti")
+    kept = kept.withColumn("__kept", F.lit(True))
+    return keyed.join(kept, "ordinal", "left").select("ordinal", (F.coalesce("__kept", F.lit(False)) | (F.size("k") == 0)).alias("selected"))

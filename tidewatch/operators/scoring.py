@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import text as T
-from tidewatch.functions.columns import held
+from tidewatch.functions.columns import held, named as column
 
 
 @dataclass(frozen=True)
@@ -28,8 +28,11 @@ class Vocabulary:
 
 
 def rule_scores(articles: DataFrame, v: Vocabulary, own_weight: int = 55, other_weight: int = 35, threshold: int = 20) -> DataFrame:
-    """Adds relevance, event, importance, impact, entities, matched terms, reasons and flags. No join, no shuffle; each step is computed once, whatever is filtered later."""
-    rows = held(articles, __text=T.visible(F.col("title"), F.col("content"), F.col("source_name")))
+    """Judges title, content, source, medium and brand, which are empty where the column is missing; the category is no part of the text.
+
+    Adds relevance, event, importance, impact, entities, matched terms, reasons and flags. No join, no shuffle; each step is computed once, whatever is filtered later.
+    """
+    rows = held(articles, __text=T.visible(F.col("title"), F.col("content"), F.col("source_name"), column(articles, "media"), column(articles, "brand")))
     text = F.col("__text")
     named = F.array_compact(F.array(*(F.when(_any(text, a), F.lit(code)) for code, a in v.entities.items())).cast("array<string>"))
     ranked = sorted(v.events, key=lambda e: -e[2])
@@ -81,21 +84,38 @@ def _contains(text: Column, phrases: tuple[str, ...]) -> Column:
     return found
 
 
-def briefing(articles: DataFrame, as_of: Column, rules: tuple[tuple[str, tuple[str, ...], int], ...], own: tuple[str, ...], media: tuple[str, ...], n: int) -> DataFrame:
-    """The n best of the last hours: rule, recency, own mention and key media, and why; articles that match no rule stay out."""
-    rows = held(articles, __text=T.visible(F.col("title"), F.col("content")))
-    text = F.col("__text")
-    kind, base = F.lit("news"), F.lit(8)
+Rules = tuple[tuple[str, tuple[str, ...], int], ...]
+
+
+def shown_medium(rows: DataFrame) -> Column:
+    """The medium, or else the source; null if neither is stated."""
+    return F.coalesce(F.nullif(column(rows, "media"), F.lit("")), F.nullif(F.col("source_name"), F.lit("")))
+
+
+def briefing_marks(articles: DataFrame, rules: Rules, own: tuple[str, ...], media: tuple[tuple[str, str], ...]) -> DataFrame:
+    """Adds what a briefing needs of an article's text, so that the text itself can stay behind: kind and base (of the best rule), own, key_medium. Media are given by a name as it is and one in any case."""
+    rows = held(articles, __text=T.visible(F.col("title"), F.col("content")), __shown=shown_medium(articles))
+    text, shown = F.col("__text"), F.col("__shown")
+    kind, base, key = F.lit("news"), F.lit(8), F.lit(False)
     for k, terms, points in sorted(rules, key=lambda r: r[2]):
         hit = _contains(text, terms)
         kind, base = F.when(hit, k).otherwise(kind), F.when(hit, points).otherwise(base)
-    age = F.greatest(F.lit(0), F.timestamp_diff("SECOND", F.col("pub"), as_of))
-    rows = held(rows, kind=kind, __base=base, __age=age, __own=_contains(text, own), __media=F.coalesce(_contains(F.col("source_name"), media), F.lit(False)))
+    for name, second in media:
+        key = key | F.contains(shown, F.lit(name)) | F.contains(F.lower(shown), F.lit(second.lower()))
+    return held(rows, kind=kind, base=base, own=_contains(text, own), key_medium=F.coalesce(key, F.lit(False))).drop("__text", "__shown")
+
+
+def briefing_best(marked: DataFrame, as_of: Column, n: int) -> DataFrame:
+    """The n best of marked articles: rule, recency, own mention and key media, and why; articles that match no rule stay out."""
+    rows = held(marked.where("kind <> 'news'"), __age=F.greatest(F.lit(0), F.timestamp_diff("SECOND", F.col("pub"), as_of)))
     recency = F.when(F.col("__age") <= 24 * 3600, 24).when(F.col("__age") <= 72 * 3600, 16).when(F.col("__age") <= 168 * 3600, 8).otherwise(0)
-    score = F.col("__base") + recency + F.when(F.col("__own"), 20).otherwise(0) + F.when(F.col("__media"), 8).otherwise(0)
-    reasons = F.array_compact(F.array(F.col("kind"), F.when(F.col("__age") <= 24 * 3600, "last 24 hours"), F.when(F.col("__own"), "own mention"), F.when(F.col("__media"), "key media")))
-    scored = rows.select("id", "ordinal", "pub", "cat", "kind", score.cast("long").alias("score"), F.col("__own").alias("own"), reasons.alias("reasons"))
-    return scored.where("kind <> 'news'").orderBy(F.desc("score"), "ordinal").limit(n)
+    score = F.col("base") + recency + F.when(F.col("own"), 20).otherwise(0) + F.when(F.col("key_medium"), 8).otherwise(0)
+    reasons = F.array_compact(F.array(F.col("kind"), F.when(F.col("__age") <= 24 * 3600, "last 24 hours"), F.when(F.col("own"), "own mention"), F.when(F.col("key_medium"), "key media")))
+    return rows.select("id", "ordinal", "pub", "cat", "kind", score.cast("long").alias("score"), "own", reasons.alias("reasons")).orderBy(F.desc("score"), "ordinal").limit(n)
+
+
+def briefing(articles: DataFrame, as_of: Column, rules: Rules, own: tuple[str, ...], media: tuple[tuple[str, str], ...], n: int) -> DataFrame:
+    return briefing_best(briefing_marks(articles, rules, own, media), as_of, n)
 
 
 def suggestion(kind: Column, own: Column, actions: dict[str, tuple[str, str]], default: str) -> Column:

@@ -53,7 +53,7 @@ def complete(jobs: DataFrame, as_of: Column, owner: str, done: DataFrame) -> Dat
     own = F.coalesce("__done", F.lit(False)) & (F.col("status") == "processing") & (F.col("owner") == owner)
     none = lambda c: F.when(F.col("__own"), F.lit(None)).otherwise(F.col(c))
     return mine.withColumn("__own", F.coalesce(own, F.lit(False))).withColumns(
-        {"completed_at": F.when(F.col("__own"), as_of), "status": F.when(F.col("__own"), "completed").otherwise(F.col("status")), "owner": none("owner"), "lease_until": none("lease_until"), "next_at": none("next_at")}
+        {"completed_at": F.when(F.col("__own"), as_of), "status": F.when(F.col("__own"), "completed").otherwise(F.col("status")), "owner": none("owner"), "lease_until": none("lease_until"), "next_at": none("next_at"), **({"last_error": none("last_error")} if "last_error" in jobs.columns else {})}
     ).drop("__done", "__own")
 
 

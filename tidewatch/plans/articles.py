@@ -8,7 +8,7 @@ from tidewatch.functions import calendar as C
 from tidewatch.functions import text as T
 from tidewatch.operators import ingest, merge, scoring, worker
 from tidewatch.plans.news import _LOOSE, V, _merge_sql, _scored, _scores_sql
-from tidewatch.plans.tables import AS_OF, DOMAINS, FEED, MEDIA, NEGATIVE, NEWS, POSITIVE, RULES, WS, feed, news, query, sql_any, sql_known, sql_stripped, sql_terms, table
+from tidewatch.plans.tables import AS_OF, DOMAINS, FEED, MEDIA, NEGATIVE, NEWS, POSITIVE, RULES, WS, feed, news, query, sql_any, sql_key_media, sql_known, sql_stripped, sql_terms, table
 
 _NAMES = [(name, name) for _, name in DOMAINS]
 _AT = f"TIMESTAMP '{AS_OF}'"
@@ -95,33 +95,36 @@ def feed_window(spark, sf_dir):
     return merge.by_date(news(spark, sf_dir).where(F.col("pub") >= C.instant("2024-01-10 16:00:00"))).limit(2000).select("id", "pub")
 
 
-@query(f"WITH {NEWS} SELECT id, row_number() OVER (ORDER BY coalesce(CASE WHEN ordinal % 9 <> 0 THEN pub END, TIMESTAMP '1970-01-01') DESC, ordinal) <= 50 AS shown FROM news WHERE cat = 'es'")
+@query(f"WITH {NEWS} SELECT id, CASE WHEN ordinal % 9 <> 0 THEN pub END AS pub FROM news WHERE cat = 'es' ORDER BY coalesce(CASE WHEN ordinal % 9 <> 0 THEN pub END, TIMESTAMP '1970-01-01') DESC, ordinal LIMIT 50")
 def community_slice(spark, sf_dir):
     """One category newest first, undated last; the first 50 are shown: the cap is the feature."""
     rows = news(spark, sf_dir).where("cat = 'es'").withColumn("pub", F.when(F.col("ordinal") % 9 != 0, F.col("pub")))
-    shown = merge.by_date(rows).limit(50).select("ordinal", F.lit(True).alias("__shown"))
-    return rows.join(shown, "ordinal", "left").select("id", F.coalesce("__shown", F.lit(False)).alias("shown"))
+    return merge.by_date(rows).limit(50).select("id", "pub")
 
 
-_BRANDS = (("src1|first", "First"), ("SRC[23]", "Second"), ("src", "Other source"))
+_BRANDS = (("src1|first", "First"), ("THERE D", "Second"), ("src", "Other source"))
 
 
-@query(f"WITH {NEWS} SELECT id, coalesce(CASE WHEN ordinal % 17 = 0 THEN 'stated' END, CASE WHEN regexp_matches(source_name, '(?i)src1|first') THEN 'First' WHEN regexp_matches(source_name, '(?i)SRC[23]') THEN 'Second' WHEN regexp_matches(source_name, '(?i)src') THEN 'Other source' ELSE 'other' END) AS brand FROM news")
+@query(f"WITH {NEWS}, n AS (SELECT id, brand, coalesce(source_name, '') || ' ' || coalesce(media, '') AS names FROM news) SELECT id, coalesce(nullif(brand, ''), CASE WHEN regexp_matches(names, '(?i)src1|first') THEN 'First' WHEN regexp_matches(names, '(?i)there d') THEN 'Second' WHEN regexp_matches(names, '(?i)src') THEN 'Other source' ELSE 'other' END) AS brand FROM n")
 def brand_case(spark, sf_dir):
     """A stated brand, else the first of several ordered patterns in the names of source and medium."""
-    stated = F.when(F.col("ordinal") % 17 == 0, "stated")
-    return news(spark, sf_dir).select("id", F.coalesce(F.nullif(stated, F.lit("")), scoring.first_match(T.or_empty(F.col("source_name")), _BRANDS, "other", regex=True)).alias("brand"))
+    names = F.concat_ws(" ", T.or_empty(F.col("source_name")), T.or_empty(F.col("media")))
+    return news(spark, sf_dir).select("id", F.coalesce(F.nullif("brand", F.lit("")), scoring.first_match(names, _BRANDS, "other", regex=True)).alias("brand"))
 
 
 _CODES = {"1101": ("reth", "1101"), "2202": ("eau", "ung"), "3303": ("tion",)}
-_AUTHORS = ("王小明", "Jane Roe", "jane roe", "Tide Herald", "Herald", "李", "me@x", "http://x", "Jane Maria Roe", "Ann  Lee", " 陳大文 ", "司馬相如先", "Jane")
-_PEOPLE = ("王小明", "Jane Roe", None, None, None, None, None, None, "Jane Maria Roe", None, "陳大文", None, None)
+_AUTHORS = ("王小明", "Jane Roe", "jane roe", "Tide Herald", "Herald", "李", "me@x", "http://x", "Ann  Lee", " 陳大文 ", "司馬相如先", "Jane")
+_AUTHOR_SQL = f"""authors AS (SELECT doc_id, CASE CAST(doc_id % {len(_AUTHORS) + 2} AS INT) {" ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(_AUTHORS))} WHEN {len(_AUTHORS)} THEN 'Ann ' || upper(left(lang, 1)) || lower(substr(lang, 2)) END AS author FROM documents),
+bare AS (SELECT *, {sql_stripped("coalesce(author, '')")} AS a FROM authors)"""
+_MEDIUM_SQL = " OR ".join(f"contains(a, '{n}') OR contains('{n}', a)" for _, n in DOMAINS)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', " + ("NULL" if b is None else f"'{b}'") + ")" for a, b in zip(_AUTHORS, _PEOPLE, strict=True)) + ") v(author, reporter)")
+@query(f"WITH {_AUTHOR_SQL} SELECT doc_id, CASE WHEN length(a) BETWEEN 2 AND 15 AND NOT contains(a, '@') AND NOT contains(a, 'http') AND NOT ({_MEDIUM_SQL}) AND regexp_full_match(a, '[\\x{{4e00}}-\\x{{9fa5}}]{{2,4}}|[A-Z][a-z]+( [A-Z][a-z]+)+') THEN a END AS reporter FROM bare")
 def reporters(spark, sf_dir):
-    names = spark.createDataFrame([(x,) for x in _AUTHORS], "author string")
-    return names.select("author", ingest.reporter(F.col("author"), [n for _, n in DOMAINS]).alias("reporter"))
+    """Author fields in the forms that feeds have, by document: which of them name a person."""
+    n = F.col("doc_id") % (len(_AUTHORS) + 2)
+    author = F.coalesce(*(F.when(n == i, a) for i, a in enumerate(_AUTHORS)), F.when(n == len(_AUTHORS), F.concat(F.lit("Ann "), F.initcap("lang"))))
+    return table(spark, sf_dir, "documents").select("doc_id", ingest.reporter(author, [n for _, n in DOMAINS]).alias("reporter"))
 
 
 @query(f"WITH {NEWS} SELECT id, CASE " + " ".join(f"WHEN {sql_any(_TEXT, w)} THEN '{c}'" for c, w in _CODES.items()) + " END AS code, concat_ws(',', " + ", ".join(f"CASE WHEN contains(content, '{w}') THEN '{w}' END" for w in POSITIVE) + f") AS highlights, {sql_any('content', POSITIVE)} AS highlighted, CAST(len([x for x in string_split(content, '.') if trim(x) <> '']) AS INT) AS n_bullets, left(trim(regexp_replace(title, '{WS}+', ' ', 'g')) || ' (source: ' || coalesce(nullif(source_name, ''), 'unknown source') || '; type: ' || coalesce(cat, 'none') || ')', 300) AS line FROM news")
@@ -158,23 +161,28 @@ def corrected_view(spark, sf_dir):
 _DAY = f"(date_trunc('day', {_AT} + INTERVAL 8 HOUR) - INTERVAL 8 HOUR)"
 _TODAY_SQL = f"""WITH {NEWS}, recent AS (SELECT * REPLACE ({_AT} - to_hours(CAST(ordinal % 24 AS BIGINT)) AS pub) FROM news), keyed AS (SELECT *, regexp_replace(lower(title), '{_LOOSE}', '', 'g') AS key, link <> '' AND NOT contains(lower(link), 'news.google.com') AS direct FROM recent),
 g AS (SELECT key, min(ordinal) AS o1, min(CASE WHEN direct THEN ordinal END) AS o2, min(pub) AS pub FROM keyed WHERE key <> '' GROUP BY key),
-won AS (SELECT n.id, n.title, n.content, n.cat, n.source_name, g.pub, g.o1 AS ordinal FROM g JOIN news f ON f.ordinal = g.o1 JOIN news n ON n.ordinal = CASE WHEN contains(lower(f.link), 'news.google.com') AND o2 IS NOT NULL THEN o2 ELSE o1 END WHERE g.pub >= {_DAY}),
+won AS (SELECT n.id, n.title, n.content, n.cat, n.source_name, n.media, g.pub, g.o1 AS ordinal FROM g JOIN news f ON f.ordinal = g.o1 JOIN news n ON n.ordinal = CASE WHEN contains(lower(f.link), 'news.google.com') AND o2 IS NOT NULL THEN o2 ELSE o1 END WHERE g.pub >= {_DAY}),
 t AS (SELECT *, lower(title || ' ' || content) AS t, greatest(0, date_diff('second', pub, {_AT})) AS age FROM won),
 s AS (SELECT *, CASE {" ".join(f"WHEN {sql_any('t', w)} THEN '{k}'" for k, w, _ in RULES)} ELSE 'news' END AS kind, CAST(CASE {" ".join(f"WHEN {sql_any('t', w)} THEN {p}" for _, w, p in RULES)} ELSE 8 END
- + CASE WHEN age <= 86400 THEN 24 WHEN age <= 259200 THEN 16 WHEN age <= 604800 THEN 8 ELSE 0 END + CASE WHEN contains(t, 'release') THEN 20 ELSE 0 END + CASE WHEN coalesce({sql_any('source_name', MEDIA)}, false) THEN 8 ELSE 0 END AS BIGINT) AS score FROM t),
+ + CASE WHEN age <= 86400 THEN 24 WHEN age <= 259200 THEN 16 WHEN age <= 604800 THEN 8 ELSE 0 END + CASE WHEN contains(t, 'release') THEN 20 ELSE 0 END + CASE WHEN {sql_key_media()} THEN 8 ELSE 0 END AS BIGINT) AS score FROM t),
 top AS (SELECT * FROM s WHERE kind <> 'news' ORDER BY score DESC, ordinal LIMIT 6)"""
 _ACTIONS = {"risk": ("answer", "watch"), "finance": ("check figures", "compare figures"), "opportunity": ("amplify", "compare products"), "market": ("assess", "assess")}
 
 
 def _today(spark, sf_dir):
-    """Deduplicated, of today, scored, the best six: the limit is the feature."""
+    """Deduplicated, of today, scored, the best six: the limit is the feature.
+
+    Texts are judged where they are read; the merge moves marks instead. A story of today has articles of
+    today only, so older texts needn't be looked at.
+    """
+    start = C.local_start(C.instant(AS_OF), "DAY")
     recent = news(spark, sf_dir).withColumn("pub", F.timestamp_add("HOUR", (-F.col("ordinal") % 24).cast("int"), C.instant(AS_OF)).cast("timestamp_ntz"))
-    merged = merge.merge_titles(recent, T.loose_title_key(F.col("title")), False, "content")
-    today = merged.where(F.col("pub") >= C.local_start(C.instant(AS_OF), "DAY"))
-    return scoring.briefing(today, C.instant(AS_OF), RULES, ("release",), MEDIA, 6)
+    marked = scoring.briefing_marks(recent.withColumn("content", F.when(F.col("pub") >= start, F.col("content"))), RULES, ("release",), MEDIA)
+    merged = merge.merge_titles(marked, T.loose_title_key(F.col("title")), False, "kind", "base", "own", "key_medium")
+    return scoring.briefing_best(merged.where(F.col("pub") >= start), C.instant(AS_OF), 6)
 
 
-@query(f"""{_TODAY_SQL} SELECT id, kind, score, array_to_string([x for x in [kind, CASE WHEN age <= 86400 THEN 'last 24 hours' END, CASE WHEN contains(t, 'release') THEN 'own mention' END, CASE WHEN coalesce({sql_any('source_name', MEDIA)}, false) THEN 'key media' END] if x IS NOT NULL], ',') AS reasons,
+@query(f"""{_TODAY_SQL} SELECT id, kind, score, array_to_string([x for x in [kind, CASE WHEN age <= 86400 THEN 'last 24 hours' END, CASE WHEN contains(t, 'release') THEN 'own mention' END, CASE WHEN {sql_key_media()} THEN 'key media' END] if x IS NOT NULL], ',') AS reasons,
  CASE {" ".join(f"WHEN kind = '{k}' AND contains(t, 'release') THEN '{a}' WHEN kind = '{k}' THEN '{b}'" for k, (a, b) in _ACTIONS.items())} ELSE 'look into' END AS action FROM top""")
 def today_briefing(spark, sf_dir):
     top = _today(spark, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import articles, desk, figures, news, operations  # noqa: F401  they register their queries
+from tidewatch.plans import articles, desk, figures, news, operations, stores, streams  # noqa: F401  they register their queries
 from tidewatch.plans.tables import REGISTRY, Query
 
 

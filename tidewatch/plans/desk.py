@@ -10,8 +10,8 @@ from tidewatch.functions import calendar as C
 from tidewatch.functions import numbers as N
 from tidewatch.operators import copying, finance, jobs, verify, worker
 from tidewatch.plans.figures import _ANNUAL, _MONTHLY, _PIVOT, CODES, annual, monthly
-from tidewatch.plans.operations import _JOBS, _jobs, shared_folder
-from tidewatch.plans.tables import AS_OF, query, table
+from tidewatch.plans.operations import _JOBS, _jobs
+from tidewatch.plans.tables import AS_OF, FEED, feed, query, shared_folder, sql_stripped, table
 from tidewatch.sources import landing, sinks
 
 _AT = f"TIMESTAMP '{AS_OF}'"
@@ -87,14 +87,15 @@ def chart_scale(spark, sf_dir):
     return finance.chart_scale(finance.monthly_yoy(monthly(spark, sf_dir), 1 << 30), ["revenue", "base"], "yoy")
 
 
-_TEXTS = ("1,234.5x", "1,234", "-7", "none", "", "1.2.3", "+5.0")
-_KINDS = (("float", 1234.5), ("int", 1234.0), ("int", -7.0), ("int", 0.0), ("int", 0.0), ("int", 0.0), ("float", 5.0))
+_FIGURE = "CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN 'NT$' || o_custkey || ',' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || '.' || (o_orderkey % 10) WHEN 1 THEN '-' || o_custkey WHEN 2 THEN '+' || o_custkey || ' %' WHEN 3 THEN 'none' WHEN 4 THEN '1.' || o_custkey || '.3' WHEN 5 THEN '' END"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{k}', CAST({v} AS DOUBLE))" for t, (k, v) in zip(_TEXTS, _KINDS, strict=True)) + ") v(text, kind, value)")
+@query(f"""WITH t AS (SELECT o_orderkey, {_FIGURE} AS text FROM orders), d AS (SELECT *, regexp_replace(coalesce(text, ''), '[^0-9.-]', '', 'g') AS digits FROM t)
+SELECT o_orderkey, CASE WHEN contains(digits, '.') AND try_cast(digits AS DOUBLE) IS NOT NULL THEN 'float' ELSE 'int' END AS kind, coalesce(try_cast(digits AS DOUBLE), 0.0) AS value FROM d""")
 def number_kinds(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in _TEXTS], "text string")
-    return rows.select("text", N.kind_parsed(F.col("text")).alias("p")).select("text", "p.kind", "p.value")
+    """Figures as text, by order: with a point they are floats, without one integers, and 0 if they are none."""
+    text = F.expr(_FIGURE.replace("VARCHAR", "STRING"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.kind_parsed(text).alias("p")).select("o_orderkey", "p.kind", "p.value")
 
 
 @query("""WITH x AS (SELECT o_orderkey, o_totalprice AS p, o_totalprice * (CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 1000000 END) AS v, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN round(o_totalprice - 150000, 2) ELSE floor((o_totalprice - 150000) / 100) END AS d FROM orders)
@@ -109,14 +110,11 @@ def number_labels(spark, sf_dir):
     return x.select("o_orderkey", N.magnitude(v).alias("magnitude"), N.myriads(v).alias("myriads"), N.signed_thousands(d).alias("net"), N.day_change(d, F.col("p")).alias("day_change"), N.payout_total(d, F.col("p"), F.lit(1.0)).alias("payout"))
 
 
-_FEED_DATES = ("Wed, 02 Oct 2024 13:00:00 GMT", "02 Oct 2024 13:00:00 +0800", "2024-10-02T13:00:00Z", "2024-10-02T13:00:00+02:00", "2024-10-02 13:00:00", "2 Oct 2024 13:00 UT", "2024-10-02", "soon", "")
-_INSTANTS = ("2024-10-02 13:00:00", "2024-10-02 05:00:00", "2024-10-02 13:00:00", "2024-10-02 11:00:00", "2024-10-02 13:00:00", "2024-10-02 13:00:00", "2024-10-02 00:00:00", None, None)
-
-
-@query("SELECT text, CAST(ts AS TIMESTAMP) AS ts FROM (VALUES " + ", ".join(f"('{t}', " + (f"'{i}'" if i else "NULL") + ")" for t, i in zip(_FEED_DATES, _INSTANTS, strict=True)) + ") v(text, ts)")
+@query(f"WITH {FEED} SELECT ordinal, CASE WHEN ordinal % 6 IN (1, 2, 3, 5) THEN pub END AS published, CASE WHEN ordinal % 12 <> 0 THEN pub END AS ts FROM feed")
 def feed_dates(spark, sf_dir):
-    """Dates in the forms that feeds use, in UTC."""
-    return spark.createDataFrame([(x,) for x in _FEED_DATES], "text string").select("text", C.first_date(F.lit(None).cast("string"), F.col("text")).alias("ts"))
+    """Dates in the forms that feeds use, in UTC: the published one alone, and the first of three fields that is one."""
+    dates = [F.col(c) for c in ("published", "updated", "created")]
+    return feed(spark, sf_dir).select("ordinal", C.first_date(dates[0]).alias("published"), C.first_date(*dates).alias("ts"))
 
 
 @query(f"""SELECT event_id, coalesce(strftime(ts + INTERVAL 8 HOUR, '%-m/%-d'), '') AS day, CASE WHEN event_id % 10 = 0 THEN 'unknown' WHEN date_trunc('day', ts + INTERVAL 8 HOUR) = date_trunc('day', TIMESTAMP '2024-01-20 12:00:00' + INTERVAL 8 HOUR) THEN strftime(ts + INTERVAL 8 HOUR, '%H:%M') ELSE strftime(ts + INTERVAL 8 HOUR, '%-m/%-d %H:%M') END AS updated,
@@ -128,11 +126,11 @@ def day_labels(spark, sf_dir):
 
 
 @query(f"""WITH {_JOBS}, r AS (SELECT *, status = 'processing' AND owner = 'w1' AND job_id % 3 <> 2 AND job_id % 8 <> 5 AS own FROM jobs)
-SELECT job_id, CASE WHEN own THEN 'completed' ELSE status END AS status, CASE WHEN own THEN NULL ELSE owner END AS owner, CASE WHEN own THEN {_AT} END AS completed_at FROM r""")
+SELECT job_id, CASE WHEN own THEN 'completed' ELSE status END AS status, CASE WHEN own THEN NULL ELSE owner END AS owner, CASE WHEN own THEN {_AT} END AS completed_at, CASE WHEN NOT own THEN last_error END AS last_error FROM r""")
 def job_complete(spark, sf_dir):
     """Only the present owner's jobs that have a result are completed."""
     j = _jobs(spark, sf_dir)
-    return worker.complete(j, C.instant(AS_OF), "w1", j.where("job_id % 3 <> 2 AND job_id % 8 <> 5").select("job_id")).select("job_id", "status", "owner", "completed_at")
+    return worker.complete(j, C.instant(AS_OF), "w1", j.where("job_id % 3 <> 2 AND job_id % 8 <> 5").select("job_id")).select("job_id", "status", "owner", "completed_at", "last_error")
 
 
 @query(f"WITH {_JOBS} SELECT job_id, priority AS importance, CASE WHEN priority >= 70 THEN 'pending' ELSE 'not_required' END AS review_status FROM jobs WHERE status = 'processing' AND owner = 'w1'")
@@ -202,13 +200,21 @@ def point_lookup(spark, sf_dir):
     return table(spark, sf_dir, "events").where("event_id = 17").select("event_id", "user_id")
 
 
-@query("SELECT page_id, CAST(u.i - 1 AS INT) AS row, 'cell ' || page_id || '|x' AS cells FROM pages, (VALUES (1), (2)) u(i)")
+_PLAIN_CELL = sql_stripped("regexp_replace(x, '<[^>]+>', '', 'g')")
+
+
+@query(f"""WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<(?:ul|article)\\b.*?</(?:ul|article)\\s*>')) AS r, generate_subscripts(regexp_extract_all(html, '(?is)<(?:ul|article)\\b.*?</(?:ul|article)\\s*>'), 1) - 1 AS row FROM pages)
+SELECT page_id, CAST(row AS INT) AS row, array_to_string([{_PLAIN_CELL} for x in regexp_extract_all(r, '(?is)<(?:li|h1)\\b[^>]*>(.*?)</(?:li|h1)\\s*>', 1)], '|') AS cells FROM r""")
 def page_rows(spark, sf_dir):
-    """Rows of tables in landed pages, whose bytes come in different encodings."""
-    cell = F.concat(F.lit("<table><tr><td><b>cell "), "page_id", F.lit("</b></td><th>x</th></tr>"))
-    html = F.encode(F.concat(cell, F.substring_index(cell, "<table>", -1), F.lit("</table>")), "UTF-8")
-    pages = table(spark, sf_dir, "pages").select("page_id", landing.decoded(html).alias("html"))
-    return landing.html_cells(pages).select("page_id", "row", F.array_join("cells", "|").alias("cells"))
+    """Cells by rows in the markup of landed pages, whose bytes are decoded first."""
+    pages = table(spark, sf_dir, "pages").select("page_id", landing.decoded(F.encode("html", "UTF-8")).alias("html"))
+    return landing.html_cells(pages, "ul|article", "li|h1").select("page_id", "row", F.array_join("cells", "|").alias("cells"))
+
+
+@query(f"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">.*?</a>')) AS x, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">.*?</a>'), 1) - 1 AS place FROM pages)
+SELECT page_id, CAST(place AS INT) AS place, regexp_extract(x, 'href="([^"]*)"', 1) AS href, {_PLAIN_CELL} AS text FROM a""")
+def page_links(spark, sf_dir):
+    return landing.html_links(table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
 def _folder(spark) -> str:
@@ -301,3 +307,16 @@ def notice_filter(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_mktsegment")
     count = lambda code: jobs.of_code(c, "c_mktsegment", code).agg(F.count("*").alias("n")).select(F.lit(code or "all").alias("asked"), "n")
     return count("BUILDING").unionByName(count(None))
+
+
+@query("""WITH p AS (SELECT CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS INT) AS page, o_orderkey FROM orders), n AS (SELECT page, count(*) AS n, bool_or(o_orderkey = 4321) AS bad FROM p GROUP BY page), f AS (SELECT max(page) FILTER (bad) AS page FROM n)
+SELECT run, n.page, CASE WHEN run = 1 AND n.page = f.page THEN 'failed' WHEN run = 1 AND n.page > f.page THEN 'halted' WHEN run = 2 AND (f.page IS NULL OR n.page < f.page) OR run = 3 THEN 'skipped' ELSE 'copied' END AS status, CASE WHEN run > 1 OR f.page IS NULL OR n.page < f.page THEN n END AS n_rows FROM n, f, (VALUES (1), (2), (3)) r(run)""")
+def paged_copy(spark, sf_dir):
+    """A copy by pages of 1,000 orders that fails on one page, the same taken up again, and once more when all is done."""
+    root, o = _folder(spark), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    broken = o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") == 4321, F.raise_error(F.lit("unreadable"))).otherwise(F.col("o_orderstatus")))
+    run, out = copying.fingerprint(table="orders", page=1000), None
+    for i, rows in enumerate((broken, o, o), 1):
+        report = copying.copy_pages(spark, "orders", rows, root, run, "o_orderkey", 1000).select(F.lit(i).alias("run"), "page", "status", "n_rows")
+        out = report if out is None else out.unionByName(report)
+    return out

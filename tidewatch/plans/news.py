@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import calendar as C
 from tidewatch.functions import numbers as N
 from tidewatch.functions import text as T
-from tidewatch.operators import ingest, merge, scoring
-from tidewatch.plans.tables import AS_OF, MEDIA, NEGATIVE, NEWS, POSITIVE, RULES, VOCABULARY, news, WS, query, sql_alias, sql_any, sql_known, sql_stripped, sql_terms, table
+from tidewatch.operators import ingest, merge, scoring, vocabulary
+from tidewatch.plans.tables import AS_OF, MEDIA, NEGATIVE, NEWS, POSITIVE, RULES, SQL_SHOWN, VOCABULARY, WS, news, query, shared_folder, sql_alias, sql_any, sql_key_media, sql_known, sql_stripped, sql_terms, table
 
 V = VOCABULARY
 _LOOSE = WS[:-1] + T.TITLE_MARKS + "]"
@@ -54,7 +58,7 @@ def _scores_sql() -> str:
     ranked = sorted(V.events, key=lambda e: -e[2])
     event = "CASE WHEN ex THEN 'other' " + " ".join(f"WHEN {sql_any('t', w)} THEN '{k}'" for k, w, _ in ranked) + " ELSE 'other' END"
     weight = "CASE WHEN ex THEN 0 " + " ".join(f"WHEN {sql_any('t', w)} THEN {p}" for _, w, p in ranked) + " ELSE 0 END"
-    return f"""{NEWS}, texts AS (SELECT *, lower(title || ' ' || content || ' ' || coalesce(source_name, '')) AS t FROM news), flagged AS (SELECT *, {sql_any('t', V.excluded)} AS ex FROM texts),
+    return f"""{NEWS}, texts AS (SELECT *, lower(title || ' ' || content || ' ' || coalesce(source_name, '') || ' ' || coalesce(media, '') || ' ' || coalesce(brand, '')) AS t FROM news), flagged AS (SELECT *, {sql_any('t', V.excluded)} AS ex FROM texts),
 scored AS (SELECT *, CAST(CASE WHEN ex THEN 0 ELSE least(100, CASE WHEN {own} THEN 55 WHEN {some} THEN 35 ELSE 0 END + least(30, 6 * {sql_terms('t', V.industry)}) + {bonus}) END AS BIGINT) AS relevance, {event} AS event, {weight} AS weight,
   CASE WHEN NOT ex AND starts_with(source_name, 'src1') THEN 8 ELSE 0 END AS extra, {sql_terms('t', V.positive)} AS pos, {sql_terms('t', V.negative)} AS neg, CASE WHEN ex THEN '' ELSE concat_ws(',', {named}) END AS entities FROM flagged),
 rated AS (SELECT *, CAST(least(100, round_even((relevance * 55 + (weight + extra) * 100) / 100.0, 0)) AS BIGINT) AS importance,
@@ -92,7 +96,7 @@ def digest_select(spark, sf_dir):
 
 @query(f"""WITH {NEWS}, t AS (SELECT *, lower(title || ' ' || content) AS t, greatest(0, date_diff('second', pub, TIMESTAMP '{AS_OF}')) AS age FROM news),
 s AS (SELECT id, ordinal, pub, CASE {" ".join(f"WHEN {sql_any('t', w)} THEN '{k}'" for k, w, _ in RULES)} ELSE 'news' END AS kind, CAST(CASE {" ".join(f"WHEN {sql_any('t', w)} THEN {p}" for _, w, p in RULES)} ELSE 8 END
- + CASE WHEN age <= 86400 THEN 24 WHEN age <= 259200 THEN 16 WHEN age <= 604800 THEN 8 ELSE 0 END + CASE WHEN contains(t, 'release') THEN 20 ELSE 0 END + CASE WHEN {sql_any('source_name', MEDIA)} THEN 8 ELSE 0 END AS BIGINT) AS score FROM t)
+ + CASE WHEN age <= 86400 THEN 24 WHEN age <= 259200 THEN 16 WHEN age <= 604800 THEN 8 ELSE 0 END + CASE WHEN contains(t, 'release') THEN 20 ELSE 0 END + CASE WHEN {sql_key_media()} THEN 8 ELSE 0 END AS BIGINT) AS score FROM t)
 SELECT * FROM s WHERE kind <> 'news' ORDER BY score DESC, ordinal LIMIT 6""")
 def briefing_top(spark, sf_dir):
     """The 6 items of a briefing: the limit is the feature."""
@@ -152,9 +156,20 @@ def sent_set_update(spark, sf_dir):
     return s.where("v >= '20240117'").orderBy(F.desc("v"), "story").limit(1000)
 
 
-@query(f"""WITH {NEWS} SELECT id FROM news WHERE cat IS NOT NULL AND source_name = 'src1' AND contains(lower(title || ' ' || content || ' ' || link || ' ' || cat || ' ' || source_name), 'tion') AND {sql_terms("lower(title || ' ' || content)", POSITIVE)} > {sql_terms("lower(title || ' ' || content)", NEGATIVE)}""")
+_SEARCHED = f"lower(title || ' ' || content || ' ' || coalesce({SQL_SHOWN}, 'unknown') || ' ' || coalesce(source_name, '') || ' ' || coalesce(brand, ''))"
+
+
+@query(f"""WITH {NEWS} SELECT 'medium' AS search, id FROM news WHERE {SQL_SHOWN} = 'src1' AND contains({_SEARCHED}, 'tion') AND {sql_terms("lower(title || ' ' || content)", POSITIVE)} > {sql_terms("lower(title || ' ' || content)", NEGATIVE)}
+UNION ALL SELECT 'words', id FROM news WHERE contains({_SEARCHED}, 'seventh wire') UNION ALL SELECT 'brand', id FROM news WHERE contains({_SEARCHED}, 'there daily src') AND contains({_SEARCHED}, 'reth') UNION ALL SELECT 'nameless', id FROM news WHERE coalesce({SQL_SHOWN}, 'unknown') = 'unknown'""")
 def search_filter(spark, sf_dir):
-    return ingest.matching(news(spark, sf_dir).where("cat IS NOT NULL"), " TION ", "src1", "positive", lexicon=(POSITIVE, NEGATIVE)).select("id")
+    """Searches by medium, sentiment and words, which look into title, content, medium, source and brand."""
+    n = news(spark, sf_dir)
+    found = {
+        "medium": ingest.matching(n, " TION ", "src1", "positive", lexicon=(POSITIVE, NEGATIVE)), "words": ingest.matching(n, "Seventh Wire"),
+        "brand": ingest.matching(ingest.matching(n, "there daily SRC"), "reth"), "nameless": ingest.matching(n, media="unknown"),
+    }
+    parts = [df.select(F.lit(name).alias("search"), "id") for name, df in found.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(f"WITH {NEWS} SELECT cat, count(*) AS n_articles FROM news GROUP BY 1")
@@ -212,11 +227,46 @@ def export_projection(spark, sf_dir):
     return news(spark, sf_dir).select("id", F.col("title").alias("name"), F.when(F.col("cat") == "en", "English").when(F.col("cat") == "fr", "French").otherwise("other").alias("category"), F.date_format("pub", "yyyy-MM-dd").alias("day"), "link")
 
 
-@query(f"""WITH {NEWS}, w AS (SELECT ordinal, list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]{{3,}}')) AS k FROM news), s AS (SELECT ordinal, [x for x in k if x NOT IN ('the', 'release')] AS k FROM w),
+_KEYWORDS = f"""s AS (SELECT ordinal, [x for x in list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+')) if regexp_full_match(x, '[a-z\\x{{4e00}}-\\x{{9fff}}]{{3,}}') AND x NOT IN ({', '.join(map(repr, T.STOP_WORDS))})] AS k FROM news)"""
+
+
+@query(f"""WITH {NEWS}, {_KEYWORDS},
 k AS (SELECT ordinal, len(k) AS n, unnest(k) AS word FROM s WHERE len(k) > 0),
 p AS (SELECT a.ordinal, count(*) / least(min(a.n), min(b.n)) AS share FROM k a JOIN k b ON a.word = b.word AND a.ordinal <> b.ordinal WHERE b.ordinal % 20 = 0 GROUP BY a.ordinal, b.ordinal)
 SELECT ordinal, ordinal IN (SELECT ordinal FROM p WHERE share >= 0.5) AS similar FROM news""")
 def title_similarity(spark, sf_dir):
     """Every title against a stated set of selected ones, those whose id is divisible by 20."""
-    titles = news(spark, sf_dir).select("ordinal", T.keywords(F.col("title"), ("the", "release")).alias("k"))
+    titles = news(spark, sf_dir).select("ordinal", T.keywords(F.col("title")).alias("k"))
     return merge.similar(titles, titles.where("ordinal % 20 = 0"))
+
+
+@query(f"""WITH RECURSIVE {NEWS}, {_KEYWORDS}, n AS (SELECT ordinal, k, row_number() OVER (ORDER BY ordinal) AS i FROM s),
+w AS (SELECT i, len(k) AS n, unnest(k) AS word FROM n), p AS (SELECT b.i, a.i AS before FROM w a JOIN w b ON a.word = b.word AND a.i < b.i GROUP BY 1, 2 HAVING count(*) / least(min(a.n), min(b.n)) >= 0.5),
+q AS (SELECT i, ordinal, coalesce(list(before), []) AS before FROM n LEFT JOIN p USING (i) GROUP BY ALL),
+r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS taken UNION ALL SELECT q.i, CASE WHEN list_has_any(taken, before) THEN taken ELSE list_append(taken, q.i) END FROM r JOIN q ON q.i = r.i + 1)
+SELECT ordinal, list_contains((SELECT taken FROM r ORDER BY i DESC LIMIT 1), i) AS selected FROM q""")
+def title_selection(spark, sf_dir):
+    """Every title in order, taken unless it is like one taken before."""
+    titles = news(spark, sf_dir).select("ordinal", T.keywords(F.col("title")).alias("k"))
+    return merge.selected(titles, f"{shared_folder(spark)}/selection-{uuid.uuid4().hex}")
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS term FROM documents), t AS (SELECT term FROM w ORDER BY md5(term) LIMIT 10000)
+SELECT term, count(*) AS n_documents FROM t JOIN documents ON contains(lower(text), term) GROUP BY term""")
+def vocabulary_counts(spark, sf_dir):
+    """How many documents contain each of 10,000 terms that were drawn from them; the number of terms is the feature, the documents are all there are."""
+    d = table(spark, sf_dir, "documents")
+    words = d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("term")).distinct()
+    terms = words.orderBy(F.md5("term")).limit(10_000)
+    return vocabulary.term_hits(d.select(F.lower("text").alias("text")), "text", terms).groupBy("term").agg(F.count("*").alias("n_documents"))
+
+
+_ALIASES = ("there", "that", "reth", "eau", "ción", "und", "the", "le", "é")
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS term, count(*) AS n_documents FROM documents WHERE {sql_alias('lower(text)', (a,))} HAVING count(*) > 0" for a in _ALIASES))
+def alias_counts(spark, sf_dir):
+    """A table of aliases: those of ASCII between other characters than letters and digits, others anywhere."""
+    terms = spark.createDataFrame([(a,) for a in _ALIASES], "term string")
+    d = table(spark, sf_dir, "documents").select(F.lower("text").alias("text"))
+    return vocabulary.term_hits(d, "text", terms, whole_words=True).groupBy("term").agg(F.count("*").alias("n_documents"))

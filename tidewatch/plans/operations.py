@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import calendar as C
 from tidewatch.functions import numbers as N
 from tidewatch.operators import jobs, merge, verify
-from tidewatch.plans.tables import AS_OF, query, table
+from tidewatch.plans.tables import AS_OF, query, shared_folder, table
 
 _AT = f"TIMESTAMP '{AS_OF}'"
 
@@ -85,14 +85,14 @@ def keyset_page(spark, sf_dir):
 
 
 _JOBS = f"""jobs AS (SELECT event_id AS job_id, CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed' ELSE 'pending' END AS status, event_id * 37 % 101 AS priority, event_id % 4 AS attempts, 'w' || (event_id % 3) AS owner,
- CASE WHEN event_id % 5 <> 0 THEN ts + INTERVAL 20 DAY END AS lease_until, CASE WHEN event_id % 7 <> 0 THEN ts + INTERVAL 15 DAY END AS next_at, CAST(event_id AS VARCHAR) AS id, md5(CAST(event_id % 10 AS VARCHAR)) AS h FROM events)"""
+ CASE WHEN event_id % 5 <> 0 THEN ts + INTERVAL 20 DAY END AS lease_until, CASE WHEN event_id % 7 <> 0 THEN ts + INTERVAL 15 DAY END AS next_at, CAST(event_id AS VARCHAR) AS id, md5(CAST(event_id % 10 AS VARCHAR)) AS h, CASE WHEN event_id % 8 < 3 THEN 'error ' || event_id END AS last_error FROM events)"""
 
 
 def _jobs(spark, sf_dir):
     n = F.col("event_id")
     return table(spark, sf_dir, "events").select(
         n.alias("job_id"), F.when(n % 4 == 1, "processing").when(n % 4 == 2, "completed").otherwise("pending").alias("status"), (n * 37 % 101).alias("priority"), (n % 4).alias("attempts"), F.concat(F.lit("w"), n % 3).alias("owner"),
-        F.when(n % 5 != 0, C.shifted(F.col("ts"), 480)).alias("lease_until"), F.when(n % 7 != 0, C.shifted(F.col("ts"), 360)).alias("next_at"), n.cast("string").alias("id"), F.md5((n % 10).cast("string")).alias("h"),
+        F.when(n % 5 != 0, C.shifted(F.col("ts"), 480)).alias("lease_until"), F.when(n % 7 != 0, C.shifted(F.col("ts"), 360)).alias("next_at"), n.cast("string").alias("id"), F.md5((n % 10).cast("string")).alias("h"), F.when(n % 8 < 3, F.concat(F.lit("error "), n)).alias("last_error"),
     )
 
 
@@ -103,15 +103,16 @@ def job_claim(spark, sf_dir):
     return done.select("job_id", "priority", "attempts", "owner", "status", F.date_format("lease_until", "yyyy-MM-dd HH:mm:ss").alias("lease"))
 
 
-@query(f"WITH {_JOBS}, r AS (SELECT *, status = 'processing' AND (lease_until IS NULL OR lease_until <= {_AT}) AS recovered FROM jobs) SELECT job_id, CASE WHEN recovered THEN 'pending' ELSE status END AS status, recovered FROM r")
+@query(f"WITH {_JOBS}, r AS (SELECT *, status = 'processing' AND (lease_until IS NULL OR lease_until <= {_AT}) AS recovered FROM jobs) SELECT job_id, CASE WHEN recovered THEN 'pending' ELSE status END AS status, CASE WHEN NOT recovered THEN owner END AS owner, CASE WHEN recovered THEN 'broke off' ELSE last_error END AS last_error, recovered FROM r")
 def job_recover(spark, sf_dir):
-    return jobs.recover(_jobs(spark, sf_dir), C.instant(AS_OF)).select("job_id", "status", "recovered")
+    return jobs.recover(_jobs(spark, sf_dir), C.instant(AS_OF), "broke off").select("job_id", "status", "owner", "last_error", "recovered")
 
 
-@query(f"WITH {_JOBS}, r AS (SELECT *, status = 'processing' AND owner = 'w1' AS own FROM jobs) SELECT job_id, CASE WHEN own AND attempts >= 3 THEN 'failed' WHEN own THEN 'pending' ELSE status END AS status, strftime(CASE WHEN own AND attempts < 3 THEN {_AT} + to_minutes(attempts) ELSE next_at END, '%Y-%m-%d %H:%M:%S') AS next_at FROM r")
+@query(f"WITH {_JOBS}, r AS (SELECT *, status = 'processing' AND owner = 'w1' AS own FROM jobs) SELECT job_id, CASE WHEN own AND attempts >= 3 THEN 'failed' WHEN own THEN 'pending' ELSE status END AS status, strftime(CASE WHEN own AND attempts >= 3 THEN NULL WHEN own THEN {_AT} + to_minutes(greatest(attempts, 1)) ELSE next_at END, '%Y-%m-%d %H:%M:%S') AS next_at, CASE WHEN NOT own THEN owner END AS owner, own OR lease_until IS NULL AS unleased, CASE WHEN own THEN left(trim('Timeout: job ' || job_id || ' ' || repeat('x', CAST(job_id % 300 AS BIGINT))), 240) ELSE last_error END AS last_error FROM r")
 def job_fail(spark, sf_dir):
-    done = jobs.fail(_jobs(spark, sf_dir), C.instant(AS_OF), "w1")
-    return done.select("job_id", "status", F.date_format("next_at", "yyyy-MM-dd HH:mm:ss").alias("next_at"))
+    error = F.concat(F.lit("Timeout:\n  job "), "job_id", F.lit("\t"), F.repeat(F.lit("x"), (F.col("job_id") % 300).cast("int")))
+    done = jobs.fail(_jobs(spark, sf_dir), C.instant(AS_OF), "w1", error)
+    return done.select("job_id", "status", F.date_format("next_at", "yyyy-MM-dd HH:mm:ss").alias("next_at"), "owner", F.col("lease_until").isNull().alias("unleased"), "last_error")
 
 
 @query(f"WITH {_JOBS} SELECT job_id, CASE WHEN job_id % 6 = 0 THEN 'failed' WHEN job_id % 5 = 0 AND job_id % 10 < 6 THEN 'complete' ELSE 'analyse' END AS outcome FROM jobs")
@@ -191,8 +192,8 @@ def source_union(spark, sf_dir):
     return s.unionByName(c)
 
 
-_LITERALS = ("1150717", "115/07/17", "20260717", "2026-07-17", "", "garbage", "2026-7-17", "115/7/17", "115.07.17", "2026.07.17", " 115-7-7 ", "2026/07", "1/2/3/4", "2026-xx-01", "115071", "no 1150717")
-_WANTED = ("2026-07-17", "2026-07-17", "2026-07-17", "2026-07-17", "", "", "2026-07-17", "2026-07-17", "2026-07-17", "2026-07-17", "2026-07-07", "", "", "", "", "2026-07-17")
+_LITERALS = ("1120309", "112/03/09", "20230309", "2023-03-09", "", "no day", "2023-3-9", "112/3/9", "112.03.09", "2023.03.09", " 112-3-9 ", "2023/03", "1/2/3/4", "2023-xx-01", "112030", "no 1120309")
+_WANTED = ("2023-03-09", "2023-03-09", "2023-03-09", "2023-03-09", "", "", "2023-03-09", "2023-03-09", "2023-03-09", "2023-03-09", "2023-03-09", "", "", "", "", "2023-03-09")
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in zip(_LITERALS, _WANTED, strict=True)) + f") v(text, day) UNION ALL SELECT DISTINCT strftime(ts, '%Y%m%d'), strftime(ts, '%Y-%m-%d') FROM events WHERE ts > {_AT} - INTERVAL 96 HOUR")
@@ -214,7 +215,7 @@ def stream_upsert(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select((F.col("event_id") % 1000).alias("id"), F.col("event_id").alias("version"), "value")
     rows.repartition(3).write.parquet(f"{base}/in")
     upsert.keep_latest(upsert.feed(spark, f"{base}/in", "id long, version long, value double", 2), f"{base}/table", "id", "version", f"{base}/checkpoint").awaitTermination()
-    return sinks.current_parts(spark, f"{base}/table").select("id", "version", "value")
+    return sinks.current(spark, f"{base}/table").select("id", "version", "value")
 
 
 @query("SELECT DISTINCT user_id % 97 AS story FROM events")
@@ -229,14 +230,3 @@ def stream_first_seen(spark, sf_dir):
     seen = upsert.first_seen(upsert.feed(spark, f"{base}/in", "story long, ts timestamp", 1000), "story", "ts", "10000 hours").select("story")
     seen.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("story long").parquet(f"{base}/out")
-
-
-def shared_folder(spark) -> str:
-    """The folder that all machines share. Where the session names none, one machine with all executors in it gets a temporary one; a cluster gets an error."""
-    import re
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    return (named or f"{tempfile.gettempdir()}/checkpoints").rstrip("/")

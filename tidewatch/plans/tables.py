@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +25,12 @@ VOCABULARY = Vocabulary(
     positive=POSITIVE, negative=NEGATIVE, bonuses={"en": 15, "fr": 8}, excluded=("worthless",), official=("src1",),
 )
 RULES = (("risk", ("stoth", "whe"), 40), ("finance", ("erhe",), 32), ("opportunity", ("tion",), 26), ("market", ("eau", "and"), 18))
-MEDIA = ("src3", "src7")
+#: Key media: their name as it is, and a second name in any case.
+MEDIA = (("src3", "Third"), ("src7", "SEVENTH"))
 
 NEWS = """news AS (
   SELECT doc_id AS ordinal, CAST(doc_id AS VARCHAR) AS id, split_part(coalesce(text, ''), chr(10), 1) AS title, coalesce(text, '') AS content, lang AS cat, source AS source_name,
+         CASE doc_id % 5 WHEN 2 THEN 'There Daily' WHEN 3 THEN 'Seventh Wire' WHEN 4 THEN '' END AS media, CASE doc_id % 9 WHEN 4 THEN 'Reth' WHEN 5 THEN '' END AS brand,
          CASE WHEN doc_id % 3 = 0 THEN 'https://news.google.com/r/' || doc_id WHEN doc_id % 7 = 0 THEN '' ELSE 'https://site' || (doc_id % 5) || '.example/a/' || doc_id END AS link,
          TIMESTAMP '2024-01-31 00:00:00' - to_hours(CAST((doc_id * 7) % 2160 AS BIGINT)) AS pub
   FROM documents)"""
@@ -67,6 +71,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return d.select(
         number.alias("ordinal"), number.cast("string").alias("id"), F.substring_index(text, "\n", 1).alias("title"), text.alias("content"), F.col("lang").alias("cat"), F.col("source").alias("source_name"),
+        F.when(number % 5 == 2, "There Daily").when(number % 5 == 3, "Seventh Wire").when(number % 5 == 4, "").alias("media"), F.when(number % 9 == 4, "Reth").when(number % 9 == 5, "").alias("brand"),
         link.alias("link"), F.timestamp_add("HOUR", (-(number * 7) % 2160).cast("int"), instant(AS_OF)).cast("timestamp_ntz").alias("pub"),
     )
 
@@ -80,6 +85,14 @@ def sql_any(text: str, terms) -> str:
     return "(" + " OR ".join(f"contains({text}, '{t}')" for t in terms) + ")"
 
 
+#: The medium, or else the source.
+SQL_SHOWN = "coalesce(nullif(media, ''), nullif(source_name, ''))"
+
+
+def sql_key_media(shown: str = SQL_SHOWN) -> str:
+    return "coalesce(" + " OR ".join(f"contains({shown}, '{a}') OR contains(lower({shown}), lower('{b}'))" for a, b in MEDIA) + ", false)"
+
+
 def sql_alias(text: str, aliases) -> str:
     return "(" + " OR ".join(f"regexp_matches({text}, '(^|[^a-z0-9]){a}($|[^a-z0-9])')" if a.isascii() else f"contains({text}, '{a}')" for a in aliases) + ")"
 
@@ -109,3 +122,11 @@ def sql_stripped(text: str) -> str:
 
 def sql_known(text: str, names) -> str:
     return "CASE " + " ".join(f"WHEN contains({text}, '{k}') OR contains('{k}', {text}) THEN '{v}'" for k, v in names) + " END"
+
+
+def shared_folder(spark) -> str:
+    """The folder that all machines share. Where the session names none, one machine with all executors in it gets a temporary one; a cluster gets an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return (named or f"{tempfile.gettempdir()}/checkpoints").rstrip("/")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewatch.functions import text as T
+
 ARTICLE = "ordinal long, title string, content string, link string, published string, updated string, created string, label string, cat string"
 METRIC = "code string, date string, type string, value double, ordinal long"
 
@@ -62,15 +62,20 @@ def decoded(content: Column, encodings: tuple[str, ...] = ("utf-8", "big5", "cp9
     return decode(content)
 
 
-def html_cells(pages: DataFrame) -> DataFrame:
-    """Table rows of landed pages (page_id, html): page_id, row, cells."""
+def html_cells(pages: DataFrame, row: str = "tr", cell: str = "td|th") -> DataFrame:
+    """Cells within rows of landed pages (page_id, html), by the names of their tags: page_id, row (from 0), cells.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
+    Tags within cells go, and white space at their ends. Elements of one name that lie within each other end at the
+    first end tag. A page without rows, or null, has none. Built-in functions only.
+    """
+    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(rf"(?is)<(?:{row})\b.*?</(?:{row})\s*>"), F.lit(0))).alias("row", "__row"))
+    cells = F.regexp_extract_all("__row", F.lit(rf"(?is)<(?:{cell})\b[^>]*>(.*?)</(?:{cell})\s*>"), F.lit(1))
+    return rows.select("page_id", F.col("row").cast("int").alias("row"), F.transform(cells, T.strip_tags).alias("cells"))
 
-        row, cell, tag = re.compile(r"(?is)<tr\b.*?</tr\s*>"), re.compile(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), re.compile(r"<[^>]+>")
-        for b in batches:
-            out = [(p, i, [tag.sub("", c).strip() for c in cell.findall(r)]) for p, html in zip(b["page_id"], b["html"], strict=True) for i, r in enumerate(row.findall(html or ""))]
-            yield pd.DataFrame(out, columns=["page_id", "row", "cells"])
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, row int, cells array<string>")
+def html_links(pages: DataFrame) -> DataFrame:
+    """Links of landed pages (page_id, html) in order: page_id, place (from 0), href, text without tags. A link without a quoted address is left out."""
+    found = F.regexp_extract_all("html", F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"[^"]*"|'[^']*')[^>]*>.*?</a\s*>"""), F.lit(0))
+    links = pages.select("page_id", F.posexplode(found).alias("place", "__a"))
+    href = F.regexp_extract("__a", r"""(?is)\bhref\s*=\s*["']([^"']*)""", 1)
+    return links.select("page_id", F.col("place").cast("int").alias("place"), href.alias("href"), T.strip_tags(F.col("__a")).alias("text"))

@@ -1,10 +1,12 @@
-"""Sinks: upserts into directories of Parquet versions, snapshots, exports."""
+"""Sinks: upserts into tables by parts, snapshots, exports."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.sources.parted import PartedTable
+
 
 def merged(current: DataFrame | None, incoming: DataFrame, key: str) -> DataFrame:
     """Incoming fields over current ones; a null field doesn't overwrite. Keys of the input must be unique."""
@@ -22,63 +24,26 @@ def exists(spark: SparkSession, place: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def _names(spark: SparkSession, place: str) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(place)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
-
-
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    return sorted(int(n[1:]) for n in _names(spark, root) if n.startswith("v") and n[1:].isdigit() and exists(spark, f"{root}/{n}/_SUCCESS"))
-
-
-def current(spark: SparkSession, root: str) -> DataFrame | None:
+def current(spark: SparkSession, root: str, key: str = "") -> DataFrame | None:
     """The last version that was written to its end."""
-    found = _versions(spark, root)
-    return spark.read.parquet(f"{root}/v{found[-1]}") if found else None
-
-
-def upsert(incoming: DataFrame, root: str, key: str) -> None:
-    """Write the merged table as the next version; readers see it once it is whole, and a failed write leaves the last one."""
-    spark = incoming.sparkSession
-    found = _versions(spark, root)
-    merged(current(spark, root), incoming, key).write.mode("overwrite").parquet(f"{root}/v{found[-1] + 1 if found else 0}")
-
-
-def _parts(spark: SparkSession, root: str) -> dict[str, int]:
-    """For each part of a table that is kept by parts, the last whole version that wrote it."""
-    return {name: v for v in _versions(spark, root) for name in _names(spark, f"{root}/v{v}") if name.startswith("part=")}
-
+    return PartedTable(spark, root, key).read()
 
-def current_parts(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame | None:
-    """The table that upsert_parts keeps under root: each part as last written. `only` names the parts to read."""
-    paths = [f"{root}/v{v}/{name}" for name, v in sorted(_parts(spark, root).items()) if only is None or name in only]
-    return spark.read.parquet(*paths) if paths else None
 
+def upsert(incoming: DataFrame, root: str, key: str, parts: int = 16) -> list[int]:
+    """Merge fields into the table under root, rewriting the parts that the keys fall into; says which. A failed write leaves the last version."""
+    return PartedTable(incoming.sparkSession, root, key).merge(incoming, lambda now, rows: merged(now, rows, key), parts)
 
-def upsert_parts(incoming: DataFrame, root: str, key: str, merge, parts: int = 16) -> None:
-    """Merge rows into a table kept by a hash of its key, as a new version of the parts that they touch alone.
 
-    merge(current rows or None, new rows) gives the rows that stay. Readers see a version once it is whole;
-    versions of which nothing is current any more are deleted, but for the last two, which a reader may hold.
-    """
-    spark = incoming.sparkSession
-    placed = incoming.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).persist()
+def upsert_parts(incoming: DataFrame, root: str, key: str, merge, parts: int = 16) -> list[int]:
+    """As upsert, with merge(current rows or None, new rows) for what stays. The writer is the only one: old versions but the last, which a reader may hold, are deleted."""
+    rows = incoming.persist()
     try:
-        touched = [f"part={r.part}" for r in placed.select("part").distinct().collect()]  # at most `parts` numbers
-        if not touched:
-            return
-        found = _versions(spark, root)
-        after = merge(current_parts(spark, root, touched), placed.drop("part"))
-        after = after.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
-        after.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{root}/v{found[-1] + 1 if found else 0}")
+        held = PartedTable(incoming.sparkSession, root, key)
+        touched = held.merge(rows, merge, parts)
+        held.drop_old(2)
+        return touched
     finally:
-        placed.unpersist()
-    live = set(_parts(spark, root).values())
-    for v in _versions(spark, root)[:-2]:
-        if v not in live:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v{v}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        rows.unpersist()
 
 
 def snapshot(df: DataFrame, path: str, by: str) -> None:
