@@ -161,6 +161,26 @@ def test_held_out_accuracy_and_no_leak(spark):
     assert {r.doc_id: r for r in classify(swapped, turned).collect()} == scored
 
 
+def test_language_of_long_documents_only(spark):
+    """No document is left out of the sample for its length, with blanks or without any."""
+    rng = random.Random(12)
+    rows = [(i, said(rng, "abcde", 16_000), "aa") for i in range(8)] + [(i, said(rng, "vwxyz"), "vv") for i in range(100, 140)] + [(i, "".join(rng.choice("klmno") for _ in range(92_000)), "kk") for i in range(200, 208)]
+    rows += [(300, said(rng, "abcde"), None), (301, said(rng, "klmno"), None)]
+    found = {r.doc_id: r.lang_pred for r in identify(docs(spark, rows)).collect()}
+    assert found == {i: x for i, _, x in rows if x} | {300: "aa", 301: "kk"}
+    sample = references(docs(spark, rows), sample_chars=5_000)
+    assert all(4_000 <= len(t) <= 7_500 for x, t in sample.items() if x != "vv")
+
+
+def test_labels_between_the_kinds_are_left_out(spark):
+    rng = random.Random(13)
+    rows = [(i, said(rng, "abcde" if i % 2 else "vwxyz"), None) for i in range(100)]
+    marks = [(i, float(i % 2)) for i in range(60)] + [(i, 0.7) for i in range(60, 100)]
+    some = qc.train(docs(spark, rows), spark.createDataFrame(marks, "doc_id long, quality double"))
+    only = qc.train(docs(spark, rows), spark.createDataFrame(marks[:60], "doc_id long, quality double"))
+    assert (some.odds == only.odds).all()
+
+
 def test_sample_bounds_are_arguments(spark):
     rng = random.Random(3)
     rows = docs(spark, [(i, said(rng, "abcde" if i % 2 else "vwxyz", 5), "aa" if i % 2 else "vv") for i in range(100)])

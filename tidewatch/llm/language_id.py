@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,6 +22,8 @@ from tidewatch.llm.sampling import bounded, held_out
 
 #: Labelled text per language, if the caller states none: documents, and characters.
 SAMPLE_DOCS, SAMPLE_CHARS = 200, 60_000
+#: Characters of a piece of a sampled document.
+PIECE = 1_000
 #: Words whose phrase counts a task remembers, and the longest word it does so for.
 MEMORY, MEMORY_WORD = 250_000, 48
 
@@ -130,25 +132,46 @@ class Identifier:
 
 
 def references(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Words of whole labelled documents outside the held-out fold, a bounded sample of each language.
+    """Words of labelled documents outside the held-out fold, a bounded sample for each language.
 
-    Documents come in the order of a hash of doc_id: at most `sample_docs`, until they hold `sample_chars`
-    characters, which the last of them may exceed; documents longer than that by themselves aren't learned from.
+    The sample has the `sample_docs` documents of least hash of doc_id, of any length. Where they hold more than
+    `sample_chars` characters, pieces of PIECE characters from all over them are taken in the order of a hash,
+    until they reach that bound; words that a piece cuts are left out.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    own = own.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out()).where(F.length("text") <= sample_chars)
+    own = own.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out())
     # One row per label value: as many as there are languages.
     counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    some = bounded(own, "lang", counts, 2 * sample_docs)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "text")
-    before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = some.withColumn("n", F.row_number().over(order)).withColumn("before", before).where((F.col("n") <= sample_docs) & (F.col("before") < sample_chars)).orderBy("lang", "n").select("lang", "text").collect()
+    hashed = bounded(own, "lang", counts, 2 * sample_docs)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", F.xxhash64("text"))
+    some = common.stored(hashed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).drop("n"), "language-sample")
+    n_pieces = F.greatest(F.lit(1), F.ceil(F.length("text") / PIECE)).cast("int")
+    cut = some.select("lang", "doc_id", F.xxhash64("text").alias("t"), F.explode(F.transform(F.sequence(F.lit(0), n_pieces - 1), lambda i: F.struct(i.alias("i"), (i == n_pieces - 1).alias("last"), F.substring("text", i * PIECE + 1, F.lit(PIECE)).alias("piece")))).alias("p"))
+    pieces = cut.select("lang", "doc_id", "t", "p.*").withColumn("h", F.xxhash64("doc_id", "t", "i", F.lit(18)))
+    sizes = {r.lang: r.n for r in some.groupBy("lang").agg(F.sum(n_pieces).alias("n")).collect()}
+    few = pieces.where(_least("lang", sizes, 3 * (sample_chars // PIECE + 1)))
+    line = Window.partitionBy("lang").orderBy("h", "doc_id", "i", "t")
+    before = F.coalesce(F.sum(F.length("piece")).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = few.withColumn("before", before).where(F.col("before") < sample_chars).orderBy("lang", "h", "doc_id", "i", "t").select("lang", "piece", "i", "last").collect()
+    common.discard(some)
     out: dict[str, list[str]] = {x: [] for x in counts}
-    for lang, text in dict.fromkeys(map(tuple, rows)):
-        out[lang] += [w for w in map(clean, text.split()) if w]
+    for lang, piece, i, last in dict.fromkeys(map(tuple, rows)):
+        words = piece.split()
+        cut_front, cut_back = i > 0 and not piece[:1].isspace(), not last and not piece[-1:].isspace()
+        if len(words) > 2:  # what has no blanks stays as it is
+            words = words[cut_front : len(words) - cut_back]
+        out[lang] += [w for w in map(clean, words) if w]
     return {x: " " + " ".join(words) + " " for x, words in out.items() if words}
 
 
+def _least(group: str, counts: dict, n: int) -> Column:
+    """About the n rows of least `h` in each group of known size."""
+    share = F.lit(1.0)
+    for value, size in counts.items():
+        share = F.when(F.col(group) == F.lit(value), F.lit(min(1.0, n / max(1, size)))).otherwise(share)
+    return F.pmod(F.col("h"), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
+
+
 def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """Predict the language of every document's whole text.
 
@@ -156,7 +179,7 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int
     `references`. Returns one row per input
     row: doc_id, held_out, lang_pred, score (0 to 1, the winner's share). lang_pred is `und` with score 0 if
     the text is null, empty or without letters, or if nothing was learned; ties go to the lesser lang value;
-    a null doc_id is held out; repeated rows are judged alike; an empty table gives an empty result; a text of
+    a null doc_id is held out; repeated rows are judged alike; other columns are ignored; an empty table gives an empty result; a text of
     any length is parsed whole, word by word; bytes that are no UTF-8 count as no letters.
     """
     spark = docs.sparkSession

@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     In the order of a hash of doc_id, whatever their length: about `sample_docs` documents of each label, up
     to the first with which they would hold more than `sample_bytes`; that one and those after it are left out.
     """
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)").where(~held_out())
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality")).where("quality IN (0, 1)").where(~held_out()).withColumn("quality", F.col("quality").cast("int"))
     own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     counts = {r.quality: r.n for r in own.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     chosen = bounded(own, "quality", counts, sample_docs)
