@@ -143,7 +143,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     place = F.struct("__id", "__key", "start")
     again = stored(places.groupBy("hash").agg(F.count("*").alias("rows"), F.min(place).alias("first")).where("rows > 1"), "line-again")
     facts = _facts(places, again)
-    joined = stored(keyed.join(facts, F.col("__id").eqNullSafe(F.col("__n_id")) & (F.col("__key") == F.col("__n_key")), "left").drop("__n_id", "__n_key"), "line-nominated")
+    # The facts grow with the documents, so they are never sent to all tasks.
+    joined = stored(keyed.join(facts.hint("merge"), F.col("__id").eqNullSafe(F.col("__n_id")) & (F.col("__key") == F.col("__n_key")), "left").drop("__n_id", "__n_key"), "line-nominated")
     discard(places, again, facts)
 
     # Bytes are compared by grouping: texts that share hash and extent but differ fall into different groups.
