@@ -133,7 +133,8 @@ def summaries(turns: DataFrame) -> DataFrame:
     seen = F.row_number().over(Window.partitionBy("conv_id", "lost", "role", "text").orderBy(F.asc_nulls_first("turn"))) > 1
     end = F.right(F.rtrim("text", F.lit(BLANKS)), F.lit(1))
     fault = F.when(F.col("lost"), 4).when(end == "", 1).when(seen, 2).when(~end.isin(".", "!", "?"), 3).otherwise(0)
-    judged = rows.withColumn("fault", fault.cast("int")).sortWithinPartitions("conv_id", F.desc("lost"), F.asc_nulls_first("turn"), "role", "text")
+    # Of equal rows of one turn, the one that is no duplicate comes first.
+    judged = rows.withColumn("seen", seen).withColumn("fault", fault.cast("int")).sortWithinPartitions("conv_id", F.desc("lost"), F.asc_nulls_first("turn"), "role", "text", "seen")
     slim = judged.select("conv_id", "turn", "fault", F.left("role", F.lit(1)).alias("initial"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -79,15 +79,17 @@ def _repair_step() -> str:
 CONVERSATION_REPAIR = rf"""WITH {CRC_TABLE},
 h AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS h FROM conversations, crc_table),
 g AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM (SELECT *, unnest(CASE h WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) FROM h)),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again, right(regexp_replace(text, '[ 	-]+$', ''), 1) AS last FROM g),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM g),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again, right(regexp_replace(text, '[ 	-
+]+$', ''), 1) AS last FROM p),
 f AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o),
 c AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN '-' WHEN fault = 'truncated' THEN upper(k) ELSE k END AS code FROM (SELECT *, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS k FROM f)),
 n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
   list_reduce(list(code ORDER BY i), lambda s, c: {_repair_step()}, ['000000000', NULL, '000000005I', '000000010II']) AS ways FROM c GROUP BY conv_id),
 w AS (SELECT *, CAST(left(way, 9) AS BIGINT) AS cost, substr(way, 10) AS audit FROM (SELECT *, least(ways[1], ways[4]) AS way FROM n)),
 l AS (SELECT conv_id, audit, j, substr(audit, j, 1) AS e FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM w)),
-p AS (SELECT *, count(*) FILTER (e <> 'I') OVER q AS i, count(*) FILTER (e <> 'D') OVER q AS k, count(*) FILTER (e <> 'D') OVER (PARTITION BY conv_id) AS m FROM l WINDOW q AS (PARTITION BY conv_id ORDER BY j)),
-t AS (SELECT p.conv_id, j, CASE WHEN e = 'K' THEN role WHEN (p.k - m) % 2 <> 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END AS line FROM p LEFT JOIN c ON p.conv_id = c.conv_id AND p.i = c.i WHERE e <> 'D'),
+v AS (SELECT *, count(*) FILTER (e <> 'I') OVER q AS i, count(*) FILTER (e <> 'D') OVER q AS k, count(*) FILTER (e <> 'D') OVER (PARTITION BY conv_id) AS m FROM l WINDOW q AS (PARTITION BY conv_id ORDER BY j)),
+t AS (SELECT v.conv_id, j, CASE WHEN e = 'K' THEN role WHEN (v.k - m) % 2 <> 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END AS line FROM v LEFT JOIN c ON v.conv_id IS NOT DISTINCT FROM c.conv_id AND v.i = c.i WHERE e <> 'D'),
 r AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY j)) AS hash FROM t GROUP BY conv_id)
 SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(hash, sha256('')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN w ON a.conv_id IS NOT DISTINCT FROM w.conv_id LEFT JOIN r ON a.conv_id IS NOT DISTINCT FROM r.conv_id"""
