@@ -47,8 +47,11 @@ def update_index(index: DataFrame, fresh: DataFrame, cutoff: str, cap: int) -> D
     both = index.select("id", F.struct("h", "t").alias("old")).join(new, "id", "full").select("id", F.coalesce("new", "old").alias("e"))
     shard = T.shard_of(F.md5("id"))
     rows = both.select("id", "e.h", "e.t").where(F.col("t") >= cutoff).withColumn("shard", shard)
-    newest = Window.partitionBy("shard").orderBy(F.desc("t"), "id")
-    return rows.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= cap).drop("rank")
+    # A shard's newest are among the newest of its slices, which are cut first, each in a task of its own.
+    for by in (["shard", "slice"], ["shard"]):
+        newest = Window.partitionBy(*by).orderBy(F.desc("t"), "id")
+        rows = rows.withColumn("slice", F.substring(F.md5("id"), 2, 2)).withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= cap).drop("rank", "slice")
+    return rows
 
 
 def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
