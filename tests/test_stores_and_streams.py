@@ -139,6 +139,20 @@ def test_a_copy_halts_at_its_first_bad_page(spark, tmp_path):
     assert {r.k for r in spark.read.parquet(*(f"{tmp_path}/r/c/page={i}" for i in range(3))).collect()} == set(range(0, 30, 3))
 
 
+def test_a_copy_of_many_pages_takes_few_jobs(spark, tmp_path):
+    """Jobs grow with the logarithm of the number of pages, whichever page is bad; counts are those of the rows that were copied."""
+    rows = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("k"), F.lit("v").alias("v"))
+    for at in (37, 199):
+        bad = rows.withColumn("v", F.when(F.col("k") == 5 * at + 2, F.raise_error(F.lit("bad"))).otherwise(F.col("v")))
+        states = lambda df: {r.page: (r.status, r.n_rows) for r in copying.copy_pages(spark, "c", df, str(tmp_path), f"r{at}", "k", 5).collect()}  # noqa: B023, E731
+        assert states(bad) == {p: ("copied", 5) if p < at else ("failed", None) if p == at else ("halted", None) for p in range(200)}
+        later = rows.where("k <> 998")  # gone since the pages were laid out
+        assert states(later) == {p: ("skipped" if p < at else "copied", 4 if p == 199 else 5) for p in range(200)}
+        folders = [f for f in (tmp_path / f"r{at}" / "c").iterdir() if f.name.startswith("page=")]
+        assert len(folders) <= 20
+        assert sorted(r.k for r in spark.read.parquet(*map(str, folders)).collect()) == [k for k in range(1000) if k != 998]
+
+
 def test_counts_by_the_clock_run_again_alike(spark, tmp_path):
     rows = spark.createDataFrame(pd.DataFrame({"kind": ["a", "a", "b"], "ts": ["2024-01-31 15:00:00", "2024-01-31 16:30:00", "2024-02-01 01:00:00"]})).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     rows.coalesce(1).write.parquet(f"{tmp_path}/in")
