@@ -48,3 +48,10 @@ def test_stream_equals_batch(spark):
     got = {tuple(r) for r in catalogue.queries()["stream_upsert"](spark, DATA).select("id", "version", "value").collect()}
     want = spark.read.parquet(f"{DATA}/events.parquet").selectExpr("event_id % 1000 AS id", "event_id AS version", "value").groupBy("id").agg({"version": "max"}).count()
     assert len(got) == want and len({i for i, _, _ in got}) == want
+
+
+def test_community_slice_has_every_article_of_its_category(spark, tmp_path):
+    rows = [(i, "t", "es" if i % 3 else "en", "s", 1) for i in range(240)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: r.shown for r in catalogue.queries()["community_slice"](spark, str(tmp_path)).collect()}
+    assert set(got) == {str(i) for i in range(240) if i % 3} and sum(got.values()) == 50

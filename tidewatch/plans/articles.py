@@ -95,11 +95,12 @@ def feed_window(spark, sf_dir):
     return merge.by_date(news(spark, sf_dir).where(F.col("pub") >= C.instant("2024-01-10 16:00:00"))).limit(2000).select("id", "pub")
 
 
-@query(f"WITH {NEWS} SELECT id, CASE WHEN ordinal % 9 <> 0 THEN pub END AS pub FROM news WHERE cat = 'es' ORDER BY coalesce(CASE WHEN ordinal % 9 <> 0 THEN pub END, TIMESTAMP '1970-01-01') DESC, ordinal LIMIT 50")
+@query(f"WITH {NEWS} SELECT id, row_number() OVER (ORDER BY coalesce(CASE WHEN ordinal % 9 <> 0 THEN pub END, TIMESTAMP '1970-01-01') DESC, ordinal) <= 50 AS shown FROM news WHERE cat = 'es'")
 def community_slice(spark, sf_dir):
-    """One category newest first, undated last; the first 50 are shown: the cap is the feature."""
+    """Every article of one category; shown are the first 50, newest first, undated last."""
     rows = news(spark, sf_dir).where("cat = 'es'").withColumn("pub", F.when(F.col("ordinal") % 9 != 0, F.col("pub")))
-    return merge.by_date(rows).limit(50).select("id", "pub")
+    shown = merge.by_date(rows).limit(50).select("ordinal", F.lit(True).alias("__shown"))
+    return rows.join(F.broadcast(shown), "ordinal", "left").select("id", F.coalesce("__shown", F.lit(False)).alias("shown"))
 
 
 _BRANDS = (("src1|first", "First"), ("THERE D", "Second"), ("src", "Other source"))
