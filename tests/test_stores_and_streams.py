@@ -57,6 +57,21 @@ def test_a_save_that_broke_off_is_finished_by_the_next(spark, tmp_path):
     assert store.table("articles").version() == before
 
 
+def test_a_save_reads_whole_only_what_it_writes(spark, tmp_path):
+    store = upkeep.Store(spark, str(tmp_path), 64)
+    save = lambda df: {r.action: r.n_rows for r in upkeep.save(store, df, T.content_hash(F.col("title")), "20240101", lambda d: d.select("id", F.col("h").alias("content_hash"))).collect()}
+    rows = articles(spark, {"id": "a", "title": "1", "brand": "x"}, {"id": "b", "title": "1"})
+    assert save(rows) == {"added": 2}
+    assert save(rows.withColumn("brand", F.raise_error(F.lit("read")).cast("string"))) == {"skipped": 2}
+    # One row of an id is unchanged, two rows are equal in id, ordinal and hash, and new keys fall into parts that hold nothing yet.
+    more = articles(spark, {"id": "a", "title": "1"}, {"id": "a", "title": "2", "ordinal": 0}, {"id": "c", "title": "3", "ordinal": 5}, {"id": "c", "title": "3", "ordinal": 5}, {"id": "c", "title": "0", "ordinal": 4})
+    assert save(more) == {"skipped": 1, "updated": 1, "added": 3}
+    assert {(r.id, r.title, r.brand) for r in store.table("articles").read().collect()} == {("a", "2", "x"), ("b", "1", None), ("c", "3", None)}
+    assert store.table("articles").read().count() == store.table("jobs").read().count() == store.table("index").read().count() == 3
+    d = articles(spark, *({"id": f"d{i}", "title": "4"} for i in range(40)))
+    assert save(d.limit(1)) == {"added": 1} and save(d) == {"skipped": 1, "added": 39} and store.table("jobs").read().count() == 43
+
+
 def test_retention_keeps_undated_and_later_rows(spark, tmp_path):
     store = upkeep.Store(spark, str(tmp_path), 4)
     days = ["2024-01-01", "2024-01-02", None, "2024-01-03", "2024-01-04"]

@@ -30,25 +30,38 @@ def save(store: Store, incoming: DataFrame, own_hash: Column, today: str, to_job
 
     An article whose hash the index knows is not touched. A failed read of the index ends the save before
     anything is written. The order makes a save that broke off harmless: what isn't in the index yet is
-    written again, to the same rows. Rows of one id count one by one and the last of them by `ordinal` is kept. Parts
+    written again, to the same rows. Rows of one id count one by one and the last of them by `ordinal`, then hash, is kept. Parts
     without a changed row are neither read nor written.
     """
     index = store.table("index")
     known = index.read() if index.version() is not None else None
-    entry = incoming.select("id", own_hash.alias("h"))
-    empty = entry.limit(0)
-    acted = merge.changes(incoming.withColumn("h", own_hash), known.select("id", "h") if known is not None else empty).persist()
+    keys = ["id", "ordinal", "h"]
+    entry = incoming.withColumn("h", own_hash).select(keys)
+    # Decided on ids and hashes alone; whole articles are read once more, and only those that are written move.
+    acted = merge.changes(entry, known.select("id", "h") if known is not None else entry.select("id", "h").limit(0)).persist()
+    fresh = None
     try:
         counts = acted.groupBy("action").agg(F.count("*").alias("n_rows")).persist()
-        counts.count()  # decided before the index changes
-        fresh = merge.latest(acted.where("action <> 'skipped'").drop("action"), "id", F.col("ordinal"))
+        n = {r.action: r.n_rows for r in counts.collect()}  # decided before the index changes
+        if known is not None and not n.keys() - {"skipped"}:
+            return counts
+        fresh = merge.latest(acted.where("action <> 'skipped'").drop("action"), "id", F.col("ordinal"), F.col("h")).persist()
+        n_fresh = fresh.count()
+        rows = incoming.withColumn("h", own_hash)
+        if n_fresh < sum(n.values()):
+            same = [F.col(f"i.{c}").eqNullSafe(F.col(f"f.{c}")) for c in keys]
+            rows = rows.alias("i").join(fresh.alias("f"), same[0] & same[1] & same[2], "left_semi")
+            if not acted.where("action <> 'skipped'").groupBy(keys).count().where("count > 1").isEmpty():
+                rows = merge.latest(rows, "id", F.col("ordinal"))  # rows alike in id, ordinal and hash: any one of them
         over = lambda now, rows: merged(now, rows, "id")
-        store.table("articles").merge(fresh.drop("h"), over, store.parts)
-        store.table("jobs").merge(to_jobs(fresh), over, store.parts)
+        store.table("articles").merge(rows.drop("h"), over, store.parts, keys=fresh)
+        store.table("jobs").merge(to_jobs(rows), over, store.parts, keys=fresh)
         index.merge(fresh.select("id", "h", F.lit(today).alias("t")), over, store.parts)
         return counts
     finally:
         acted.unpersist()
+        if fresh is not None:
+            fresh.unpersist()
 
 
 def retain(store: Store, cutoff: Column, cap: int, related: Sequence[str] = ("jobs", "insights")) -> tuple[DataFrame, dict[str, list[int]], bool]:

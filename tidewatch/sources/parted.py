@@ -108,14 +108,22 @@ class PartedTable:
             self._commit(at.number + 1, at.parts, {**{p: f for p, f in at.folders.items() if p not in touched}, **written})
         return sorted(touched)
 
-    def merge(self, incoming: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], parts: int = 16, tries: int = 3) -> list[int]:
-        """Merge rows into the table: merge(rows of the parts touched or None, incoming) gives what stays. A Conflict is tried again on the version that caused it."""
+    def merge(self, incoming: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], parts: int = 16, tries: int = 3, keys: DataFrame | None = None) -> list[int]:
+        """Merge rows into the table: merge(rows of the parts touched or None, incoming) gives what stays. A Conflict is tried again on the version that caused it.
+
+        `keys` are the keys of incoming, where they are at hand already: rows of other keys then stay as they are and
+        aren't given to merge.
+        """
         for left in range(tries, 0, -1):
             at = self.version()
             try:
                 if at is None:
                     return sorted(self.create(merge(None, incoming), parts).folders)
-                return self.rewrite(incoming, lambda now: merge(now, incoming), at)
+                if keys is None:
+                    return self.rewrite(incoming, lambda now: merge(now, incoming), at)
+                own = keys.select(self.key)
+                beside = lambda now: now.join(own, self.key, "left_anti").unionByName(merge(now.join(own, self.key, "left_semi"), incoming), allowMissingColumns=True)  # noqa: E731, B023
+                return self.rewrite(own, lambda now: merge(None, incoming) if now is None else beside(now), at)  # noqa: B023
             except Conflict:
                 if left == 1:
                     raise
