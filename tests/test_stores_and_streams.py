@@ -144,6 +144,21 @@ def test_layout_reads_only_what_it_must(spark, tmp_path):
     assert layout.window(spark, str(tmp_path / "l")).count() == 5
 
 
+def test_layout_shares_a_large_month_between_tasks(spark, tmp_path):
+    """One month and category, and rows without a time: several files each, of ranges of time; nothing is lost."""
+    rows = articles(spark, *({"pub": f"2024-02-{1 + i % 28:02d} 0{i % 10}:00:00" if i % 3 else None, "cat": "a"} for i in range(300)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        layout.write_by_month(rows, str(tmp_path / "l"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    folders = [f for f in (tmp_path / "l").rglob("category=a")]
+    assert len(folders) == 2 and sum(len(list(f.glob("*.parquet"))) for f in folders) >= 4
+    assert layout.window(spark, str(tmp_path / "l")).count() == 300
+    since = layout.window(spark, str(tmp_path / "l"), since="2024-02-20 00:00:00", cats=["a"])
+    assert {r.id for r in since.collect()} == {r.id for r in rows.where("pub >= '2024-02-20'").collect()}
+
+
 def test_a_copy_halts_at_its_first_bad_page(spark, tmp_path):
     rows = spark.range(10).select((F.col("id") * 3).alias("k"), F.lit("v").alias("v"))
     bad = rows.withColumn("v", F.when(F.col("k") == 15, F.raise_error(F.lit("bad"))).otherwise(F.col("v")))

@@ -14,15 +14,21 @@ def local_month(ts: Column, offset: int = C.OFFSET_HOURS) -> Column:
     return F.date_format(C.shifted(ts, offset), "yyyy-MM")
 
 
-def write_by_month(rows: DataFrame, path: str, ts: str = "pub", cat: str = "cat", key: str = "id", files: int = 1, block_bytes: int = 32 << 20) -> None:
-    """Write rows below path by local month and category; each month and category goes to `files` tasks, by time.
+def write_by_month(rows: DataFrame, path: str, ts: str = "pub", cat: str = "cat", key: str = "id", files: int | None = None, block_bytes: int = 32 << 20) -> None:
+    """Write rows below path by local month and category, in order of time.
 
-    Within a file rows go by time, so row groups have narrow ranges; a Bloom filter on the key skips row groups in
+    Tasks take ranges of month, category and time of about the same size, so a month and category of any size is
+    shared between tasks, and small ones share a task; with `files`, each month and category goes to that many tasks, by
+    days. Within a file rows go by time, so row groups have narrow ranges; a Bloom filter on the key skips row groups in
     point lookups. Rows without a time come under the default partition, which no window reads.
     """
     placed = rows.withColumn("month", local_month(F.col(ts))).withColumn("category", F.col(cat))
-    slot = F.pmod(F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / 86_400), F.lit(files)) if files > 1 else F.lit(0)
-    spread = placed.repartition("month", "category", slot).sortWithinPartitions("month", "category", ts)
+    if files is None:
+        spread = placed.repartitionByRange("month", "category", ts, key)
+    else:
+        slot = F.pmod(F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / 86_400), F.lit(files)) if files > 1 else F.lit(0)
+        spread = placed.repartition("month", "category", slot)
+    spread = spread.sortWithinPartitions("month", "category", ts)
     spread.write.option(f"parquet.bloom.filter.enabled#{key}", "true").option("parquet.block.size", block_bytes).partitionBy("month", "category").parquet(path)
 
 
