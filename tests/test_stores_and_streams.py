@@ -122,6 +122,23 @@ def test_selection_is_that_of_a_loop(spark, tmp_path, seed):
     assert {r.ordinal: r.selected for r in merge.selected(df, f"{tmp_path}/s{seed}").collect()} == want
 
 
+@pytest.mark.parametrize("share", [0.5, 0.7])
+def test_similar_and_selected_in_blocks_are_those_of_a_loop(spark, tmp_path, share):
+    """Common and rare words, equal sets, and blocks much smaller than the table."""
+    rng = random.Random(7)
+    weighted = lambda n: sorted({"abcdefghijklmnopqrstuvwxyz"[min(int(rng.expovariate(0.12)), 25)] + rng.choice(["", "", "2", str(rng.randint(0, 30))]) for _ in range(n)})
+    titles = [(i, weighted(rng.choice([0, 1, 2, 3, 5, 8, 12]))) for i in range(260)]
+    like = lambda a, b: bool(a and b) and len(set(a) & set(b)) >= share * min(len(a), len(b))
+    df = spark.createDataFrame(titles, "ordinal long, k array<string>").repartition(3)
+    taken = []
+    for i, k in titles:
+        if not any(like(k, x) for _, x in taken):
+            taken.append((i, k))
+    assert {r.ordinal for r in merge.selected(df, f"{tmp_path}/s", share, block=40).where("selected").collect()} == {i for i, _ in taken}
+    want = {i: any(j % 20 == 0 and i != j and like(k, x) for j, x in titles) for i, k in titles}
+    assert {r.ordinal: r.similar for r in merge.similar(df, df.where("ordinal % 20 = 0"), share, f"{tmp_path}/n").collect()} == want
+
+
 def test_keywords_are_letters_only(spark):
     said = spark.createDataFrame([("DDR5 chip 2024 price the café 創見資訊 ab_c Ünder well-known",)], "t string").select(T.keywords(F.col("t")).alias("k")).first().k
     assert said == ["chip", "price", "創見資訊", "well", "known"]

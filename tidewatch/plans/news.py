@@ -237,7 +237,7 @@ SELECT ordinal, ordinal IN (SELECT ordinal FROM p WHERE share >= 0.5) AS similar
 def title_similarity(spark, sf_dir):
     """Every title against a stated set of selected ones, those whose id is divisible by 20."""
     titles = news(spark, sf_dir).select("ordinal", T.keywords(F.col("title")).alias("k"))
-    return merge.similar(titles, titles.where("ordinal % 20 = 0"))
+    return merge.similar(titles, titles.where("ordinal % 20 = 0"), folder=f"{shared_folder(spark)}/similar-{uuid.uuid4().hex}")
 
 
 @query(f"""WITH RECURSIVE {NEWS}, {_KEYWORDS}, n AS (SELECT ordinal, k, row_number() OVER (ORDER BY ordinal) AS i FROM s),
