@@ -96,3 +96,34 @@ def test_registered_query(spark):
     rows = sorted(tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect())
     want = [(i, s, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, s, ids in expected(rows)]
     assert sorted(map(tuple, registry.op12_token_files(spark, d).collect())) == want
+
+
+def test_marks_after_letters_are_encoded_apart(monkeypatch):
+    """The tokenizer sees the letters of many words in one call, and each run of marks once, not each word with its marks."""
+    encoder, seen = tf.Encoder(PATH), []
+    plain = encoder._encoded
+    monkeypatch.setattr(encoder, "_encoded", lambda texts: seen.extend(texts) or plain(texts))
+    text = " ".join(f"{w}{m}" for w in ("stone", "bridge", "größe") for m in ("***", "$$$", "&&&", "'", ".,"))
+    assert next(encoder.ids([text.encode()])).tolist() == expected([(0, text)])[0][2][:-1]
+    assert not [t for t in seen if any(c.isalpha() for c in t) and any(c in "*$&'.," for c in t)]
+
+
+def test_random_words_with_little_memory(monkeypatch):
+    monkeypatch.setattr(tf, "MEMORY_BYTES", 300)
+    monkeypatch.setattr(tf, "CALL_WORDS", 3)
+    monkeypatch.setattr(tf, "SPLIT_BYTES", 200)
+    rng = np.random.default_rng(5)
+    parts = ["a", "stone", "Größe", "É", "×", "é", "'", "'s", "'ll", "$$", ".", "_", "7", "½", "ſ", "K", "<|endoftext|>", "<|", "|>", " ", "\x1c", " ", "  ", "\n", "\t"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 120))) for _ in range(300)]
+    out = list(tf.Encoder(PATH).ids([t.encode() for t in texts]))
+    assert [x.tolist() for x in out] == [ids[:-1] for _, _, ids in expected(enumerate(texts))]
+
+
+@pytest.mark.parametrize(("end_id", "width"), [(2, 2), (70_000, 4)])
+def test_blocks_count_their_ids(spark, end_id, width):
+    docs = spark.createDataFrame([(i, "to be or not to be " * (i % 3)) for i in range(50)], "doc_id long, text string")
+    blocks = tf.encoded(docs, PATH, end_id, file_ids=30)
+    rows = blocks.collect()
+    assert len(rows) > 4 and {r.width for r in rows} == {width}
+    ids, n = np.unique(np.concatenate([np.frombuffer(r.ids, f"<u{width}") for r in rows]), return_counts=True)
+    assert sorted(map(tuple, tf.id_counts(blocks).collect())) == list(zip(ids.tolist(), n.tolist(), strict=True)) and end_id in ids

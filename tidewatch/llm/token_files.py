@@ -15,11 +15,11 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,14 +28,14 @@ from tidewatch.llm import common
 
 #: A file ends with the document that brings it to so many ids.
 FILE_IDS = 2_000_000
-#: Words and ids that a worker remembers, twice, and bytes of a text that it splits at a time.
-MEMORY_WORDS, MEMORY_IDS, SPLIT_BYTES = 250_000, 1_500_000, 1 << 20
+#: Bytes of words and ids that a worker remembers, twice, with what Python needs for each word; words of a call of the tokenizer; bytes of a text that are split at a time.
+MEMORY_BYTES, WORD_BYTES, CALL_WORDS, SPLIT_BYTES = 96 << 20, 128, 2000, 4 << 20
 
 MAGIC = b"TIDETOK1"
 MANIFEST = "name string, part int, seq int, n_docs long, n_ids long, bytes long"
 
-#: Control byte -> lengths of its four numbers.
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
+#: Control byte -> lengths of its four numbers, a byte each in one number.
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)).reshape(-1).view("<u4")
 
 
 def encode_numbers(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -44,13 +44,18 @@ def encode_numbers(values: np.ndarray) -> tuple[bytes, bytes]:
     extra = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
     padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     padded[: len(v)] = extra
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) <= extra[:, None]]
+    control = padded[0::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
+    starts = np.cumsum(extra, dtype=np.int64) - extra + np.arange(len(v))
+    data = np.empty(len(v) + int(extra.sum(dtype=np.int64)), np.uint8)
+    data[starts] = v.astype(np.uint8)
+    for k in range(1, 4):
+        at = np.flatnonzero(extra >= k)
+        data[starts[at] + k] = (v[at] >> np.uint32(8 * k)).astype(np.uint8)
     return control.tobytes(), data.tobytes()
 
 
 def decode_numbers(control: bytes, data: bytes, n: int) -> np.ndarray:
-    sizes = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    sizes = LENGTHS.take(np.frombuffer(control, np.uint8)).view(np.uint8)[:n]
     starts = np.cumsum(sizes, dtype=np.int64) - sizes
     raw = np.frombuffer(data, np.uint8)
     out = raw[starts].astype(np.uint32)
@@ -88,58 +93,17 @@ def unpack_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
 _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
-#: A word of letters only, which is one unit for the tokenizer, and perhaps marks after it, which are units of their own.
-_LETTERS = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
-_PLAIN, _MARKED = re.compile(_LETTERS), re.compile(rb"(" + _LETTERS + rb")([.,;:!?]+)")
-
-
-class _Places(dict):
-    """word -> number; a new word gets the next one, and is listed."""
-
-    def __init__(self) -> None:
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-class _Memory:
-    """Words with their ids, in one array."""
-
-    def __init__(self) -> None:
-        self.known = _Places()
-        self.starts = np.zeros(1024, np.int64)
-        self.sizes = np.zeros(1024, np.int64)
-        self.flat = np.zeros(4096, np.uint32)
-        self.used = 0
-
-    def keep(self, words: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
-        while len(self.known) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        at = self.known.of(words)
-        self.sizes[at] = sizes
-        self.starts[at] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-
-    def ids(self, at: np.ndarray) -> np.ndarray:
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+#: A word of letters only, which is one unit for the tokenizer, and marks that may follow it, which are units of their own.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
 
 class Encoder:
     """Ids of texts, each word of which is encoded once as long as it is remembered.
 
-    The tokenizer must fold A-Z, drop white space, split marks from letters and end each unit with a token that
-    has its suffix for word ends; then a word's ids don't depend on the words around it.
+    The tokenizer must fold A-Z, drop white space, split ASCII marks from letters before them and end each unit with
+    a token that has its suffix for word ends; then a word's ids don't depend on the words around it.
+    Ids are little-endian numbers of `dtype`: 16 bits if the vocabulary allows it, else 32.
     """
 
     def __init__(self, tokenizer: str):
@@ -150,76 +114,90 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
+        self.dtype = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
         self.forget()
 
     def forget(self) -> None:
-        self.now, self.old = _Memory(), _Memory()
+        self.now: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.used = 0
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        """words grows meanwhile by parts that aren't known either."""
-        plain, other, joint, back, places = [], [], [], [], []
-        was, known = self.old.known.get, self.now.known
+    def _keep(self, words: list[bytes], ids: list[bytes]) -> None:
+        self.now.update(zip(words, ids, strict=True))
+        self.used += WORD_BYTES * len(words) + sum(map(len, words)) + sum(map(len, ids))
+
+    def _learn(self, words: Iterable[bytes]) -> None:
+        """Have words that the memory lacks: from the memory before, by the tokenizer, or from their parts."""
+        now, old = self.now, self.old
+        back, plain, other, joint, heads, tails = [], [], [], [], [], []
         for w in words:
-            if (i := was(w)) is not None:
+            if w in old:
                 back.append(w)
-                places.append(i)
-            elif _PLAIN.fullmatch(w):
+            elif w.isalpha():
                 plain.append(w)
-            elif m := _MARKED.fullmatch(w):
-                joint.append((w, known[m[1]], known[m[2]]))
-            else:
+            elif not (head := w.rstrip(_MARKS)) or not (head.isalpha() or _LETTERS.fullmatch(head)):
                 other.append(w)
-        if back:
-            at = np.array(places)
-            self.now.keep(back, self.old.sizes[at], self.old.ids(at))
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = np.array(self._encoded([b" ".join(part).decode()])[0], np.uint32)
+            elif len(head) == len(w):
+                plain.append(w)
+            else:
+                joint.append(w)
+                heads.append(head)
+                tails.append(w[len(head) :])
+        self._keep(back, [old[w] for w in back])
+        for at in range(0, len(plain), CALL_WORDS):
+            part = plain[at : at + CALL_WORDS]
+            ids = np.array(self._encoded([b" ".join(part).decode()])[0], self.dtype)
             ends = np.flatnonzero(self.ends[ids]) + 1  # words of letters in one call: each ends at the next token with the suffix
             if len(ends) != len(part):
                 raise ValueError("the tokenizer doesn't end every word with its suffix")
-            self.now.keep(part, np.diff(ends, prepend=0), ids)
-        for at in range(0, len(other), 2000):
-            found = self._encoded([w.decode("utf-8", "replace") for w in other[at : at + 2000]])
-            self.now.keep(other[at : at + 2000], np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32))
+            raw, cuts = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+            self._keep(part, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)])
+        for at in range(0, len(other), CALL_WORDS):
+            part = other[at : at + CALL_WORDS]
+            self._keep(part, [np.array(x, self.dtype).tobytes() for x in self._encoded([w.decode("utf-8", "replace") for w in part])])
         if joint:
-            at = np.array([x[1:] for x in joint])
-            self.now.keep([x[0] for x in joint], self.now.sizes[at].sum(1), self.now.ids(at.reshape(-1)))
-
-    def _places(self, words: list[bytes]) -> np.ndarray:
-        """What is remembered is renewed when it is full: words that still occur come back from the memory before."""
-        if len(self.now.known) > MEMORY_WORDS or self.now.used > MEMORY_IDS:
-            self.now, self.old = _Memory(), self.now
-        at = self.now.known.of(words)
-        self._learn(self.now.known.new)
-        self.now.known.new = []
-        return at
+            self._learn({w for w in (*heads, *tails) if w not in now})
+            self._keep(joint, [now[h] + now[t] for h, t in zip(heads, tails, strict=True)])
+
+    def _of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Words are told apart in Arrow, so that each is looked up once. What is remembered is renewed when it is full: words that still occur come back from the memory before."""
+        if self.used > MEMORY_BYTES:
+            self.now, self.old, self.used = {}, self.now, 0
+        words = pc.ascii_split_whitespace(pa.array(map(_folded, texts), pa.binary()).view(pa.string()))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.now.get, distinct))
+        lacking = [i for i, x in enumerate(found) if x is None]
+        self._learn([distinct[i] for i in lacking])
+        for i in lacking:
+            found[i] = self.now[distinct[i]]
+        known = np.frombuffer(b"".join(found), self.dtype)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        at = coded.indices.to_numpy()
+        counts = sizes[at]
+        ends = np.cumsum(counts)
+        ids = known[np.repeat((np.cumsum(sizes) - sizes)[at] - ends + counts, counts) + np.arange(counts.sum())]
+        return np.split(ids, np.concatenate([[0], ends])[words.offsets.to_numpy()[1:-1]])
 
     def _long(self, text: bytes) -> np.ndarray:
         out, start = [], 0
         while start < len(text):
             cut = _SPACE.search(text, start + SPLIT_BYTES)
             end = cut.start() if cut else len(text)
-            out.append(self.now.ids(self._places(_words(text[start:end]))))
+            out += self._of([text[start:end]])
             start = end
         return np.concatenate(out)
 
-    def _short(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = [_words(t) for t in texts]
-        at = self._places(list(chain.from_iterable(words)))
-        ends = np.concatenate([[0], np.cumsum(self.now.sizes[at])])
-        return np.split(self.now.ids(at), ends[np.cumsum([len(w) for w in words])][:-1])
-
     def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text; small ones share their lookups, large ones are split."""
         few: list[bytes] = []
         held = 0
         for t in texts:
             if few and held + len(t) > SPLIT_BYTES:
-                yield from self._short(few)
+                yield from self._of(few)
                 few, held = [], 0
             if len(t) > SPLIT_BYTES:
                 yield self._long(t)
@@ -227,12 +205,12 @@ class Encoder:
                 few.append(t)
                 held += len(t)
         if few:
-            yield from self._short(few)
+            yield from self._of(few)
 
 
-def _words(text: bytes) -> list[bytes]:
+def _folded(text: bytes) -> bytes:
     """Added tokens are found in the text as it stands, before letters are folded."""
-    return (text if b"<|" in text else text.lower()).split()
+    return text if b"<|" in text else text.lower()
 
 
 #: One encoder for all tasks that a Python worker runs.
@@ -265,8 +243,8 @@ def _write(path: str, content: bytes) -> None:
     files.move(own, place)
 
 
-#: A block becomes one file.
-BLOCK = "part int, seq int, doc_ids array<long>, sizes binary, ids binary"
+#: A block becomes one file. Its ids are numbers of `width` bytes; those that it has are `met` as often as `times` says.
+BLOCK = "part int, seq int, doc_ids array<long>, sizes binary, width int, ids binary, met array<long>, times array<long>"
 
 
 def _read(path: str) -> bytes:
@@ -283,14 +261,28 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, file_ids: int = FILE_I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end, part, seq = encoder_of(tokenizer), np.array([end_id], np.uint32), TaskContext.get().partitionId(), 0
+        encoder, part, seq = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
+        dtype = np.promote_types(encoder.dtype, np.min_scalar_type(end_id)).newbyteorder("<")
+        end = np.array([end_id], dtype)
         doc_ids: list[int | None] = []
         held: list[np.ndarray] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
-            row = {"part": part, "seq": seq, "doc_ids": doc_ids, "sizes": np.array([len(x) for x in held], "<i8").tobytes(), "ids": np.concatenate(held).astype("<u4").tobytes()}
-            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("ids", pa.binary())]))
+            ids = np.concatenate(held)
+            counts = np.bincount(ids)
+            met = np.flatnonzero(counts)
+            columns = {
+                "part": pa.array([part], pa.int32()),
+                "seq": pa.array([seq], pa.int32()),
+                "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
+                "sizes": pa.array([np.fromiter(map(len, held), "<i8", len(held)).tobytes()], pa.binary()),
+                "width": pa.array([dtype.itemsize], pa.int32()),
+                "ids": pa.array([ids.tobytes()], pa.binary()),
+                "met": pa.array([met], pa.list_(pa.int64())),
+                "times": pa.array([counts[met]], pa.list_(pa.int64())),
+            }
+            return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.ids([t or b"" for t in batch["text"].to_pylist()]), strict=True):
@@ -311,18 +303,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, file_ids: int = FILE_I
 
 def id_counts(blocks: DataFrame) -> DataFrame:
     """How often each id occurs: a task sends one row for each id that it met."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1, np.int64)
-        for batch in batches:
-            for raw in batch["ids"]:
-                more = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"), minlength=len(counts))
-                more[: len(counts)] += counts
-                counts = more
-        met = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(counts[met], pa.int64())], ["id", "n"])
-
-    return blocks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return blocks.select(F.arrays_zip("met", "times").alias("x")).select(F.inline("x").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file_ids: int = FILE_IDS) -> DataFrame:
@@ -348,12 +329,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file
         for batch in batches:
             for row in batch.to_pylist():
                 name = f"part-{row['part']:06d}-{row['seq']:06d}.tok"
-                ids = np.frombuffer(row["ids"], "<u4")
+                ids = np.frombuffer(row["ids"], f"<u{row['width']}")
                 content = pack_file(row["doc_ids"], np.frombuffer(row["sizes"], "<i8"), ranks.value[ids])
                 _write(f"{folder}/{name}", content)
                 yield pa.RecordBatch.from_pydict({"name": [name], "part": pa.array([row["part"]], pa.int32()), "seq": pa.array([row["seq"]], pa.int32()), "n_docs": [len(row["doc_ids"])], "n_ids": [len(ids)], "bytes": [len(content)]})
 
-    blocks.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    blocks.drop("met", "times").mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     common.discard(blocks)
     return spark.read.parquet(f"{folder}/manifest")
 
